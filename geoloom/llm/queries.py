@@ -51,3 +51,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = main_text(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"), modulus=4, held=2)
