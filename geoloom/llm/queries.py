@@ -58,3 +58,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.language import identify
 
     return identify(table(spark, sf_dir, "documents"), modulus=4, held=2)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=3, held=1, cut=0.7)
