@@ -27,6 +27,9 @@ MARK = "▁"
 #: Parts kept a worker; beyond that the store starts anew.
 CACHE_PARTS = 400_000
 ROWS_A_BATCH = 256
+#: Parts up to this length keep their agenda in a flat list, longer ones in a heap.
+SHORT = 24
+NONE = 1 << 60
 
 
 class MergeEncoder(dict):
@@ -38,7 +41,9 @@ class MergeEncoder(dict):
         pieces = [processor.id_to_piece(i) for i in range(n)]
         special = [processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i) or processor.is_unused(i) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(pieces) if not special[i]}
-        self.scores = {p: processor.get_score(i) for p, i in self.ids.items()}
+        # place of every piece when all are ordered by score, equal scores sharing one
+        places = {x: k for k, x in enumerate(sorted({processor.get_score(i) for i in self.ids.values()}, reverse=True))}
+        self.places = {p: places[processor.get_score(i)] for p, i in self.ids.items()}
         self.bytes = {int(pieces[i][3:-1], 16): i for i in range(n) if processor.is_byte(i)}
         self.unknown = processor.unk_id()
         self.near = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
@@ -54,48 +59,59 @@ class MergeEncoder(dict):
         if len(cuts) > 2:
             found = tuple(chain.from_iterable(self[part[a:b]] for a, b in zip(cuts, cuts[1:])))
         else:
-            found = tuple(self.agenda(part))
+            found = tuple(self.short_agenda(part) if len(part) <= SHORT else self.agenda(part))
         if len(part) <= 48:
             if len(self) >= CACHE_PARTS:
                 self.clear()
             self[part] = found
         return found
 
+    def short_agenda(self, part: str) -> list[int]:
+        """The agenda as a flat list of places: its least entry, the first among equals, is the next merge."""
+        symbols, place = list(part), self.places.get
+        waiting = [place(a + b, NONE) for a, b in zip(part, part[1:])]
+        while waiting and (head := min(waiting)) < NONE:
+            i = waiting.index(head)
+            symbols[i : i + 2] = [joined := symbols[i] + symbols[i + 1]]
+            del waiting[i]
+            if i:
+                waiting[i - 1] = place(symbols[i - 1] + joined, NONE)
+            if i < len(waiting):
+                waiting[i] = place(joined + symbols[i + 1], NONE)
+        return self.numbered(symbols)
+
     def agenda(self, part: str) -> list[int]:
-        symbols = list(part)
-        n = len(symbols)
+        """The agenda as a heap of (place, position) over a linked list of symbols."""
+        symbols, n, places = list(part), len(part), self.places
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        scores, heap = self.scores, []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n:
-                joined = symbols[i] + symbols[j]
-                if joined in scores:
-                    heapq.heappush(heap, (-scores[joined], i, j, joined))
-
-        for i in range(n - 1):
-            offer(i)
+        heap = [(places[a + b], i, a + b) for i, (a, b) in enumerate(zip(part, part[1:])) if a + b in places]
+        heapq.heapify(heap)
         while heap:
-            _, i, j, joined = heapq.heappop(heap)
-            if symbols[i] is None or symbols[j] is None or after[i] != j or symbols[i] + symbols[j] != joined:
-                continue
+            _, i, joined = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] is None or j >= n or symbols[i] + symbols[j] != joined:
+                continue  # one of the two has been merged meanwhile
             symbols[i], symbols[j] = joined, None
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
+            for left in (before[i], i):
+                if left >= 0 and after[left] < n and (pair := symbols[left] + symbols[after[left]]) in places:
+                    heapq.heappush(heap, (places[pair], left, pair))
+        return self.numbered([s for s in symbols if s is not None])
+
+    def numbered(self, symbols: list[str]) -> list[int]:
+        ids = [self.ids.get(s) for s in symbols]
+        if None not in ids:
+            return ids
         out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                if s in self.ids:
-                    out.append(self.ids[s])
-                elif self.bytes:
-                    out.extend(self.bytes[b] for b in s.encode())
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
+        for s, i in zip(symbols, ids):
+            if i is not None:
+                out.append(i)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in s.encode())
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
         return out
 
     def encode(self, text: str | None) -> list[int]:

@@ -65,3 +65,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.toxicity import score_toxicity
 
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=3, held=1, cut=0.7)
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=3, held=1, cut=0.5)
