@@ -35,3 +35,42 @@ SELECT doc_id, size, source_size, target,
        (whole * size + least(greatest(rest - upto + size, 0), size))::BIGINT AS taken
 FROM running
 """
+
+ORACLES["op9_substrings"] = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(1, len(words) - 11)) AS place, words FROM split WHERE len(words) >= 13
+), windows AS (
+  SELECT doc_id, place, array_to_string(words[place:place + 12], ' ') AS seq FROM places
+), firsts AS (
+  SELECT seq, min(doc_id) AS least FROM windows GROUP BY seq
+), gone AS (
+  SELECT w.doc_id, list(DISTINCT w.place + k.k) AS places
+  FROM windows w JOIN firsts f ON w.seq = f.seq AND f.least < w.doc_id CROSS JOIN range(0, 13) k(k)
+  GROUP BY w.doc_id
+), judged AS (
+  SELECT s.doc_id, s.words, coalesce(g.places, []) AS places FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id
+), numbered AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, len(places)::BIGINT AS n_removed, words, places, row_number() OVER () AS r FROM judged
+), kept AS (
+  SELECT r, string_agg(words[i], ' ' ORDER BY i) AS body
+  FROM (SELECT r, words, places, unnest(range(1, len(words) + 1)) AS i FROM numbered)
+  WHERE NOT list_contains(places, i) GROUP BY r
+)
+SELECT n.doc_id, n.n_words, n.n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM numbered n LEFT JOIN kept k ON n.r = k.r
+"""
+
+ORACLES["op6_topk"] = r"""
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM scaled q JOIN scaled c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

@@ -80,3 +80,31 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.substrings import dedup_substrings
+
+    found = dedup_substrings(table(spark, sf_dir, "documents"), length=13)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.spotsigs import fingerprint_edits
+
+    def digest(column: str):
+        members = F.array_join(F.array_sort(column).cast("array<string>"), ",")
+        return F.concat(F.hex(F.size(column)), F.lit("-"), F.substring(F.sha2(members.cast("binary"), 256), 1, 32))
+
+    found = fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", digest("signatures").alias("fingerprint"), digest("edited_signatures").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.topk import scaled, top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding"), 64).alias("v"))
+    return top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
