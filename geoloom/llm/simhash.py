@@ -206,29 +206,27 @@ def forest(route: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> t
 
 def _forests(radius: int, rows: int = 150_000):
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held: list[list[np.ndarray]] = []
         count = 0
 
         def flush(last: bool):
             nonlocal held, count
-            t = pa.Table.from_batches(held).combine_chunks()
-            cols = [t.column(k).to_numpy() for k in range(3)]
+            cols = [np.concatenate(c) for c in zip(*held)]
             cut = len(cols[0])
             if not last:  # the last bucket may go on
                 cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            held, count = ([pa.RecordBatch.from_arrays([pa.array(c[cut:]) for c in cols], names=t.schema.names)] if cut < len(cols[0]) else []), len(cols[0]) - cut
-            return forest(*(c[:cut] for c in cols), radius) if cut else (cols[2][:0], cols[2][:0])
+            held, count = [[c[cut:] for c in cols]], len(cols[0]) - cut
+            a, b = forest(*(c[:cut] for c in cols), radius) if cut else (cols[2][:0], cols[2][:0])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
-                held.append(batch)
+                held.append([batch.column(k).to_numpy() for k in range(3)])
                 count += batch.num_rows
                 if count >= rows:
-                    a, b = flush(False)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    yield flush(False)
         if held:
-            a, b = flush(True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield flush(True)
 
     return run
 
