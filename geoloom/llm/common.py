@@ -74,3 +74,11 @@ def fold_of(doc_id: Column, modulus: int) -> Column:
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """Only the columns that an operator reads, so that clashing extra columns do no harm."""
     return docs.select("doc_id", "text", *extra)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that no plan refers to any more."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

@@ -8,11 +8,13 @@ suffixes are then ordered by a digest of their leading ``length`` words; a run
 of equal ones is an internal node at that depth, the head of a maximal repeat,
 and all its suffixes but those of the smallest document are repeats.
 
-What travels is 16 bytes a suffix, not its words, in column-wise blocks.  Each
-task first orders its own suffixes and sends one document's of every node, the
-others being settled on the spot; so a passage that a third of all documents
-share is as light as any other.  Settled windows return to their documents as
-position runs, where they become removed words.
+Groups are worked off in ``rounds``, so that only a part of all suffixes is on
+disk at a time.  What travels is a digest and a place for each suffix, not its
+words, in compressed column-wise blocks.  Each task first orders its own
+suffixes and sends one document's of every node, the others being settled on
+the spot; so a passage that a third of all documents share is as light as any
+other.  Settled windows return to their documents as packed places, where they
+become removed words.
 
 Windows are judged on the input: removing one does not save another.  Equal
 digests (64 bits, within one prefix group) stand for equal sequences.
@@ -32,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from geoloom.llm.common import free_shuffles, materialize
 from geoloom.llm.words import Words, mix, sequence_hashes, slices
 
 LENGTH = 13
@@ -42,8 +45,12 @@ GROUPS_A_PARTITION = 4
 #: Bits of the code that a word adds to a prefix, and words it may have.
 WORD_BITS, PREFIX_WORDS = 6, 3
 CODES = 1 << (WORD_BITS * PREFIX_WORDS)
-#: Words that a task holds before it sends its blocks.
-BLOCK_WORDS = 1_500_000
+#: Suffixes that a task gathers before it sends its blocks.
+BLOCK_SUFFIXES = 1_500_000
+#: Parts of all groups that are worked off one after another.
+ROUNDS = 4
+#: Words of the documents whose settled windows meet in one bucket.
+BUCKET_WORDS = 1_000_000
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -79,7 +86,7 @@ def count_prefixes(docs: DataFrame, length: int) -> np.ndarray:
             ids = used[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts[ids])], names=["code", "n"])
 
-    got = docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("__text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CODES, np.int64)
     counts[got["code"].to_numpy()] = got["n"].to_numpy()
     return counts
@@ -108,68 +115,109 @@ def group_prefixes(counts: np.ndarray, most: int) -> np.ndarray:
     return group
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Columns as byte planes: planes of sorted values compress well."""
-    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns as compressed byte planes, which suits sorted and small values; sizes go in front."""
+    import zstandard
 
+    sizes = np.array([len(columns), *(len(c) for c in columns)], np.int64).tobytes()
+    planes = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(sizes + planes)
 
-def _unpack(raw: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+
+def _unpack(raw: bytes, *kinds) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    count = int(np.frombuffer(raw, np.int64, 1)[0])
+    sizes = np.frombuffer(raw, np.int64, count, 8)
+    out, at = [], 8 + 8 * count
+    for n, kind in zip(sizes.tolist(), kinds):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += n * size
+        at += n * width
     return out
 
 
-def _settle(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the suffixes, which of them (in that order) come after a smaller document of their node, and node starts."""
+def _steps(sorted_values: np.ndarray) -> np.ndarray:
+    """Differences of ascending values; the first is itself."""
+    return np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
+
+
+def _settle(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes, and which of them, in that order, come after a smaller document of their node."""
     order = np.lexsort((rank, key))
     k, r = key[order], rank[order]
     head = np.concatenate([[True], k[1:] != k[:-1]])
     least = r[head][np.cumsum(head) - 1]
-    return order, r > least, head
+    return order, r > least
 
 
 class _Chunk:
-    """Suffixes that a task has gathered."""
+    """Suffixes of a round's groups that a task has gathered."""
 
-    def __init__(self):
-        self.ids, self.keys, self.codes, self.docs, self.places = [], [], [], [], []
-        self.words = self.rows = 0
+    def __init__(self, length: int, group: np.ndarray, rounds: int, turn: int, marked: bool):
+        self.length, self.group, self.rounds, self.turn, self.marked = length, group, rounds, turn, marked
+        self.ids, self.keys, self.groups, self.docs, self.places = [], [], [], [], []
+        self.rows = self.suffixes = 0
 
-    def add(self, ids: np.ndarray, texts: pa.Array, length: int) -> None:
-        w, h, at = windows(texts, length)
+    def add(self, ids: np.ndarray, buckets: np.ndarray, texts: pa.Array) -> None:
+        w, h, at = windows(texts, self.length)
         if len(at):
-            self.keys.append(sequence_hashes(h, length)[at])
-            self.codes.append(prefix_codes(h)[at])
-            self.docs.append(w.doc[at] + self.rows)
+            of = self.group[prefix_codes(h)[at]]
+            mine = of % self.rounds == self.turn
+            at = at[mine]
+            self.keys.append(sequence_hashes(h, self.length)[at])
+            self.groups.append(of[mine])
+            self.docs.append((w.doc[at] + self.rows).astype(np.uint32))
             self.places.append((at - w.first[w.doc[at]]).astype(np.uint32))
-        self.ids.append(np.column_stack([ids, text_marks(w)]))
-        self.words += len(h)
+            self.suffixes += len(at)
+        marks = text_marks(w) if self.marked else np.zeros(len(ids), np.int64)
+        self.ids.append(np.column_stack([ids, marks, buckets]))
         self.rows += len(ids)
 
-    def blocks(self, group: np.ndarray):
-        """Rows (group, n, ids, payload) to send, and (id, mark, runs) settled here."""
-        if not self.keys:
-            return [], []
+    def rows_out(self) -> pa.RecordBatch:
+        """Blocks of unsettled suffixes by group (0 and up), settled places by bucket (-1 and down)."""
+        if not self.suffixes:
+            return _out([])
         ids = np.concatenate(self.ids)
-        key, code, doc, place = map(np.concatenate, (self.keys, self.codes, self.docs, self.places))
-        rank = np.unique(ids[:, 0], return_inverse=True)[1][doc]
-        order, repeat, _ = _settle(key, rank)
-        settled = runs_of(doc[order][repeat], place[order][repeat])
-        found = [(ids[d, 0], ids[d, 1], r) for d, r in settled]
+        key, of, doc, place = map(np.concatenate, (self.keys, self.groups, self.docs, self.places))
+        order, repeat = _settle(key, np.unique(ids[:, 0], return_inverse=True)[1][doc])
+        out = _places_out(ids, doc[order[repeat]], place[order[repeat]])
         keep = order[~repeat]
-        of = group[code[keep]]
-        sent = []
-        by = np.argsort(of, kind="stable")
-        cuts = np.flatnonzero(np.diff(of[by], prepend=-1, append=-1))
+        keep = keep[np.argsort(of[keep], kind="stable")]
+        cuts = np.flatnonzero(np.diff(of[keep], prepend=-1, append=-1))
+        by_id = np.argsort(ids[:, 0], kind="stable")  # documents of a block go in order of their ids
+        rank = np.empty(len(ids), np.uint32)
+        rank[by_id] = np.arange(len(ids), dtype=np.uint32)
         for a, b in zip(cuts, cuts[1:]):
-            part = keep[by[a:b]]
-            used, local = np.unique(doc[part], return_inverse=True)
-            sent.append((int(of[by[a]]), len(part), ids[used], _pack([key[part], local.astype(np.uint32), place[part]])))
-        return sent, found
+            part = keep[a:b]
+            used, local = np.unique(rank[doc[part]], return_inverse=True)
+            mine = ids[by_id[used]]
+            payload = _pack(_steps(key[part]), local.astype(np.uint32), place[part], _steps(mine[:, 0]), mine[:, 1], mine[:, 2].astype(np.int32))
+            out.append((int(of[part[0]]), payload))
+        return _out(out)
+
+
+def _out(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["grp", "payload"])
+
+
+def _places_out(ids: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
+    """Settled windows, packed by bucket of their documents."""
+    if not len(doc):
+        return []
+    bucket = ids[doc, 2]
+    order = np.lexsort((place, doc, bucket))
+    doc, place, bucket = doc[order], place[order], bucket[order]
+    out = []
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    for a, b in zip(cuts, cuts[1:]):
+        first = np.flatnonzero(np.diff(doc[a:b].astype(np.int64), prepend=-1))
+        used = doc[a:b][first]
+        counts = np.diff(np.append(first, b - a)).astype(np.uint32)
+        out.append((-1 - int(bucket[a]), _pack(ids[used, 0], ids[used, 1], counts, place[a:b])))
+    return out
 
 
 def text_marks(w: Words) -> np.ndarray:
@@ -184,165 +232,135 @@ def text_marks(w: Words) -> np.ndarray:
     return out
 
 
-def runs_of(doc: np.ndarray, place: np.ndarray):
-    """(doc, runs) where runs are (first place, places) of consecutive windows, as uint32 pairs."""
-    if not len(doc):
-        return
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order].astype(np.int64)
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    pairs = np.column_stack([place[first], place[last] - place[first] + 1]).astype(np.uint32)
-    cuts = np.flatnonzero(np.diff(doc[first], prepend=-1, append=-1))
-    for a, b in zip(cuts, cuts[1:]):
-        yield int(doc[first[a]]), pairs[a:b].tobytes()
-
-
-_SENT = "grp int, n int, ids binary, payload binary, doc_id long, mark long, runs binary"
-
-
-def _rows(sent: list, found: list) -> pa.RecordBatch:
-    s, f = len(sent), len(found)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([x[0] for x in sent] + [-1 - (hash((int(x[0]), int(x[1]))) & 0xFFFF) for x in found], pa.int32()),
-            pa.array([x[1] for x in sent] + [None] * f, pa.int32()),
-            pa.array([np.ascontiguousarray(x[2]).tobytes() for x in sent] + [None] * f, pa.binary()),
-            pa.array([x[3] for x in sent] + [None] * f, pa.binary()),
-            pa.array([None] * s + [int(x[0]) for x in found], pa.int64()),
-            pa.array([None] * s + [int(x[1]) for x in found], pa.int64()),
-            pa.array([None] * s + [x[2] for x in found], pa.binary()),
-        ],
-        names=["grp", "n", "ids", "payload", "doc_id", "mark", "runs"],
-    )
-
-
-def repeated_runs(docs: DataFrame, length: int = LENGTH, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """doc_id, mark, runs: windows of a document that a smaller one has, as packed (first word, windows) pairs.
-
-    A document may have several rows.  A null id is NULL_ID here.
-    """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), "text")
-    spark = docs.sparkSession
-    counts = count_prefixes(docs, length)
-    spread = int(counts.sum()) // (GROUPS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
-    group = spark.sparkContext.broadcast(group_prefixes(counts, min(group_suffixes, spread)))
-
-    def gather(batches):
-        chunk = _Chunk()
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                chunk.add(batch.column(0).slice(a, b - a).to_numpy(), batch.column(1).slice(a, b - a), length)
-                if chunk.words >= BLOCK_WORDS:
-                    yield _rows(*chunk.blocks(group.value))
-                    chunk = _Chunk()
-        yield _rows(*chunk.blocks(group.value))
-
-    def tree(batches):
-        """Rows come sorted by group; a group's suffixes are ordered together."""
-        held, at = [], None
-        for batch in batches:
-            rows = batch.to_pydict()
-            for g, n, ids, payload, doc_id, mark, runs in zip(*(rows[k] for k in ("grp", "n", "ids", "payload", "doc_id", "mark", "runs"))):
-                if payload is None:
-                    yield _found([(doc_id, mark, runs)])
-                    continue
-                if g != at and held:
-                    yield _found(_nodes(held))
-                    held = []
-                at = g
-                held.append((n, ids, payload))
-        if held:
-            yield _found(_nodes(held))
-
-    blocks = docs.mapInArrow(gather, _SENT)
-    return blocks.repartition("grp").sortWithinPartitions("grp").mapInArrow(tree, "doc_id long, mark long, runs binary")
-
-
-def _found(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([int(x[0]) for x in rows], pa.int64()), pa.array([int(x[1]) for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], names=["doc_id", "mark", "runs"]
-    )
-
-
-def _nodes(held: list) -> list:
+def _tree(batches):
+    """Rows come sorted by group; a group's suffixes are ordered together.  Settled places pass through."""
+    held: list[bytes] = []
+    at = None
+    for batch in batches:
+        out = []
+        for g, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if g < 0:
+                out.append((g, payload))
+                continue
+            if g != at and held:
+                out += _nodes(held)
+                held = []
+            at = g
+            held.append(payload)
+        if out:
+            yield _out(out)
+    if held:
+        yield _out(_nodes(held))
+
+
+def _nodes(held: list[bytes]) -> list[tuple[int, bytes]]:
     keys, docs, places, ids, base = [], [], [], [], 0
-    for n, raw_ids, payload in held:
-        own = np.frombuffer(raw_ids, np.int64).reshape(-1, 2)
-        k, d, p = _unpack(payload, n, (np.uint64, np.uint32, np.uint32))
-        keys.append(k)
+    for payload in held:
+        k, d, p, doc_ids, marks, buckets = _unpack(payload, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int32)
+        keys.append(np.cumsum(k, dtype=np.uint64))
         docs.append(d.astype(np.int64) + base)
         places.append(p)
-        ids.append(own)
-        base += len(own)
+        ids.append(np.column_stack([np.cumsum(doc_ids), marks, buckets]))
+        base += len(doc_ids)
     ids = np.concatenate(ids)
     key, doc, place = map(np.concatenate, (keys, docs, places))
-    rank = np.unique(ids[:, 0], return_inverse=True)[1][doc]
-    order, repeat, _ = _settle(key, rank)
-    return [(ids[d, 0], ids[d, 1], r) for d, r in runs_of(doc[order][repeat], place[order][repeat])]
+    order, repeat = _settle(key, np.unique(ids[:, 0], return_inverse=True)[1][doc])
+    return _places_out(ids, doc[order[repeat]], place[order[repeat]])
+
+
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("__id"), F.col("text").alias("__text"), *more)
 
 
-def covered(runs: list[bytes], n: int, length: int) -> np.ndarray:
-    """Which of n words a run of windows covers."""
+def repeated_places(docs: DataFrame, length: int = LENGTH, group_suffixes: int = GROUP_SUFFIXES, rounds: int = ROUNDS) -> tuple[DataFrame, int, bool]:
+    """(bucket, payload) rows of windows that a smaller document has, the number of buckets, and whether ids clash."""
+    spark = docs.sparkSession
+    docs = _keyed(docs)
+    counts = count_prefixes(docs, length)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = int(counts.sum()) // (GROUPS_A_PARTITION * rounds * partitions) + 1
+    group = spark.sparkContext.broadcast(group_prefixes(counts, min(group_suffixes, spread)))
+    buckets = max(GROUPS_A_PARTITION * partitions, int(counts.sum()) // BUCKET_WORDS)
+    marked = not docs.groupBy("__id").count().where("count > 1").isEmpty()
+    placed = docs.select("__id", F.pmod(F.xxhash64("__id"), F.lit(buckets)).alias("__bucket"), "__text")
+    found = None
+    for turn in range(rounds):
+
+        def gather(batches, turn=turn):
+            chunk = _Chunk(length, group.value, rounds, turn, marked)
+            for batch in batches:
+                for a, b in slices(batch.column(2)):
+                    part = batch.slice(a, b - a)
+                    chunk.add(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2))
+                    if chunk.suffixes >= BLOCK_SUFFIXES:
+                        yield chunk.rows_out()
+                        chunk = _Chunk(length, group.value, rounds, turn, marked)
+            yield chunk.rows_out()
+
+        kind = "grp int, payload binary"
+        settled = placed.mapInArrow(gather, kind).repartition("grp").sortWithinPartitions("grp").mapInArrow(_tree, kind)
+        part = materialize(settled.select((-1 - F.col("grp")).alias("bucket"), "payload"), "substrings-places")
+        del settled
+        free_shuffles(spark)
+        found = part if found is None else found.unionByName(part)
+    return found, buckets, marked
+
+
+def covered(places: list[np.ndarray], n: int, length: int) -> np.ndarray:
+    """Which of n words the windows at these places cover."""
     step = np.zeros(n + 1, np.int32)
-    for raw in runs:
-        pairs = np.frombuffer(raw, np.uint32).reshape(-1, 2).astype(np.int64)
-        np.add.at(step, pairs[:, 0], 1)
-        np.add.at(step, np.minimum(pairs[:, 0] + pairs[:, 1] - 1 + length, n), -1)
+    for p in places:
+        p = p.astype(np.int64)
+        np.add.at(step, p, 1)
+        np.add.at(step, np.minimum(p + length, n), -1)
     return np.cumsum(step[:n]) > 0
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), group_suffixes: int = GROUP_SUFFIXES, rounds: int = ROUNDS) -> DataFrame:
     """``keep`` columns, n_words, n_removed, kept_sha256 (of the kept words joined by spaces) and deduped (the text without them).
 
     ``deduped`` is the text itself where nothing goes; otherwise the bytes of
     removed words go, and of white space that stood between two of them.
     ``doc_id`` is among ``keep``.
     """
-    runs = repeated_runs(docs, length, group_suffixes)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))
-    texts = docs.select(key.alias("__id"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__mark"), F.lit(None).cast("binary").alias("__runs"), F.col("text").alias("__text"), *keep)
-    marks = runs.select(F.col("doc_id").alias("__id"), F.lit(0).alias("__kind"), F.col("mark").alias("__mark"), F.col("runs").alias("__runs"))
-    both = texts.unionByName(marks, allowMissingColumns=True)
+    places, buckets, marked = repeated_places(docs, length, group_suffixes, rounds)
+    texts = _keyed(docs, *keep).select(F.pmod(F.xxhash64("__id"), F.lit(buckets)).cast("int").alias("__bucket"), F.lit(1).alias("__kind"), F.lit(None).cast("binary").alias("__payload"), "__id", "__text", *keep)
+    both = texts.unionByName(places.select(F.col("bucket").cast("int").alias("__bucket"), F.lit(0).alias("__kind"), F.col("payload").alias("__payload")), allowMissingColumns=True)
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_words long, n_removed long, kept_sha256 string, deduped string"
 
     def run(batches):
         at, known = None, {}
         for batch in batches:
-            kind = batch.column(1).to_numpy(zero_copy_only=False)
-            ids = batch.column(0).to_numpy()
-            mark = batch.column(2)
-            raw = batch.column(3)
-            text_rows, row_runs = [], []
-            for i in range(batch.num_rows):
-                if ids[i] != at:
-                    at, known = ids[i], {}
-                if kind[i] == 0:
-                    known.setdefault(mark[i].as_py(), []).append(raw[i].as_py())
-                else:
-                    text_rows.append(i)
-                    row_runs.append(known)
-            if not text_rows:
-                continue
-            part = batch.take(pa.array(text_rows))
-            for a, b in slices(part.column(4)):
-                yield _cut(part.slice(a, b - a), row_runs[a:b], length, list(keep))
+            kind, bucket = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (bucket[1:] != bucket[:-1]), [True]]))
+            for a, b in zip(cuts, cuts[1:]):  # a bucket's places stand before its texts
+                if bucket[a] != at:
+                    at, known = bucket[a], {}
+                if kind[a] == 0:
+                    for payload in batch.column(2).slice(a, b - a).to_pylist():
+                        ids, marks, counts, place = _unpack(payload, np.int64, np.int64, np.uint32, np.uint32)
+                        for i, m, p in zip(ids.tolist(), marks.tolist(), np.split(place, np.cumsum(counts)[:-1])):
+                            known.setdefault((i, m), []).append(p)
+                    continue
+                part = batch.slice(a, b - a)
+                for x, y in slices(part.column(4)):
+                    yield _cut(part.slice(x, y - x), known, marked, length, list(keep))
 
-    return both.repartition("__id").sortWithinPartitions("__id", "__kind").mapInArrow(run, schema)
+    return both.repartition("__bucket").sortWithinPartitions("__bucket", "__kind").mapInArrow(run, schema)
 
 
-def _cut(part: pa.RecordBatch, row_runs: list[dict], length: int, keep: list[str]) -> pa.RecordBatch:
+def _cut(part: pa.RecordBatch, known: dict, marked: bool, length: int, keep: list[str]) -> pa.RecordBatch:
     w = Words(part.column(4))
-    marks = text_marks(w) if any(row_runs) else np.zeros(part.num_rows, np.int64)
+    ids = part.column(3).to_pylist()
+    marks = text_marks(w).tolist() if marked else [0] * part.num_rows
     raw, null = w.data.tobytes(), part.column(4).is_null().to_pylist()
     n_words, n_removed, digests, texts = [], [], [], []
     for i in range(part.num_rows):
         a, b = int(w.first[i]), int(w.first[i + 1])
         text = raw[w.at[i] : w.at[i + 1]]
-        runs = row_runs[i].get(int(marks[i])) if row_runs[i] else None
-        gone = covered(runs, b - a, length) if runs else None
+        places = known.get((ids[i], marks[i]))
+        gone = covered(places, b - a, length) if places else None
         if gone is None or not gone.any():
             digests.append(hashlib.sha256(b" ".join(raw[s:e] for s, e in zip(w.start[a:b].tolist(), w.end[a:b].tolist()))).hexdigest())
             texts.append(None if null[i] else text)
