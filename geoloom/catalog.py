@@ -1,4 +1,8 @@
 """Registered queries of the time-series engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from geoloom.plans import native_queries
+
+QUERIES: dict = {**native_queries.QUERIES}
+ORACLES: dict[str, str] = {**native_queries.ORACLES}
