@@ -57,34 +57,61 @@ def lifted_distances(x: np.ndarray, pivots: np.ndarray, norm: float, lift: bool)
     return np.sqrt(np.maximum(square, 0))
 
 
-class Block:
-    """Candidates of one task with their pivot table."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray, norm: float):
-        self.ids, self.x, self.table, self.norm = ids, x, table, norm
-
-    def top(self, query_id: int, q: np.ndarray, to_pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best, and how many candidates were evaluated."""
-        bound = np.abs(self.table - to_pivots).max(axis=1) if self.table.shape[1] else np.zeros(len(self.ids))
-        # distance >= bound  <=>  score <= (|q|^2 + norm - bound^2) / 2; a little slack for rounding
-        reach = (q @ q + self.norm - bound * bound) / 2 + 1e-6 * (q @ q + self.norm) + 1e-6
-        reach[self.ids == query_id] = -np.inf
-        best_ids, best, done = np.zeros(0, np.int64), np.zeros(0), 0
-        n, step = int(np.isfinite(reach).sum()), 4 * k
-        order = np.argsort(-reach, kind="stable")[:n]
-        while done < n:
-            if len(best) >= k and reach[order[done]] < best[k - 1]:
+def best_k(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k best, in order of row, score descending, id."""
+    order = np.lexsort((ids, -score, row))
+    r = row[order]
+    first = np.flatnonzero(np.diff(r, prepend=-1))
+    place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+    return order[place < k]
+
+
+def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, norm: float, k: int, together: int = 64, slab: int = 1024):
+    """(query place, id, score) of each query's k best among the candidates.
+
+    ``together`` queries share the order of candidates: slabs go by the best
+    bound that any of them has.  A pair whose bound is below its query's k-th
+    score is out; when that holds for all pairs to come, the rest is skipped.
+    """
+    kind = np.float32 if norm < 1 << 23 else np.float64  # integers below 2**24 are exact
+    table = lifted_distances(x, pivots, norm, True).astype(np.float32).T
+    to_pivots = lifted_distances(q, pivots, norm, False).astype(np.float32)
+    xs, out = x.astype(kind), []
+    for a in range(0, len(q), together):
+        mine = q[a : a + together]
+        bound = np.zeros((len(mine), len(x)), np.float32)
+        gap = np.empty_like(bound)
+        for p in range(len(pivots)):
+            np.subtract(table[p][None, :], to_pivots[a : a + together, p][:, None], out=gap)
+            np.maximum(bound, np.abs(gap, out=gap), out=bound)
+        # distance >= bound  <=>  score <= (|q|^2 + norm - bound^2) / 2; slack for rounding
+        square = (mine * mine).sum(axis=1)
+        np.multiply(bound, bound, out=bound)
+        reach = ((square + norm) / 2 * (1 + 1e-5) + 0.5).astype(np.float32)[:, None] - bound / 2
+        reach[ids[None, :] == q_ids[a : a + together][:, None]] = -np.inf
+        top = reach.max(axis=0)
+        order = np.argsort(-top, kind="stable")
+        kth = np.full(len(mine), -np.inf)
+        row, got_ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for at in range(0, len(order), slab):
+            part = order[at : at + slab]
+            if top[part[0]] < kth.min() or top[part[0]] == -np.inf:
                 break
-            stop = min(done + step, n)
-            if len(best) >= k:  # those that can't reach the k-th score needn't be evaluated
-                stop = done + int(np.searchsorted(-reach[order[done:stop]], -best[k - 1], "right"))
-            part = order[done:stop]
-            best = np.concatenate([best, self.x[part] @ q])
-            best_ids = np.concatenate([best_ids, self.ids[part]])
-            first = np.lexsort((best_ids, -best))[:k]
-            best, best_ids = best[first], best_ids[first]
-            done, step = stop, step * 2
-        return best_ids, best, done
+            alive = reach[:, part] >= kth[:, None]
+            alive &= reach[:, part] > -np.inf
+            if not alive.any():
+                continue
+            s = np.where(alive, mine.astype(kind) @ xs[part].T, -np.inf)
+            if at == 0 and len(part) > k:
+                kth = np.partition(s, len(part) - k, axis=1)[:, len(part) - k].astype(np.float64)
+            r, c = np.nonzero((s >= kth[:, None]) & alive)
+            row, got_ids, score = np.concatenate([row, r]), np.concatenate([got_ids, ids[part[c]]]), np.concatenate([score, s[r, c]])
+            keep = best_k(row, got_ids, score, k)
+            row, got_ids, score = row[keep], got_ids[keep], score[keep]
+            ends = np.flatnonzero(np.bincount(row, minlength=len(mine)) == k)
+            kth[ends] = score[np.searchsorted(row, ends, "right") - 1]
+        out.append((row + a, got_ids, score))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
 def _packed(rows: DataFrame, size: int, label: str) -> DataFrame:
@@ -119,13 +146,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS
             for i in range(batch.num_rows):
                 q_ids, q, ids, x = (batch.column(c).slice(i, 1).flatten().to_numpy() for c in range(4))
                 q, x = q.reshape(-1, dim).astype(np.float64), x.reshape(-1, dim).astype(np.float64)
-                block = Block(ids, x, lifted_distances(x, points, norm, True), norm)
-                to_pivots = lifted_distances(q, points, norm, False)
-                got = [block.top(int(a), b, c, k)[:2] for a, b, c in zip(q_ids, q, to_pivots)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(g[0]) for g in got])), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]).astype(np.int64))],
-                    names=["query_id", "vec_id", "score"],
-                )
+                row, got, score = block_top(q_ids, q, ids, x, points, norm, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(got), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     found = both.repartition(max(1, n_q * n_c), F.col("ids")[0], F.col("q_ids")[0]).mapInArrow(run, "query_id long, vec_id long, score long") if n_q * n_c > 1 else both.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
