@@ -233,27 +233,45 @@ def text_marks(w: Words) -> np.ndarray:
 
 
 def _tree(batches):
-    """Rows come sorted by group; a group's suffixes are ordered together.  Settled places pass through."""
+    """Rows come sorted by group; a group's suffixes are ordered together.
+
+    Settled places of many groups are packed together, those of the rows that
+    come settled pass through.
+    """
     held: list[bytes] = []
-    at = None
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at, waiting = None, 0
     for batch in batches:
-        out = []
         for g, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if g < 0:
-                out.append((g, payload))
+                yield _out([(g, payload)])
                 continue
             if g != at and held:
-                out += _nodes(held)
-                held = []
+                found.append(_nodes(held))
+                held, waiting = [], waiting + len(found[-1][1])
+                if waiting >= BLOCK_SUFFIXES:
+                    yield _out(_all_places(found))
+                    found, waiting = [], 0
             at = g
             held.append(payload)
-        if out:
-            yield _out(out)
     if held:
-        yield _out(_nodes(held))
+        found.append(_nodes(held))
+    if found:
+        yield _out(_all_places(found))
+
+
+def _all_places(found: list) -> list[tuple[int, bytes]]:
+    """One packing of the places of several groups; a document of several groups is one document."""
+    ids = np.concatenate([f[0] for f in found])
+    base = np.cumsum([0, *(len(f[0]) for f in found)])
+    doc = np.concatenate([f[1] + b for f, b in zip(found, base)])
+    place = np.concatenate([f[2] for f in found])
+    unique, same = np.unique(ids, axis=0, return_inverse=True)
+    return _places_out(unique, same.ravel()[doc], place) if len(doc) else []
 
 
-def _nodes(held: list[bytes]) -> list[tuple[int, bytes]]:
+def _nodes(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, document and place of the suffixes of a group that are repeats."""
     keys, docs, places, ids, base = [], [], [], [], 0
     for payload in held:
         k, d, p, doc_ids, marks, buckets = _unpack(payload, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int32)
@@ -265,7 +283,8 @@ def _nodes(held: list[bytes]) -> list[tuple[int, bytes]]:
     ids = np.concatenate(ids)
     key, doc, place = map(np.concatenate, (keys, docs, places))
     order, repeat = _settle(key, np.unique(ids[:, 0], return_inverse=True)[1][doc])
-    return _places_out(ids, doc[order[repeat]], place[order[repeat]])
+    used, local = np.unique(doc[order[repeat]], return_inverse=True)
+    return ids[used], local, place[order[repeat]]
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -280,7 +299,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, group_suffixes: int =
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = int(counts.sum()) // (GROUPS_A_PARTITION * rounds * partitions) + 1
     group = spark.sparkContext.broadcast(group_prefixes(counts, min(group_suffixes, spread)))
-    buckets = max(GROUPS_A_PARTITION * partitions, int(counts.sum()) // BUCKET_WORDS)
+    buckets = max(partitions, int(counts.sum()) // BUCKET_WORDS)
     marked = not docs.groupBy("__id").count().where("count > 1").isEmpty()
     placed = docs.select("__id", F.pmod(F.xxhash64("__id"), F.lit(buckets)).alias("__bucket"), "__text")
     found = None
