@@ -34,7 +34,7 @@ from geoloom.llm.labelled import sample_labelled
 
 ROWS_A_CLASS = 5000
 WINDOW_WORDS = 6
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
+ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
 THRESHOLDS = (3, 4, 5)
 LEVEL = 3
 NOT_WORD = re.compile(r"\W+")
@@ -42,20 +42,29 @@ NOT_WORD = re.compile(r"\W+")
 
 def window_list(text: str | None, n: int = WINDOW_WORDS) -> list[bytes]:
     words = NOT_WORD.sub(" ", (text or "").lower()).split()
-    return [" ".join(words[i : i + n]).encode() for i in range(0, len(words), n)]
+    return [f" {' '.join(words[i : i + n])} ".encode() for i in range(0, len(words), n)]
 
 
-def telling_words(texts: list[str], toxic: np.ndarray, least_docs: int = 4, least_z: float = 3.0, least_odds: float = 2.0) -> set[str]:
-    """Words of toxic documents whose log odds stand well above their error."""
-    counts = (Counter(), Counter())
+def telling_words(texts: list[str], toxic: np.ndarray, least: int = 4, least_z: float = 3.0, least_odds: float = 2.0) -> set[str]:
+    """Words of toxic documents whose log odds stand well above their error.
+
+    Occurrences count once a neighbourhood (the words beside them), so that
+    copies of one document do not make its rare words telling.
+    """
+    docs = (Counter(), Counter())
+    around: dict[str, set] = {}
     for text, y in zip(texts, toxic):
-        counts[int(y)].update(set(NOT_WORD.sub(" ", text.lower()).split()))
+        words = NOT_WORD.sub(" ", text.lower()).split()
+        docs[int(y)].update(set(words))
+        if y:
+            for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+                around.setdefault(w, set()).add((before, after))
     n_toxic, n_plain = int(toxic.sum()) + 1, int((1 - toxic).sum()) + 1
     found = set()
-    for w, a in counts[1].items():
-        b = counts[0][w]
+    for w, a in docs[1].items():
+        a, b = min(a, len(around[w])), docs[0][w]
         odds = math.log((a + 0.5) / n_toxic) - math.log((b + 0.5) / n_plain)
-        if a >= least_docs and odds >= least_odds and odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= least_z / 2 and odds * math.sqrt(a) >= least_z:
+        if a >= least and odds >= least_odds and odds * math.sqrt(a) >= least_z:
             found.add(w)
     return found
 
