@@ -357,6 +357,9 @@ def test_pieces(spark):
         assert own.encode(t) == processor.encode(t)
         assert own.decode(own.encode(t)) == processor.decode(processor.encode(t))
         part = MARK + t.replace(" ", MARK)
+        if len(part) > 400:  # the flat agenda is for short parts
+            assert own.agenda(part) == processor.encode(t)
+            continue
         assert own.agenda(part) == own.short_agenda(part) == list(own.agendas([part, "x"])[0])
         assert not t or own.agenda(part) == processor.encode(t)
     got = encode_decode(awkward(spark), piece_model()).toPandas()
