@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.plans import more_queries, native_queries  # noqa: F401 - registers its queries
+from geoloom.plans import kernel_queries, more_queries, native_queries  # noqa: F401 - the first two register with the third
 
 QUERIES: dict = {**native_queries.QUERIES}
 ORACLES: dict[str, str] = {**native_queries.ORACLES}
