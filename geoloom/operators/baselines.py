@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from geoloom.functions.mathx import div
 from geoloom.operators.joins import first_before
+from geoloom.operators.panel import line
 
-LINE = Window.partitionBy("indicator_id").orderBy("date")
 
 #: Named threshold sets.
 THRESHOLDS = {"volatility_index": [15.0, 25.0, 35.0], "yield_curve": [0.0, 0.5, 1.5]}
@@ -28,8 +28,8 @@ def quantile_states(panel: DataFrame, points: tuple[float, ...] = (0.33, 0.67))
 
 def volatility_states(panel: DataFrame, window: int = 21, points: tuple[float, ...] = (0.33, 0.67)) -> DataFrame:
     """States of rolling volatility by quantile: the fallback for Markov switching."""
-    w = LINE.rowsBetween(-(window - 1), 0)
-    before = F.lag("value").over(LINE)
+    w = line().rowsBetween(-(window - 1), 0)
+    before = F.lag("value").over(line())
     r = panel.withColumn("r", div(F.col("value") - before, before))
     vol = r.withColumn("vol", F.when(F.count("r").over(w) == window, F.stddev_samp("r").over(w))).where(F.col("vol").isNotNull())
     return quantile_states(vol.select("indicator_id", "date", F.col("vol").alias("value")), points)
@@ -37,22 +37,22 @@ def volatility_states(panel: DataFrame, window: int = 21, points: tuple[float, .
 
 def transition_matrix(states: DataFrame) -> DataFrame:
     """(indicator_id, state, next_state, n, p)."""
-    t = states.withColumn("next_state", F.lead("state").over(LINE)).where(F.col("next_state").isNotNull()).groupBy("indicator_id", "state", "next_state").agg(F.count("*").alias("n"))
+    t = states.withColumn("next_state", F.lead("state").over(line())).where(F.col("next_state").isNotNull()).groupBy("indicator_id", "state", "next_state").agg(F.count("*").alias("n"))
     return t.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("indicator_id", "state")))
 
 
 def average_crosses(panel: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
     """Rows where the fast average crosses the slow one: golden or death."""
-    f, s = LINE.rowsBetween(-(fast - 1), 0), LINE.rowsBetween(-(slow - 1), 0)
+    f, s = line().rowsBetween(-(fast - 1), 0), line().rowsBetween(-(slow - 1), 0)
     rows = panel.withColumn("fast", F.when(F.count("value").over(f) == fast, F.avg("value").over(f))).withColumn("slow", F.when(F.count("value").over(s) == slow, F.avg("value").over(s))).where(F.col("slow").isNotNull())
     rows = rows.withColumn("above", (F.col("fast") > F.col("slow")).cast("int"))
-    rows = rows.withColumn("turn", F.col("above") - F.lag("above").over(LINE))
+    rows = rows.withColumn("turn", F.col("above") - F.lag("above").over(line()))
     return rows.where("turn <> 0").withColumn("cross", F.when(F.col("turn") > 0, "golden").otherwise("death")).select("indicator_id", "date", "fast", "slow", "cross")
 
 
 def trend_strength(panel: DataFrame, window: int = 20) -> DataFrame:
     """(value - average) over deviation of full frames."""
-    w = LINE.rowsBetween(-(window - 1), 0)
+    w = line().rowsBetween(-(window - 1), 0)
     z = div(F.col("value") - F.avg("value").over(w), F.nullif(F.stddev_samp("value").over(w), F.lit(0.0)))
     return panel.withColumn("strength", F.when(F.count("value").over(w) == window, z))
 

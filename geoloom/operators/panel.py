@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoloom.functions.mathx import EPS, clip, div, ln_pos
 
-BY = Window.partitionBy("indicator_id")
-LINE = BY.orderBy("date")
+
+
+def by():
+    return Window.partitionBy("indicator_id")
+
+
+def line():
+    return by().orderBy("date")
 
 
 def select_panel(panel: DataFrame, ids=None, start=None, end=None, prefix=None, suffix=None, source=None) -> DataFrame:
@@ -54,7 +60,7 @@ def keep_latest(panel: DataFrame, order: Column | None = None) -> DataFrame:
 def clean_series(panel: DataFrame, max_gap_fill: int = 5, order: Column | None = None) -> DataFrame:
     """Sort, keep the last row of a date, fill gaps of up to ``max_gap_fill`` rows forward, drop what stays null."""
     value = F.when(~F.isnan("value"), F.col("value"))
-    filled = F.last(value, ignorenulls=True).over(LINE.rowsBetween(-max_gap_fill, 0))
+    filled = F.last(value, ignorenulls=True).over(line().rowsBetween(-max_gap_fill, 0))
     return keep_latest(panel, order).withColumn("value", filled).where(F.col("value").isNotNull())
 
 
@@ -82,14 +88,14 @@ def align_to_daily(panel: DataFrame) -> DataFrame:
     spans = panel.groupBy("indicator_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     days = spans.select("indicator_id", F.explode(F.sequence("lo", "hi")).alias("date"))
     joined = days.join(panel.select("indicator_id", "date", "value"), ["indicator_id", "date"], "left")
-    filled = F.last("value", ignorenulls=True).over(LINE.rowsBetween(Window.unboundedPreceding, 0))
+    filled = F.last("value", ignorenulls=True).over(line().rowsBetween(Window.unboundedPreceding, 0))
     return joined.withColumn("value", filled).where(F.col("value").isNotNull())
 
 
 def fill_both_ways(panel: DataFrame) -> DataFrame:
     """Forward, then backward fill."""
-    forward = F.last("value", ignorenulls=True).over(LINE.rowsBetween(Window.unboundedPreceding, 0))
-    backward = F.first("value", ignorenulls=True).over(LINE.rowsBetween(0, Window.unboundedFollowing))
+    forward = F.last("value", ignorenulls=True).over(line().rowsBetween(Window.unboundedPreceding, 0))
+    backward = F.first("value", ignorenulls=True).over(line().rowsBetween(0, Window.unboundedFollowing))
     return panel.withColumn("value", F.coalesce(forward, backward))
 
 
@@ -108,18 +114,18 @@ def validate_panel(panel: DataFrame, min_rows: int = 10) -> DataFrame:
 
 def zscore(panel: DataFrame, ddof: int = 1) -> DataFrame:
     """ddof 1: NULL on constants.  ddof 0: a small constant is added to the deviation."""
-    centred = F.col("value") - F.avg("value").over(BY)
-    scale = F.nullif(F.stddev_samp("value").over(BY), F.lit(0.0)) if ddof else F.stddev_pop("value").over(BY) + F.lit(EPS)
+    centred = F.col("value") - F.avg("value").over(by())
+    scale = F.nullif(F.stddev_samp("value").over(by()), F.lit(0.0)) if ddof else F.stddev_pop("value").over(by()) + F.lit(EPS)
     return panel.withColumn("value", div(centred, scale))
 
 
 def minmax(panel: DataFrame) -> DataFrame:
-    lo, hi = F.min("value").over(BY), F.max("value").over(BY)
+    lo, hi = F.min("value").over(by()), F.max("value").over(by())
     return panel.withColumn("value", div(F.col("value") - lo, hi - lo))
 
 
 def pct_change(panel: DataFrame) -> DataFrame:
-    before = F.lag("value").over(LINE)
+    before = F.lag("value").over(line())
     return panel.withColumn("value", div(F.col("value") - before, before))
 
 
@@ -128,7 +134,7 @@ simple_returns = pct_change
 
 def abs_returns(panel: DataFrame, limit: float | None = None) -> DataFrame:
     """Change over the absolute previous value; clipped to +-limit where given."""
-    before = F.lag("value").over(LINE)
+    before = F.lag("value").over(line())
     r = (F.col("value") - before) / (F.abs(before) + F.lit(EPS))
     return panel.withColumn("value", r if limit is None else clip(r, -limit, limit))
 
@@ -136,14 +142,14 @@ def abs_returns(panel: DataFrame, limit: float | None = None) -> DataFrame:
 def log_returns(panel: DataFrame, floor: float | None = None, drop_above: float | None = None) -> DataFrame:
     """ln(v / previous); non-positive values give NULL unless floored; |r| >= drop_above become NULL."""
     v = F.when(F.col("value").isNotNull(), F.greatest("value", F.lit(floor))) if floor is not None else F.col("value")
-    r = ln_pos(v) - ln_pos(F.lag(v).over(LINE))
+    r = ln_pos(v) - ln_pos(F.lag(v).over(line()))
     if drop_above is not None:
         r = F.when(F.abs(r) < drop_above, r)
     return panel.withColumn("value", r)
 
 
 def first_difference(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("value", F.col("value") - F.lag("value").over(LINE))
+    return panel.withColumn("value", F.col("value") - F.lag("value").over(line()))
 
 
 def average_rank(value: Column, by) -> Column:
@@ -153,7 +159,7 @@ def average_rank(value: Column, by) -> Column:
 
 def percent_rank_avg(panel: DataFrame, plus_one: bool = False) -> DataFrame:
     """Average rank over n (or n + 1)."""
-    n = F.count("value").over(BY) + (1 if plus_one else 0)
+    n = F.count("value").over(by()) + (1 if plus_one else 0)
     return panel.withColumn("value", average_rank(F.col("value"), ["indicator_id"]) / n)
 
 
@@ -167,7 +173,7 @@ def normalise(panel: DataFrame, method: str) -> DataFrame:
 def discretise(panel: DataFrame, n_bins: int = 8, method: str = "quantile") -> DataFrame:
     """Adds bin (from 0): right-closed quantile bins with equal edges dropped, or equal width."""
     if method == "equal":
-        lo, hi = F.min("value").over(BY), F.max("value").over(BY)
+        lo, hi = F.min("value").over(by()), F.max("value").over(by())
         share = div(F.col("value") - lo, hi - lo)
         return panel.withColumn("bin", F.when(share.isNull(), 0).otherwise(F.greatest(F.ceil(share * n_bins) - 1, F.lit(0))).cast("int"))
     edges = panel.groupBy("indicator_id").agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)]))).alias("inner"), F.min("value").alias("lo"))
@@ -179,7 +185,7 @@ def discretise(panel: DataFrame, n_bins: int = 8, method: str = "quantile") -> D
 def view(panel: DataFrame, kind: str, window: int = 21, min_periods: int = 10) -> DataFrame:
     """LEVEL, RETURNS, VOLATILITY, DEVIATION (= ANOMALY), INCIDENCE (= difference)."""
     kind = kind.upper()
-    frame = LINE.rowsBetween(-(window - 1), 0)
+    frame = line().rowsBetween(-(window - 1), 0)
     if kind == "LEVEL":
         return panel
     if kind == "RETURNS":
@@ -224,7 +230,7 @@ def frequency_of(interval: Column) -> Column:
 
 def temporal_profile(panel: DataFrame) -> DataFrame:
     """Observations, span, mean and median gap, frequency."""
-    gaps = panel.withColumn("gap", F.datediff("date", F.lag("date").over(LINE)))
+    gaps = panel.withColumn("gap", F.datediff("date", F.lag("date").over(line())))
     out = gaps.groupBy("indicator_id").agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_obs"), F.datediff(F.max("date"), F.min("date")).alias("span_days"), F.median("gap").alias("median_interval"),
         F.stddev_pop("gap").alias("gap_sd"),

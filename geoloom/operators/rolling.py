@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoloom.functions.mathx import div, safe_corr_over
 from geoloom.operators.joins import pairs_on_date
+from geoloom.operators.panel import line
 
-LINE = Window.partitionBy("indicator_id").orderBy("date")
 
 
-def frame(n: int, line=LINE):
-    return line.rowsBetween(-(n - 1), 0)
+def frame(n: int, over=None):
+    return (line() if over is None else over).rowsBetween(-(n - 1), 0)
 
 
-def full(value: Column, n: int, min_periods: int, line=LINE, count: Column | None = None) -> Column:
+def full(value: Column, n: int, min_periods: int, over=None, count: Column | None = None) -> Column:
     """``value`` where the frame has min_periods rows."""
-    return F.when(F.count(count if count is not None else F.col("value")).over(frame(n, line)) >= min_periods, value)
+    return F.when(F.count(count if count is not None else F.col("value")).over(frame(n, over)) >= min_periods, value)
 
 
 def rolling(panel: DataFrame, n: int, min_periods: int | None = None) -> DataFrame:
@@ -41,10 +41,10 @@ def beta_summary(betas: DataFrame) -> DataFrame:
 
 def rolling_pair_corr(panel: DataFrame, window: int = 60) -> DataFrame:
     """Correlation of each pair over full frames."""
-    line = Window.partitionBy("id_1", "id_2").orderBy("date")
+    pair = Window.partitionBy("id_1", "id_2").orderBy("date")
     both = pairs_on_date(panel).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    corr = safe_corr_over(F.col("x"), F.col("y"), frame(window, line))
-    return both.withColumn("corr", full(corr, window, window, line, F.col("x"))).where(F.col("corr").isNotNull()).select("id_1", "id_2", "date", "corr")
+    corr = safe_corr_over(F.col("x"), F.col("y"), frame(window, pair))
+    return both.withColumn("corr", full(corr, window, window, pair, F.col("x"))).where(F.col("corr").isNotNull()).select("id_1", "id_2", "date", "corr")
 
 
 def correlation_dispersion(rolled: DataFrame) -> DataFrame:
@@ -54,23 +54,23 @@ def correlation_dispersion(rolled: DataFrame) -> DataFrame:
 
 def percentile_of_last(series: DataFrame, value: str, lookback: int = 252, keys: tuple[str, ...] = ()) -> DataFrame:
     """Share of the frame that is at most its last value."""
-    line = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(lookback - 1), 0)
-    seen = F.collect_list(value).over(line)
+    span = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(lookback - 1), 0)
+    seen = F.collect_list(value).over(span)
     return series.withColumn("share_below", div(F.size(F.filter(seen, lambda x: x <= F.col(value))).cast("double"), F.size(seen).cast("double")))
 
 
 def cumulative(panel: DataFrame) -> DataFrame:
     """Running sum, product of (1 + value), and maximum."""
-    run = LINE.rowsBetween(Window.unboundedPreceding, 0)
+    run = line().rowsBetween(Window.unboundedPreceding, 0)
     grown = F.when(F.min(F.lit(1) + F.col("value")).over(run) > 0, F.exp(F.sum(F.when(F.col("value") > -1, F.log1p("value"))).over(run)))
     return panel.withColumns({"cum_sum": F.sum("value").over(run), "cum_prod": grown, "cum_max": F.max("value").over(run)})
 
 
 def islands(df: DataFrame, flag: str, keys: tuple[str, ...] = ("indicator_id",), order: str = "date") -> DataFrame:
     """Numbers the runs of equal ``flag``."""
-    line = Window.partitionBy(*keys).orderBy(order)
-    change = F.when(F.lag(flag).over(line).eqNullSafe(F.col(flag)) & (F.row_number().over(line) > 1), 0).otherwise(1)
-    return df.withColumn("__change", change).withColumn("run", F.sum("__change").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("__change")
+    along = Window.partitionBy(*keys).orderBy(order)
+    change = F.when(F.lag(flag).over(along).eqNullSafe(F.col(flag)) & (F.row_number().over(along) > 1), 0).otherwise(1)
+    return df.withColumn("__change", change).withColumn("run", F.sum("__change").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("__change")
 
 
 def streaks(df: DataFrame, flag: str, keys: tuple[str, ...] = ("indicator_id",), order: str = "date") -> DataFrame:
@@ -80,12 +80,12 @@ def streaks(df: DataFrame, flag: str, keys: tuple[str, ...] = ("indicator_id",),
 
 def edges(df: DataFrame, flag: Column, keys: tuple[str, ...] = ("indicator_id",), order: str = "date") -> DataFrame:
     """Rows where ``flag`` rises (1) or falls (-1)."""
-    line = Window.partitionBy(*keys).orderBy(order)
+    along = Window.partitionBy(*keys).orderBy(order)
     now = flag.cast("int")
-    return df.withColumn("__now", now).withColumn("edge", F.col("__now") - F.lag("__now").over(line)).where("edge <> 0").drop("__now")
+    return df.withColumn("__now", now).withColumn("edge", F.col("__now") - F.lag("__now").over(along)).where("edge <> 0").drop("__now")
 
 
 def block_ranges(panel: DataFrame, size: int = 5) -> DataFrame:
     """Range of each full block of rows."""
-    n = F.row_number().over(LINE) - 1
+    n = F.row_number().over(line()) - 1
     return panel.withColumn("block", F.floor(n / F.lit(size))).groupBy("indicator_id", "block").agg((F.max("value") - F.min("value")).alias("range"), F.count("*").alias("n")).where(F.col("n") == size)

@@ -6,8 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-LINE = Window.partitionBy("indicator_id").orderBy("date")
-
 #: Days (window, step) by domain and rows (window, step) by resolution.  Fixed values.
 DOMAIN_DAYS = {"economic": (252, 21), "climate": (180, 30), "epidemiology": (365, 30), "seismology": (90, 7)}
 
@@ -23,7 +21,7 @@ RESOLUTIONS = {"weekly": Resolution(63, 5), "monthly": Resolution(252, 21), "qua
 
 def by_rows(panel: DataFrame, window: int = 252, step: int = 21) -> DataFrame:
     """Row-count windows: number k holds rows k*step .. k*step+window-1; only full ones.  Adds window_id, window_start, window_end."""
-    counted = panel.withColumn("rn", F.row_number().over(LINE) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("indicator_id")))
+    counted = panel.withColumn("rn", F.row_number().over(Window.partitionBy("indicator_id").orderBy("date")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("indicator_id")))
     first = F.greatest(F.ceil((F.col("rn") - window + 1) / F.lit(step)), F.lit(0))
     last = F.least(F.floor(F.col("rn") / F.lit(step)), F.floor((F.col("n") - window) / F.lit(step)))
     hit = counted.where((F.col("n") >= window) & (first <= last)).withColumn("window_id", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
