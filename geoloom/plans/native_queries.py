@@ -160,27 +160,27 @@ def temporal_profile_orders(spark, sf_dir):
     return rounded(P.temporal_profile(orders_daily(spark, sf_dir)))
 
 
-@query(f"WITH {SHIP_DAILY} SELECT indicator_id, CAST(date_trunc('month', date) AS DATE) AS date, arg_max(value, date) AS last_value, round(avg(value), 4) AS mean_value, round(sum(value), 2) AS sum_value FROM ship_daily GROUP BY 1, 2")
+@query(f"WITH {SHIP_DAILY} SELECT indicator_id, CAST(date_trunc('month', date) AS DATE) AS date, arg_max(value, date) AS last_value, round(avg(value), 7) AS mean_value, round(sum(value), 2) AS sum_value FROM ship_daily GROUP BY 1, 2")
 def resample_month(spark, sf_dir):
     s = ship_daily(spark, sf_dir)
     frames = [P.resample(s, "M", r).withColumnRenamed("value", f"{r}_value") for r in ("last", "mean", "sum")]
     out = frames[0].join(frames[1], ["indicator_id", "date"]).join(frames[2], ["indicator_id", "date"])
-    return rounded(out, 4, sum_value=2, last_value=2)
+    return rounded(out, 7, sum_value=2, last_value=2)
 
 
 @query(f"""WITH {ORDERS_DAILY}, r AS (SELECT *, row_number() {LINE} - 1 AS rn, count(*) {BY} AS n FROM orders_daily), w AS (SELECT indicator_id, n, unnest(generate_series(0, CAST(floor((n - 252) / 21.0) AS BIGINT))) AS window_id FROM (SELECT DISTINCT indicator_id, n FROM r WHERE n >= 252))
-SELECT w.indicator_id, w.window_id, min(date) AS window_start, max(date) AS window_end, count(*) AS n_obs, round(avg(value), 4) AS mean_value FROM w JOIN r ON r.indicator_id = w.indicator_id AND r.rn BETWEEN w.window_id * 21 AND w.window_id * 21 + 251 GROUP BY 1, 2""")
+SELECT w.indicator_id, w.window_id, min(date) AS window_start, max(date) AS window_end, count(*) AS n_obs, round(avg(value), 7) AS mean_value FROM w JOIN r ON r.indicator_id = w.indicator_id AND r.rn BETWEEN w.window_id * 21 AND w.window_id * 21 + 251 GROUP BY 1, 2""")
 def window_rowcount(spark, sf_dir):
     cut = windows.by_rows(orders_daily(spark, sf_dir), 252, 21)
-    return rounded(cut.groupBy("indicator_id", "window_id", "window_start", "window_end").agg(F.count("*").alias("n_obs"), F.avg("value").alias("mean_value")), 4)
+    return rounded(cut.groupBy("indicator_id", "window_id", "window_start", "window_end").agg(F.count("*").alias("n_obs"), F.avg("value").alias("mean_value")), 7)
 
 
 @query(f"""WITH {ORDERS_DAILY}, s AS (SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT min(date) AS lo, max(date) AS hi FROM orders_daily GROUP BY indicator_id)),
 w AS (SELECT CAST(k AS INTEGER) AS window_id, lo + 252 + CAST(k * 21 AS INTEGER) AS window_end FROM s, generate_series(0, 1000) g(k) WHERE lo + 252 + CAST(k * 21 AS INTEGER) <= hi)
-SELECT o.indicator_id, w.window_id, w.window_end - 252 AS window_start, w.window_end, count(*) AS n_obs, round(avg(value), 4) AS mean_value FROM w, s, orders_daily o WHERE o.date BETWEEN w.window_end - 252 AND w.window_end AND o.date BETWEEN s.lo AND s.hi GROUP BY 1, 2, 3, 4""")
+SELECT o.indicator_id, w.window_id, w.window_end - 252 AS window_start, w.window_end, count(*) AS n_obs, round(avg(value), 7) AS mean_value FROM w, s, orders_daily o WHERE o.date BETWEEN w.window_end - 252 AND w.window_end AND o.date BETWEEN s.lo AND s.hi GROUP BY 1, 2, 3, 4""")
 def window_calendar(spark, sf_dir):
     cut = windows.by_days(orders_daily(spark, sf_dir), 252, 21)
-    return rounded(cut.groupBy("indicator_id", "window_id", "window_start", "window_end").agg(F.count("*").alias("n_obs"), F.avg("value").alias("mean_value")), 4)
+    return rounded(cut.groupBy("indicator_id", "window_id", "window_start", "window_end").agg(F.count("*").alias("n_obs"), F.avg("value").alias("mean_value")), 7)
 
 
 @query(f"""WITH {NATION_MONTHLY}, s AS (SELECT max(lo) AS "start", min(hi) AS "end" FROM (SELECT min(date) AS lo, max(date) AS hi FROM nation_monthly GROUP BY indicator_id)) SELECT * FROM s WHERE "start" <= "end" """)

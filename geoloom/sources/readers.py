@@ -59,7 +59,7 @@ def csv_any(spark: SparkSession, path: str) -> DataFrame:
     raw = _lower(spark.read.csv(path, header=True))
     date = next((c for c in raw.columns if c in DATE_NAMES), raw.columns[0])
     others = [c for c in raw.columns if c != date]
-    numeric = raw.agg(*[F.avg(F.expr(f"CAST(try_cast(`{c}` AS double) IS NOT NULL AS int)")).alias(c) for c in others]).first()
+    numeric = raw.agg(*[F.avg(F.expr(f"CASE WHEN `{c}` IS NOT NULL THEN CAST(try_cast(`{c}` AS double) IS NOT NULL AS int) END")).alias(c) for c in others]).first()
     share = sum((numeric[c] or 0) > 0.8 for c in others) / max(len(others), 1)
     layout = detect_layout(raw.columns, share)
     when = F.expr(f"try_cast(`{date}` AS date)").alias("date")
@@ -161,7 +161,7 @@ def decimal_dates(spark: SparkSession, path: str, indicator_id: str, date_cols:
 
 def streamflow_json(spark: SparkSession, path: str, indicator_id: str) -> DataFrame:
     """{"value": {"timeSeries": [{"values": [{"value": [{"value", "dateTime"}]}]}]}}; negative is missing."""
-    raw = spark.read.schema("value struct<timeSeries: array<struct<values: array<struct<value: array<struct<value: string, dateTime: string>>>>>>").option("multiLine", True).json(path)
+    raw = spark.read.schema("value struct<timeSeries: array<struct<values: array<struct<value: array<struct<value: string, dateTime: string>>>>>>>").option("multiLine", True).json(path)
     rows = raw.select(F.explode("value.timeSeries").alias("t")).select(F.explode("t.values").alias("v")).select(F.explode("v.value").alias("o"))
     return rows.select(F.lit(indicator_id).alias("indicator_id"), F.to_date(F.substring("o.dateTime", 1, 10)).alias("date"), F.expr("try_cast(o.value AS double)").alias("value")).where("value >= 0")
 
