@@ -28,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from geoloom.llm.words import giving_back
+
 MARK = "▁"
 #: Parts kept a worker; beyond that the store starts anew.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 200_000
 ROWS_A_BATCH = 512
 #: Parts up to this length keep their agenda in a flat list, longer ones in a heap.
 SHORT = 24
@@ -38,18 +40,22 @@ NONE = 1 << 60
 
 
 class Words(dict):
-    """word -> ids of the word with the mark in front."""
+    """word -> ids (packed int32) of the word with the mark in front."""
 
     def __init__(self, encoder: MergeEncoder):
         super().__init__()
         self.encoder = encoder
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         return self.encoder[MARK + word]
 
 
+def packed(ids) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class MergeEncoder(dict):
-    """text part -> tuple of ids; a dict that fills itself."""
+    """part of a text -> its ids, packed as int32; a dict that fills itself."""
 
     def __init__(self, processor):
         super().__init__()
@@ -72,12 +78,12 @@ class MergeEncoder(dict):
         surface[self.unknown] = " ⁇ ".encode()
         self.surface = surface
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
+    def __missing__(self, part: str) -> bytes:
         pieces = self.cut(part)
         if len(pieces) > 1:
-            found = tuple(chain.from_iterable([self[x] for x in pieces]))
+            found = b"".join([self[x] for x in pieces])
         else:
-            found = tuple(self.short_agenda(part) if len(part) <= SHORT else self.agenda(part))
+            found = packed(self.short_agenda(part) if len(part) <= SHORT else self.agenda(part))
         if len(part) <= 48:
             self[part] = found
         return found
@@ -99,7 +105,7 @@ class MergeEncoder(dict):
             self._chars[[ord(c) for c in single]] = list(single.values())
         return self._pairs
 
-    def agendas(self, parts: list[str]) -> list[list[int]]:
+    def agendas(self, parts: list[str]) -> list[bytes]:
         """The agendas of many parts, one merge of each at a step.
 
         Symbols are a matrix, a part a row; ``waiting`` holds the place of every
@@ -148,12 +154,12 @@ class MergeEncoder(dict):
             waiting[k, at] = look(joined, symbols[k, np.minimum(at + 1, width - 1)])
             left = at > 0
             waiting[k[left], at[left] - 1] = look(symbols[k[left], at[left] - 1], joined[left])
-        out = []
-        for row in done_symbols.tolist():
-            row = row[: row.index(-1)]
-            if min(row) < 0:
-                row = self.numbered([chr(-2 - x) if x < 0 else x for x in row])
-            out.append(tuple(row))
+        sizes = (done_symbols != -1).sum(axis=1)
+        strange = set(np.flatnonzero((done_symbols < -1).any(axis=1)).tolist())
+        raw, step = done_symbols.astype(np.int32).tobytes(), 4 * width
+        out = [raw[i * step : i * step + 4 * n] for i, n in enumerate(sizes.tolist())]
+        for i in strange:
+            out[i] = packed(self.numbered([chr(-2 - x) if x < 0 else x for x in done_symbols[i, : sizes[i]].tolist()]))
         return out
 
     def learn(self, texts: list[str]) -> None:
@@ -178,16 +184,19 @@ class MergeEncoder(dict):
         for at in range(0, len(short), 8192):
             some = short[at : at + 8192]
             self.update(zip(some, self.agendas(some)))
-        self.words.update([(w, tuple(chain.from_iterable([self[x] for x in parts]))) for w, parts in rest.items()])
-        for w, theirs in zip(new, self.processor.encode(new, num_threads=1)):
-            if len(self.words[w]) != len(theirs) or self.words[w] != tuple(theirs):
-                self.words[w] = tuple(theirs)
-                self.differing.add(w)
-
-    def run_of_marks(self, part: str) -> tuple[int, ...]:
+        self.words.update([(w, b"".join([self[x] for x in parts])) for w, parts in rest.items()])
+        theirs = self.processor.encode(new, num_threads=1)
+        flat = np.fromiter(chain.from_iterable(theirs), np.int32)
+        if b"".join([self.words[w] for w in new]) != flat.tobytes() or any(4 * len(t) != len(self.words[w]) for w, t in zip(new, theirs)):
+            for w, t in zip(new, theirs):
+                if self.words[w] != packed(t):
+                    self.words[w] = packed(t)
+                    self.differing.add(w)
+
+    def run_of_marks(self, part: str) -> bytes:
         """Ids of several marks and the word after them, held against the library."""
         if part not in self.runs:
-            own, theirs = self[part], tuple(self.processor.encode(part[1:].replace(MARK, " ")))
+            own, theirs = self[part], packed(self.processor.encode(part[1:].replace(MARK, " ")))
             if own != theirs:
                 self.differing.add(part)
             self.runs[part] = theirs
@@ -246,27 +255,27 @@ class MergeEncoder(dict):
                 out.append(self.unknown)
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; the dummy mark goes in front of any text that isn't empty."""
+    def encode(self, text: str | None) -> bytes:
+        """Packed ids of a text; the dummy mark goes in front of any text that isn't empty."""
         if not text:
-            return []
+            return b""
         parts = text.replace(MARK, " ").split(" ")
         if self.spaced:
-            return list(self[MARK + MARK.join(parts)])
+            return self[MARK + MARK.join(parts)]
         if "" not in parts:
-            return list(chain.from_iterable([self.words[p] for p in parts]))
-        out: list[int] = []
+            return b"".join([self.words[p] for p in parts])
+        out: list[bytes] = []
         marks = ""
         for p in parts:
             marks += MARK
             if p:
-                out.extend(self.words[p] if marks == MARK else self.run_of_marks(marks + p))
+                out.append(self.words[p] if marks == MARK else self.run_of_marks(marks + p))
                 marks = ""
         if marks:
-            out.extend(self.run_of_marks(marks) if len(marks) > 1 else self[marks])
+            out.append(self.run_of_marks(marks) if len(marks) > 1 else self[marks])
         if len(self.runs) > CACHE_PARTS // 10:
             self.runs.clear()
-        return out
+        return b"".join(out)
 
     def agreed(self, text: str) -> bool:
         """Whether all parts of a text were encoded as the library encodes them."""
@@ -297,15 +306,17 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", keep
     def run(batches):
         processor, own = _load(model_path)
         gc.disable()  # nothing here makes cycles, and the store of parts is costly to walk
-        for batch in batches:
+        for batch in giving_back(batches):
             for at in range(0, batch.num_rows, ROWS_A_BATCH):
                 part = batch.slice(at, ROWS_A_BATCH)
                 texts = [t or "" for t in part.column(len(keep)).to_pylist()]
                 own.learn(texts)
-                ids = [own.encode(t) for t in texts]
+                raw = [own.encode(t) for t in texts]
+                ids = [np.frombuffer(x, np.int32).tolist() for x in raw]
                 if own.spaced:  # no cuts to rely on: whole texts are compared
                     theirs = processor.encode(texts, num_threads=1)
                     agrees, ids = [a == b for a, b in zip(ids, theirs)], theirs
+                    raw = [packed(x) for x in ids]
                 else:
                     agrees = [own.agreed(t) for t in texts]
                 decoded = [own.decode(x) for x in ids]
@@ -313,8 +324,8 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", keep
                     if back != decoded[i]:
                         decoded[i], agrees[i] = back, False
                 offsets = np.zeros(len(texts) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+                np.cumsum([len(x) // 4 for x in raw], out=offsets[1:])
+                flat = np.frombuffer(b"".join(raw), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())],
                     names=[*keep, "ids", "decoded", "agrees"],

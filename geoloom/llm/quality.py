@@ -15,7 +15,7 @@ rows of both classes every score is 0.5; long texts are read whole; repeated
 rows get equal scores.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from geoloom.llm.common import fold_of
 from geoloom.llm.labelled import sample_labelled
-from geoloom.llm.words import Words, sequence_hashes, slices
+from geoloom.llm.words import Words, giving_back, sequence_hashes, slices
 
 ROWS_A_CLASS = 3000
 PASSAGE_WORDS = 64
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_i
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
 
     def run(batches):
-        for batch in batches:
+        for batch in giving_back(batches):
             for a, b in slices(batch.column(len(keep))):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score_column(shared.value, part.column(len(keep))))], names=[*keep, "score"])
@@ -192,7 +192,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: in
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, cut: float = 0.5, **bounds) -> DataFrame:
-    """``docs`` without the documents scored below ``cut``, all columns kept."""
+    """``docs`` without the documents scored below ``cut``, all columns kept.
+
+    Only the text goes to Python and only the score comes back.
+    """
     model = fit(docs, labels, "quality", modulus, held, **bounds)
-    scored = predict(docs, model, tuple(docs.columns))
-    return scored.where(F.col("score") >= cut).drop("score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in giving_back(texts):
+            parts = [score_column(shared.value, column.slice(a, b - a)) for a, b in slices(column)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return docs.where(score(F.col("text")) >= cut)

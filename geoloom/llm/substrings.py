@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from geoloom.llm.common import free_shuffles, materialize
-from geoloom.llm.words import Words, mix, sequence_hashes, slices
+from geoloom.llm.words import Words, giving_back, mix, sequence_hashes, slices
 
 LENGTH = 13
 #: Suffixes a group may hold at most; a group is one task's memory.
@@ -241,7 +241,7 @@ def _tree(batches):
     held: list[bytes] = []
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at, waiting = None, 0
-    for batch in batches:
+    for batch in giving_back(batches):
         for g, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if g < 0:
                 yield _out([(g, payload)])
@@ -307,7 +307,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, group_suffixes: int =
 
         def gather(batches, turn=turn):
             chunk = _Chunk(length, group.value, rounds, turn, marked)
-            for batch in batches:
+            for batch in giving_back(batches):
                 for a, b in slices(batch.column(2)):
                     part = batch.slice(a, b - a)
                     chunk.add(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2))
@@ -350,7 +350,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...
 
     def run(batches):
         at, known = None, {}
-        for batch in batches:
+        for batch in giving_back(batches):
             kind, bucket = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (bucket[1:] != bucket[:-1]), [True]]))
             for a, b in zip(cuts, cuts[1:]):  # a bucket's places stand before its texts

@@ -93,3 +93,20 @@ def slices(column: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 2048):
         to = min(max(to, row + 1), row + most_rows, n)
         yield row, to
         row = to
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays for later tasks and should not keep a past one's peak."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another libc
+        pass
+
+
+def giving_back(batches):
+    """The batches; frees memory when they end."""
+    yield from batches
+    give_back()
