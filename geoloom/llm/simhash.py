@@ -31,13 +31,14 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from geoloom.llm.common import attach, materialize
 from geoloom.llm.components import components
-from geoloom.llm.words import slices, text_buffer
+from geoloom.llm.words import giving_back, slices, text_buffer
 
 SHINGLE = 4
+SEED = 42
 RADIUS = 4
 BLOCKS = 6
 TILE = 4096
@@ -49,7 +50,7 @@ _ONE = np.uint64(1)
 # ---- fingerprints
 
 
-def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """A uint64 a text."""
     from xxhash import xxh64_intdigest
 
@@ -61,12 +62,12 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         n = len(words)
         if n <= shingle:
             if n:
-                flat.append(xxh64_intdigest(text, 42))
+                flat.append(xxh64_intdigest(text, seed))
             counts.append(min(n, 1))
             continue
         ends = list(accumulate(map(len, words), lambda x, y: x + y + 1))
         starts = [0, *(e + 1 for e in ends[: n - shingle])]
-        flat.extend([xxh64_intdigest(text[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :])])
+        flat.extend([xxh64_intdigest(text[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :])])
         counts.append(n - shingle + 1)
     out = np.zeros(len(column), np.uint64)
     count = np.array(counts, np.int64)
@@ -81,16 +82,21 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def columns_of(seeds: tuple[int, ...]) -> list[str]:
+    return [f"fp{i or ''}" for i in range(len(seeds))]
+
+
+def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """doc_id, fp, fp1 ...: 64 bits a seed, as signed longs."""
+    names = ["doc_id", *columns_of(seeds)]
 
     def run(batches):
-        for batch in batches:
+        for batch in giving_back(batches):
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), shingle).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(fingerprints(part.column(1), shingle, seed).view(np.int64)) for seed in seeds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 # ---- bit-sliced comparison
@@ -111,19 +117,19 @@ def _abandon(counter: list[np.ndarray], radius: int) -> np.ndarray:
 def close_lanes(fp: np.ndarray, planes: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For each entry (query ``fp`` against the 64 fingerprints of ``word``): the entries left and their lanes within the radius.
 
-    ``planes`` is 64 x words; ``lanes`` the lanes to compare.
+    ``fp`` is entries x 64-bit parts, ``planes`` bits x words; ``lanes`` the lanes to compare.
     """
     index = np.arange(len(fp))
     bits = max(2, (radius + 3).bit_length())
     counter = [np.zeros(len(fp), np.uint64) for _ in range(bits)]
     alive = lanes.copy()
-    for b in range(0, 64, 3):
-        d = [planes[k][word] ^ (np.uint64(0) - ((fp >> np.uint64(k)) & _ONE)) for k in range(b, min(b + 3, 64))]
+    for b in range(0, len(planes), 3):
+        d = [planes[k][word] ^ (np.uint64(0) - ((fp[:, k // 64] >> np.uint64(k % 64)) & _ONE)) for k in range(b, min(b + 3, len(planes)))]
+        half = d[0] ^ d[1] if len(d) > 1 else d[0]
         if len(d) == 3:
-            half = d[0] ^ d[1]
             carry = [half ^ d[2], (d[0] & d[1]) | (d[2] & half)]
         else:
-            carry = [d[0], np.zeros_like(d[0])]
+            carry = [half, d[0] & d[1] if len(d) == 2 else np.zeros_like(half)]
         ripple = np.zeros_like(alive)
         for k in range(bits):  # add the two-bit sum and ripple the carry
             x = carry[k] if k < 2 else np.zeros_like(alive)
@@ -153,7 +159,8 @@ def merge_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 
 
 def bucket_labels(fp: np.ndarray, bucket: np.ndarray, radius: int, entries: int = 1 << 16) -> np.ndarray:
-    """Component label of each fingerprint among those of its bucket; ``bucket`` is sorted."""
+    """Component label of each fingerprint (a row of 64-bit parts) among those of its bucket; ``bucket`` is sorted."""
+    fp = fp.reshape(len(fp), -1)
     n = len(fp)
     label = np.arange(n)
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -165,7 +172,7 @@ def bucket_labels(fp: np.ndarray, bucket: np.ndarray, radius: int, entries: int
     lane = (place % 64).astype(np.uint64)
     begin = np.flatnonzero(place % 64 == 0)
     valid = np.bitwise_or.reduceat(_ONE << lane, begin)
-    planes = np.stack([np.bitwise_or.reduceat(((fp >> np.uint64(b)) & _ONE) << lane, begin) for b in range(64)])
+    planes = np.stack([np.bitwise_or.reduceat(((fp[:, b // 64] >> np.uint64(b % 64)) & _ONE) << lane, begin) for b in range(64 * fp.shape[1])])
     ahead = np.repeat(base[1:], size) - word  # words of the bucket from the own one on
     upto = np.concatenate([[0], np.cumsum(ahead)])
     at = 0
@@ -196,7 +203,7 @@ def forest(route: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> t
     if not several.any():
         return rep[:0], rep[:0]
     route, fp, rep = route[several], fp[several], rep[several]
-    label = bucket_labels(fp.view(np.uint64), route, radius)
+    label = bucket_labels(np.ascontiguousarray(fp).view(np.uint64), route, radius)
     least = np.full(len(rep), np.iinfo(np.int64).max)
     np.minimum.at(least, label, rep)
     root = least[label]
@@ -216,12 +223,13 @@ def _forests(radius: int, rows: int = 150_000):
             if not last:  # the last bucket may go on
                 cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             held, count = [[c[cut:] for c in cols]], len(cols[0]) - cut
-            a, b = forest(*(c[:cut] for c in cols), radius) if cut else (cols[2][:0], cols[2][:0])
+            route, rep, *fp = (c[:cut] for c in cols)
+            a, b = forest(route, np.column_stack(fp), rep, radius) if cut else (rep, rep)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
-                held.append([batch.column(k).to_numpy() for k in range(3)])
+                held.append([batch.column(k).to_numpy() for k in range(batch.num_columns)])
                 count += batch.num_rows
                 if count >= rows:
                     yield flush(False)
@@ -239,43 +247,67 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def link(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """(fp, rep) with distinct fp -> edges (a, b) between reps that span all links within the radius."""
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(block_masks(blocks, radius))])
-    keyed = nodes.select("fp", "rep", F.explode(keys).alias("key"))
+def sampled_masks(tables: int, key_bits: int, parts: int, seed: int = 7) -> list[list[int]]:
+    """For each table a signed mask a 64-bit part; together they pick ``key_bits`` bits at random."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(tables):
+        picked = rng.choice(64 * parts, key_bits, replace=False).tolist()
+        masks = [sum(1 << (b % 64) for b in picked if b // 64 == p) for p in range(parts)]
+        out.append([m - (1 << 64) if m >> 63 else m for m in masks])
+    return out
+
+
+def link(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE, tables: int | None = None, key_bits: int = 16) -> DataFrame:
+    """(rep, fp, fp1 ...) with distinct fingerprints -> edges (a, b) between reps that span the links within the radius.
+
+    Without ``tables`` the buckets are those of the pigeonhole and no link is
+    missed.  With ``tables`` (for radii that the pigeonhole can't serve) they
+    are keyed by so many samples of ``key_bits`` bits: a link at distance d is
+    found with probability 1 - (1 - (1 - d / bits)^key_bits)^tables, nearly.
+    """
+    prints = [c for c in nodes.columns if c != "rep"]
+    masks = [[m] for m in block_masks(blocks, radius)] if tables is None else sampled_masks(tables, key_bits, len(prints))
+    keys = F.array(*[F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(m).cast("long")) for c, m in zip(prints, row)]) for t, row in enumerate(masks)])
+    keyed = nodes.select("rep", *prints, F.explode(keys).alias("key"))
     hot = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile), "simhash-hot")
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(9), F.col("fp")), tiles).cast("int")
+    parts = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(9), *prints), parts).cast("int")
     n_hot = hot.count()
     if n_hot:
         placed = attach(keyed, hot, "key", n_hot, "left")
-        partner = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), tiles - 1)))
-        placed = placed.select("fp", "rep", "key", "n", mine.alias("mine"), partner.alias("other"))
+        partner = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), parts - 1)))
+        placed = placed.select("rep", *prints, "key", "n", mine.alias("mine"), partner.alias("other"))
         pair = F.xxhash64(F.col("key"), F.least("mine", "other"), F.greatest("mine", "other"))
-        routed = placed.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(pair).alias("route"), "fp", "rep")
+        routed = placed.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(pair).alias("route"), "rep", *prints)
     else:
-        routed = keyed.select(F.col("key").alias("route"), "fp", "rep")
+        routed = keyed.select(F.col("key").alias("route"), "rep", *prints)
     return routed.repartition("route").sortWithinPartitions("route").mapInArrow(_forests(radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """doc_id, fp (signed long), component_id; one row a row of ``docs``."""
-    prints = materialize(fingerprint_documents(docs, shingle), "simhash-prints")
-    alone = F.lit(NO_ID) + F.pmod("fp", F.lit(1 << 61))
-    nodes = materialize(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), alone).alias("rep")), "simhash-nodes")
-    roots = components(link(nodes, radius, blocks, tile))
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(F.col("fp").alias("node_fp"), F.coalesce("root", "rep").alias("component"))
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE, seeds: tuple[int, ...] = (SEED,), tables: int | None = None, key_bits: int = 16) -> DataFrame:
+    """doc_id, fp (signed long; fp1 ... for more seeds), component_id; one row a row of ``docs``."""
+    names = columns_of(seeds)
+    prints = materialize(fingerprint_documents(docs, shingle, seeds), "simhash-prints")
+    alone = F.lit(NO_ID) + F.pmod(F.xxhash64(*names), F.lit(1 << 61))
+    nodes = materialize(prints.groupBy(*names).agg(F.coalesce(F.min("doc_id"), alone).alias("rep")), "simhash-nodes")
+    roots = components(link(nodes, radius, blocks, tile, tables, key_bits))
+    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(*[F.col(c).alias(f"node_{c}") for c in names], F.coalesce("root", "rep").alias("component"))
     named = materialize(named, "simhash-named")
-    out = prints.join(named, prints["fp"] == named["node_fp"], "left")
-    return out.select("doc_id", "fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
+    on = [prints[c] == named[f"node_{c}"] for c in names]
+    out = prints.join(named, on, "left")
+    return out.select("doc_id", *names, F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Rows that share that id are equal copies or clashes of one id; the first by
-    text is kept.
+    Rows that share that id are equal copies or clashes of one id; one of them is
+    kept, by hash of its text.
     """
-    kept = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    nobody = F.lit(-(1 << 62))
+    found = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialize(found.select(F.coalesce("doc_id", nobody).alias("__id")).distinct(), "simhash-kept")
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), nobody)).join(kept, "__id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text")))
+    return keyed.withColumn("__n", first).where("__n = 1").drop("__id", "__n")
