@@ -426,3 +426,32 @@ def gaussian_hmm(v: np.ndarray, k: int, rounds: int = 100, seed: int = 0) -> dic
 def hmm_states(v: np.ndarray, ks=(2, 3, 4)) -> dict:
     """The number of states with the least BIC."""
     return min((gaussian_hmm(v, k) for k in ks), key=lambda r: r["bic"])
+
+
+def mean_reversion_ci(d: np.ndarray, radius: float, rng: np.random.Generator, n: int = 200) -> dict:
+    """dD = alpha + beta (D - r) with a 95 % bootstrap interval of beta."""
+    x, y = d[:-1] - radius, np.diff(d)
+    slope = lambda a, b: float(((a - a.mean()) * (b - b.mean())).mean() / max(a.var(), 1e-300))
+    beta = slope(x, y)
+    boots = []
+    for _ in range(n):
+        i = rng.integers(0, len(x), len(x))
+        boots.append(slope(x[i], y[i]))
+    lo, hi = np.percentile(boots, [2.5, 97.5])
+    return {"beta": beta, "alpha": float(y.mean() - beta * x.mean()), "beta_low": float(lo), "beta_high": float(hi), "reverting": float(hi < 0)}
+
+
+def effect_ci(changes: np.ndarray, rng: np.random.Generator, n: int = 100) -> dict:
+    """Mean change over its deviation with a 95 % bootstrap interval; ``certain`` if it leaves out zero."""
+    effect = lambda v: float(v.mean() / (v.std() + EPS))
+    boots = [effect(rng.choice(changes, len(changes))) for _ in range(n)]
+    lo, hi = np.percentile(boots, [2.5, 97.5])
+    return {"effect": effect(changes), "effect_low": float(lo), "effect_high": float(hi), "certain": float(lo > 0 or hi < 0)}
+
+
+def stability(v: np.ndarray, metric, rng: np.random.Generator, n: int = 10, share: float = 0.9) -> float:
+    """exp(-2 d), d the mean relative change of a metric on contiguous parts of the series."""
+    whole = metric(v)
+    size = max(int(share * len(v)), 2)
+    parts = [metric(v[s : s + size]) for s in rng.integers(0, len(v) - size + 1, n)]
+    return float(np.exp(-2 * np.mean([abs(p - whole) / (abs(whole) + EPS) for p in parts])))

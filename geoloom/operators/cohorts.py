@@ -113,3 +113,45 @@ def home_distances(points: DataFrame, coverage: float = 0.8, sample: int = 20_00
     x = np.array([r["vector"] for r in part.select("vector").collect()], float)
     home = cohort.home_region(x, coverage)
     return distance_to(points, home["centre"].tolist(), home["precision"].tolist(), home["radius"])
+
+
+def remove_first_component(panel: DataFrame, k: int = 1) -> DataFrame:
+    """The panel less its first k principal components, on the original scale.
+
+    Only the indicator x indicator correlations come to the driver; loadings go
+    back as a broadcast of one row an indicator, scores are one sum a date.
+    Dates on which an indicator is missing keep NULL there.
+    """
+    from geoloom.operators.pairs import correlation_pairs
+
+    w = Window.partitionBy("indicator_id")
+    z = panel.withColumn("mean", F.avg("value").over(w)).withColumn("sd", F.stddev_samp("value").over(w)).withColumn("z", div(F.col("value") - F.col("mean"), F.nullif(F.col("sd"), F.lit(0.0))))
+    edges = correlation_pairs(panel).toPandas()
+    ids = sorted({*edges["id_1"], *edges["id_2"]})
+    at = {i: n for n, i in enumerate(ids)}
+    m = np.eye(len(ids))
+    for a, b, r in zip(edges["id_1"], edges["id_2"], edges["corr"].fillna(0.0)):
+        m[at[a], at[b]] = m[at[b], at[a]] = r
+    _, v = cohort.eigen(m)
+    out = z
+    for c in range(k):
+        table = F.broadcast(panel.sparkSession.createDataFrame([(i, float(v[at[i], c])) for i in ids], "indicator_id string, loading double"))
+        with_loading = out.join(table, "indicator_id")
+        scores = with_loading.groupBy("date").agg(F.sum(F.col("z") * F.col("loading")).alias("score"))
+        out = with_loading.join(scores, "date").withColumn("z", F.col("z") - F.col("score") * F.col("loading")).drop("score", "loading")
+    return out.select("indicator_id", "date", (F.col("mean") + F.col("z") * F.col("sd")).alias("value"))
+
+
+def coupling(vectors: DataFrame, domain: str = "domain", vector: str = "vector") -> DataFrame:
+    """Cosine of the centroids of any two domains."""
+    x = vectors.select(domain, F.posexplode(vector).alias("i", "v")).groupBy(domain, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    a, b = x.select(F.col(domain).alias("domain_1"), "i", F.col("m").alias("p")), x.select(F.col(domain).alias("domain_2"), "i", F.col("m").alias("q"))
+    return a.join(b, "i").where("domain_1 < domain_2").groupBy("domain_1", "domain_2").agg(div(F.sum(F.col("p") * F.col("q")), F.sqrt(F.sum(F.col("p") * F.col("p")) * F.sum(F.col("q") * F.col("q")))).alias("coupling"))
+
+
+def cohesion(vectors: DataFrame, domain: str = "domain", vector: str = "vector", key: str = "indicator_id") -> DataFrame:
+    """1 / (1 + mean distance to the centroid) of each domain."""
+    x = vectors.select(domain, key, F.posexplode(vector).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    c = x.groupBy(domain, "i").agg(F.avg("v").alias("m"))
+    d = x.join(c, [domain, "i"]).groupBy(domain, key).agg(F.sqrt(F.sum((F.col("v") - F.col("m")) * (F.col("v") - F.col("m")))).alias("d"))
+    return d.groupBy(domain).agg(F.avg("d").alias("mean_distance"), (1 / (1 + F.avg("d"))).alias("cohesion"), F.count("*").alias("n"))

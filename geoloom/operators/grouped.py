@@ -28,6 +28,8 @@ SERIES: dict[str, tuple[int, Callable]] = {
     "geometry": (30, series.signature), "entropy": (50, lambda v, s: series.entropies(v)), "wavelet": (64, lambda v, s: series.wavelet(v)), "dmd": (63, lambda v, s: series.dmd_series(v)), "spectral": (64, lambda v, s: series.spectral(v)),
     "spectrum": (64, lambda v, s: series.spectrum_shape(v)), "trend_break": (50, lambda v, s: series.breakpoint_scan(v)), "recurrence": (100, lambda v, s: series.recurrence(v[:: max(1, len(v) // 100)])), "rqa": (50, lambda v, s: series.recurrence(v)),
     "lyapunov": (200, lambda v, s: series.lyapunov(v) | series.correlation_dimension(v)), "stationarity": (50, lambda v, s: series.stationarity(v)), "pacf": (50, lambda v, s: {f"pacf_lag{k}": float(x) for k, x in enumerate(series.pacf(v, 10)) if k}),
+    "mean_reversion": (30, lambda v, s: series.mean_reversion_ci(v, float(np.percentile(v, 80)), np.random.default_rng(s))),
+    "effect": (10, lambda v, s: series.effect_ci(np.diff(v), np.random.default_rng(s))), "stability": (50, lambda v, s: {"stability_volatility": series.stability(v, lambda x: float(np.diff(x).std()), np.random.default_rng(s))}),
     "null_calibration": (50, lambda v, s: series.calibrate(v, lambda x: abs(series.acf(x, 1)[1]), "permutation", np.random.default_rng(s), 99)),
 }
 PAIRS: dict[str, tuple[int, Callable]] = {

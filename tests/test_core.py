@@ -282,6 +282,22 @@ def test_derived_plan(spark):
     assert execute("distances", p).count() == 6 and "kernel_dtw" in REGISTRY
 
 
+def test_first_component(spark):
+    rng = np.random.default_rng(10)
+    common = rng.normal(size=300)
+    p = make_panel(spark, {c: common + 0.3 * rng.normal(size=300) for c in "ABCD"})
+    before = pairs.correlation_summary(pairs.correlation_pairs(p)).first()["mean_abs_corr"]
+    after = pairs.correlation_pairs(cohorts.remove_first_component(p)).toPandas()["corr"]
+    assert before > 0.8 and after.max() < 0.1
+    v = spark.createDataFrame([("x", "a", [1.0, 0.0]), ("x", "b", [1.0, 0.2]), ("y", "c", [0.0, 1.0])], "domain string, indicator_id string, vector array<double>")
+    assert cohorts.coupling(v).first()["coupling"] < 0.2 and {r["domain"]: r["n"] for r in cohorts.cohesion(v).collect()} == {"x": 2, "y": 1}
+    d = [5.0]
+    for _ in range(400):
+        d.append(0.8 * d[-1] + rng.normal() * 0.1)
+    r = series.mean_reversion_ci(np.array(d), 0.0, rng)
+    assert r["reverting"] == 1 and r["beta_low"] < -0.2 < r["beta_high"] + 0.05 and series.effect_ci(np.full(30, 1.0) + rng.normal(size=30) * 0.1, rng)["certain"] == 1
+
+
 # ---- sources and sinks
 
 
