@@ -40,30 +40,40 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 
 TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 WORDS = re.compile(r"[A-Za-z][a-z]*+")
 
 
+def _named_unwanted(token: str) -> bool:
+    """Whether one class or id names furniture: main-menu and sidebar-left do, has-sidebar and entry-header don't."""
+    words = [w.lower() for w in WORDS.findall(token)]
+    bad = DROPPED_WORDS.intersection(words)
+    if not bad or words[0] in ("has", "with", "without", "no", "is"):
+        return False
+    return not (bad == {"header"} and KEPT_WORDS.intersection(words))
+
+
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is cut with all that it holds."""
     if tag in DROPPED or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    words: set[str] = set()
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower() if name.lower() != "class" else value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name == "role" and value in DROPPED_ROLES:
+        if name == "role" and value.lower() in DROPPED_ROLES:
             return True
         if name in ("class", "id"):
-            words.update(w.lower() for w in WORDS.findall(value))
-    if words & COMMENT_WORDS:
-        return tag != "article" or not words & (KEPT_WORDS - {"body", "text", "content"}) or "comment" in words
-    return bool(words & DROPPED_WORDS) and not words & KEPT_WORDS and tag not in ("article", "main")
+            tokens = value.split()
+            if tag in ("article", "main"):  # only comments come as articles of their own
+                tokens = [t for t in tokens if COMMENT_WORDS.intersection(w.lower() for w in WORDS.findall(t))]
+            if any(map(_named_unwanted, tokens)):
+                return True
+    return False
 
 
 class _Tree:
@@ -217,10 +227,13 @@ def extract(page: str | None) -> str:
     chosen = {best}
     if best and tree.tag[best] not in ("article", "main", "body", "html"):
         bar = max(10.0, 0.2 * score[best])
+        titled = [tag in ("h1", "h2") for tag in tree.tag]
+        for i in range(n - 1, 0, -1):
+            titled[tree.parent[i]] |= titled[i]
         for i in range(1, n):
             if tree.parent[i] == tree.parent[best] and i != best and not tree.cut[i] and length[i]:
                 density = linked[i] / length[i]
-                if score[i] >= bar or tree.tag[i] in ("h1", "h2", "h3") or tree.tag[i] == "p" and (density < 0.25 and length[i] > 80 or density == 0):
+                if score[i] >= bar or tree.tag[i] in ("h1", "h2", "h3") or i < best and titled[i] and density < 0.25 or tree.tag[i] == "p" and (density < 0.25 and length[i] > 80 or density == 0):
                     chosen.add(i)
     kept, dense = [False] * n, [False] * n
     for i in range(n):

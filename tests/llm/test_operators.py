@@ -444,6 +444,14 @@ def test_pages(spark):
     assert extract(page) == "Head & line\nFirst, long paragraph, with a link inside.\nSecond one goes on.\nitem 1\nitem 2"
     assert extract(None) == extract("") == extract("<script>x") == "" and extract("plain text") == "plain text"
     assert extract("<div><p>one</p><p>two" + "<b>" * 5000) == "one\ntwo"
+    body = "<p>A long enough paragraph, with commas, to earn its points here.</p><p>And another one, short.</p>"
+    for furniture in (
+        '<div class="main-menu"><a href=1>One</a></div>', '<div id="sidebar-left"><p>Left, text, of, some, length, here.</p></div>', '<div class="ad-slot banner"><p>Buy, now, cheap.</p></div>', '<section class="post-comments"><p>I, too, think so, very much, indeed, yes.</p></section>',
+        '<ul class="breadcrumbs"><li><a href=1>Home</a></li></ul>', '<div role="alert"><p>Notice, please.</p></div>', '<div style="display:none"><p>Hidden, text, here.</p></div>', '<form class="newsletter"><p>Sign, up.</p></form>', '<article class="comment"><p>Reader, says, so.</p></article>', "<noscript><p>Enable it.</p></noscript>",
+        '<div class="related-posts"><h3>Related</h3><ul><li><a href=1>A</a><li><a href=2>B</a></ul></div>', "<!-- <p>not this</p> -->", '<div hidden><p>nor, this.</p></div>',
+    ):
+        for page in (f"<body>{furniture}<article><h1>T</h1>{body}</article></body>", f'<body><div id="wrap"><div class="content has-sidebar" data-note="not hidden at all"><h1>T</h1>{body}{furniture}</div></div></body>', f'<div class="post"><div class="entry-header"><h1>T</h1></div><div class="entry-content">{body}</div></div>{furniture}'):
+            assert extract(page) == "T\nA long enough paragraph, with commas, to earn its points here.\nAnd another one, short.", page
     df = spark.createDataFrame([(1, "u", page), (2, None, None), (2, None, None), (None, "x", "<p>a < b &lt; c</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {(r["page_id"], r["text"]) for r in main_text(df).collect()}
     assert (2, "") in got and (None, "a < b < c") in got
