@@ -8,8 +8,9 @@ pass them are calibrated on the training rows, so that a score of ``cut`` is
 the best threshold there.
 
 Toxic documents are mostly ordinary text, so the toxic dictionary is trained
-on the words that stand out in them (log odds of document counts well above
-their standard error); the ordinary one on passages of ordinary documents.
+on the words that stand out in them by their heads (log odds of document
+counts well above their standard error) and ends with these heads; the
+ordinary one is trained on passages of ordinary documents.
 
 Bounds, as parameters: at most ``rows_a_class`` labelled rows of either class
 are fitted; the model is two dictionaries of fixed size and a few numbers.
@@ -34,8 +35,9 @@ from geoloom.llm.labelled import sample_labelled
 
 ROWS_A_CLASS = 5000
 WINDOW_WORDS = 6
-ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
-THRESHOLDS = (3, 4, 5)
+ORDINARY_BYTES, TOXIC_BYTES, HEAD_BYTES = 65_536, 4_096, 512
+THRESHOLDS = (3, 4, 5, 6)
+HEADS = (4, 5, 6, 7)
 LEVEL = 3
 NOT_WORD = re.compile(r"\W+")
 
@@ -45,27 +47,33 @@ def window_list(text: str | None, n: int = WINDOW_WORDS) -> list[bytes]:
     return [f" {' '.join(words[i : i + n])} ".encode() for i in range(0, len(words), n)]
 
 
-def telling_words(texts: list[str], toxic: np.ndarray, least: int = 4, least_z: float = 3.0, least_odds: float = 2.0) -> set[str]:
-    """Words of toxic documents whose log odds stand well above their error.
+def heads(word: str) -> set[str]:
+    """Leading parts of a word by which families of words are told, and the word itself if short."""
+    return {word[:k] for k in HEADS if len(word) >= k} | ({word} if len(word) <= 10 else set())
 
-    Occurrences count once a neighbourhood (the words beside them), so that
-    copies of one document do not make its rare words telling.
+
+def telling_heads(texts: list[str], toxic: np.ndarray, least: int = 5, least_odds: float = 2.5, least_z: float = 4.0) -> dict[str, float]:
+    """Heads of words of toxic documents whose log odds stand well above their error, with the weight of each.
+
+    Occurrences count once a neighbourhood (the word and those beside it), so
+    that copies of one document do not make its rare words telling.
     """
     docs = (Counter(), Counter())
     around: dict[str, set] = {}
     for text, y in zip(texts, toxic):
         words = NOT_WORD.sub(" ", text.lower()).split()
-        docs[int(y)].update(set(words))
+        docs[int(y)].update({h for w in set(words) for h in heads(w)})
         if y:
             for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-                around.setdefault(w, set()).add((before, after))
+                for h in heads(w):
+                    around.setdefault(h, set()).add((before, w, after))
     n_toxic, n_plain = int(toxic.sum()) + 1, int((1 - toxic).sum()) + 1
-    found = set()
-    for w, a in docs[1].items():
-        a, b = min(a, len(around[w])), docs[0][w]
+    found = {}
+    for h, a in docs[1].items():
+        a, b = min(a, len(around[h])), docs[0][h]
         odds = math.log((a + 0.5) / n_toxic) - math.log((b + 0.5) / n_plain)
         if a >= least and odds >= least_odds and odds * math.sqrt(a) >= least_z:
-            found.add(w)
+            found[h] = a * len(h) ** 2
     return found
 
 
@@ -90,7 +98,7 @@ class Windows:
             content.precompute_compress(level=LEVEL)
             return z.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False, write_checksum=False).compress
 
-        self.plain, self.both = compressor(ordinary), compressor(ordinary + toxic)
+        self.plain, self.both = compressor(ordinary), compressor(ordinary + toxic)  # what stands last is cheapest to refer to
 
     def features(self, text: str | None) -> list[float]:
         saved = [len(self.plain(w)) - len(self.both(w)) for w in window_list(text)]
@@ -133,13 +141,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     texts = [t or "" for t in got["text"]]
     if len(set(y)) < 2:
         return None
-    telling = telling_words(texts, y)
+    telling = telling_heads(texts, y)
     rng = np.random.default_rng(11)
-    toxic = [f" {w} ".encode() for t, k in zip(texts, y) if k for w in NOT_WORD.sub(" ", t.lower()).split() if w in telling]
+    toxic, told = [], Counter()
+    for text, k in zip(texts, y):
+        for w in NOT_WORD.sub(" ", text.lower()).split() if k else ():
+            if known := telling.keys() & heads(w):
+                toxic.append(f" {w} ".encode())
+                told[max(known, key=lambda h: (telling[h], h))] += 1
     ordinary = [w for t, k in zip(texts, y) if not k for w in window_list(t)]
     toxic = [toxic[i] for i in rng.permutation(len(toxic))[:30_000]]
     ordinary = [ordinary[i] for i in rng.permutation(len(ordinary))[:40_000]]
-    model = {"ordinary": _train(ordinary, ORDINARY_BYTES, 64, 6), "toxic": _train(toxic, TOXIC_BYTES, 16, 6)}
+    common = "".join(f" {h}" for h, _ in sorted(told.items(), key=lambda r: (r[1], r[0]))).encode()[-HEAD_BYTES:]
+    model = {"ordinary": _train(ordinary, ORDINARY_BYTES, 64, 6), "toxic": _train(toxic, TOXIC_BYTES, 16, 6) + common}
     windows = Windows(model["ordinary"], model["toxic"])
     x = np.array([windows.features(t) for t in texts])
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
