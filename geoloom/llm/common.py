@@ -31,11 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``parts``: at most so many files, for results known to be small.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._geoloom_path = path
     return back
