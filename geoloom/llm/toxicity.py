@@ -43,36 +43,48 @@ NOT_WORD = re.compile(r"\W+")
 
 
 def window_list(text: str | None, n: int = WINDOW_WORDS) -> list[bytes]:
-    words = NOT_WORD.sub(" ", (text or "").lower()).split()
+    words = words_of(text or "")
     return [f" {' '.join(words[i : i + n])} ".encode() for i in range(0, len(words), n)]
 
 
 def heads(word: str) -> set[str]:
-    """Leading parts of a word by which families of words are told, and the word itself if short."""
-    return {word[:k] for k in HEADS if len(word) >= k} | ({word} if len(word) <= 10 else set())
+    """Leading parts of a word by which families of words are told."""
+    return {word[:k] for k in HEADS if len(word) >= k}
 
 
-def telling_heads(texts: list[str], toxic: np.ndarray, least: int = 5, least_odds: float = 2.5, least_z: float = 4.0) -> dict[str, float]:
+def words_of(text: str) -> list[str]:
+    return NOT_WORD.sub(" ", text.lower()).split()
+
+
+def telling_heads(texts: list[str], toxic: np.ndarray, least: int = 5, least_odds: float = 2.0, least_z: float = 6.0) -> dict[str, float]:
     """Heads of words of toxic documents whose log odds stand well above their error, with the weight of each.
 
     Occurrences count once a neighbourhood (the word and those beside it), so
-    that copies of one document do not make its rare words telling.
+    that copies of one document do not make its rare words telling.  Three
+    passes, each over the heads that the one before it left, keep memory small.
     """
-    docs = (Counter(), Counter())
-    around: dict[str, set] = {}
-    for text, y in zip(texts, toxic):
-        words = NOT_WORD.sub(" ", text.lower()).split()
-        docs[int(y)].update({h for w in set(words) for h in heads(w)})
-        if y:
-            for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-                for h in heads(w):
-                    around.setdefault(h, set()).add((before, w, after))
-    n_toxic, n_plain = int(toxic.sum()) + 1, int((1 - toxic).sum()) + 1
+    bad, plain = [t for t, y in zip(texts, toxic) if y], [t for t, y in zip(texts, toxic) if not y]
+    seen: Counter = Counter()
+    for text in bad:
+        seen.update({h for w in set(words_of(text)) for h in heads(w)})
+    seen = Counter({h: a for h, a in seen.items() if a >= least})
+    usual: Counter = Counter()
+    for text in plain:
+        usual.update({h for w in set(words_of(text)) for h in heads(w)} & seen.keys())
+
+    def odds(h: str, a: int) -> float:
+        return math.log((a + 0.5) / (len(bad) + 1)) - math.log((usual[h] + 0.5) / (len(plain) + 1))
+
+    around: dict[str, set] = {h: set() for h, a in seen.items() if odds(h, a) >= least_odds}
+    for text in bad:
+        words = words_of(text)
+        for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+            for h in heads(w) & around.keys():
+                around[h].add(hash((before, w, after)))
     found = {}
-    for h, a in docs[1].items():
-        a, b = min(a, len(around[h])), docs[0][h]
-        odds = math.log((a + 0.5) / n_toxic) - math.log((b + 0.5) / n_plain)
-        if a >= least and odds >= least_odds and odds * math.sqrt(a) >= least_z:
+    for h, near in around.items():
+        a = min(seen[h], len(near))
+        if a >= least and odds(h, a) >= least_odds and odds(h, a) * math.sqrt(a) >= least_z:
             found[h] = a * len(h) ** 2
     return found
 
@@ -145,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     rng = np.random.default_rng(11)
     toxic, told = [], Counter()
     for text, k in zip(texts, y):
-        for w in NOT_WORD.sub(" ", text.lower()).split() if k else ():
+        for w in words_of(text) if k else ():
             if known := telling.keys() & heads(w):
                 toxic.append(f" {w} ".encode())
                 told[max(known, key=lambda h: (telling[h], h))] += 1
