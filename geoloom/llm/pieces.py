@@ -32,7 +32,7 @@ from geoloom.llm.words import giving_back
 
 MARK = "▁"
 #: Parts kept a worker; beyond that the store starts anew.
-CACHE_PARTS = 200_000
+CACHE_PARTS = 250_000
 ROWS_A_BATCH = 512
 #: Parts up to this length keep their agenda in a flat list, longer ones in a heap.
 SHORT = 24
@@ -187,7 +187,9 @@ class MergeEncoder(dict):
         self.words.update([(w, b"".join([self[x] for x in parts])) for w, parts in rest.items()])
         theirs = self.processor.encode(new, num_threads=1)
         flat = np.fromiter(chain.from_iterable(theirs), np.int32)
-        if b"".join([self.words[w] for w in new]) != flat.tobytes() or any(4 * len(t) != len(self.words[w]) for w, t in zip(new, theirs)):
+        mine = [self.words[w] for w in new]
+        same = b"".join(mine) == flat.tobytes() and list(map(len, mine)) == [4 * n for n in map(len, theirs)]
+        if not same:
             for w, t in zip(new, theirs):
                 if self.words[w] != packed(t):
                     self.words[w] = packed(t)
