@@ -8,7 +8,10 @@ from geoloom.llm.common import fold_of
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows_a_class: int) -> DataFrame:
-    """(doc_id, text, label) of at most about ``rows_a_class`` rows of either class outside the held-out fold.
+    """(doc_id, text, label, weight) of at most about ``rows_a_class`` rows of either class outside the held-out fold.
+
+    Classes are sampled at rates of their own; ``weight`` is one over the rate,
+    so that weighted classes have the shares that they have among all labels.
 
     Rows are chosen by hash of their id, so the same ones on every run and
     wherever they lie.  The chosen ids are bounded and go out as a broadcast.
@@ -17,8 +20,9 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), modulus) != held))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
+    share = F.lit(1.0)
     for value, n in totals.items():
         share = F.when(F.col("label") == value, min(1.0, rows_a_class / n)).otherwise(share)
+    known = known.withColumn("weight", 1 / share)
     chosen = known.where(F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 20)) < share * F.lit(1 << 20))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -13,7 +13,8 @@ counts well above their standard error) and ends with these heads; the
 ordinary one is trained on passages of ordinary documents.
 
 Bounds, as parameters: at most ``rows_a_class`` labelled rows of either class
-are fitted; the model is two dictionaries of fixed size and a few numbers.
+are fitted, weighted so that the classes keep their shares among all labels;
+the model is two dictionaries of fixed size and a few numbers.
 
 Cases: null, empty and wordless texts have no window and get the lowest score
 the calibration can give; without rows of both classes every score is 0; long
@@ -137,11 +138,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def best_cut(score: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1, midway to the next score below."""
+def best_cut(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The threshold with the best F1 of the weighted rows, midway to the next score below."""
     order = np.argsort(-score, kind="stable")
-    s, hits = score[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
+    s, hits = score[order], np.cumsum((weight * y)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + (weight * y).sum())
     f1[:-1][s[:-1] == s[1:]] = -1
     i = int(f1.argmax())
     return float((s[i] + s[min(i + 1, len(s) - 1)]) / 2)
@@ -153,6 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     texts = [t or "" for t in got["text"]]
     if len(set(y)) < 2:
         return None
+    weight = got["weight"].to_numpy(np.float64)
+    weight = weight / weight.mean()  # as much evidence as there are rows
     telling = telling_heads(texts, y)
     rng = np.random.default_rng(11)
     toxic, told = [], Counter()
@@ -168,11 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     model = {"ordinary": _train(ordinary, ORDINARY_BYTES, 64, 6), "toxic": _train(toxic, TOXIC_BYTES, 16, 6) + common}
     windows = Windows(model["ordinary"], model["toxic"])
     x = np.array([windows.features(t) for t in texts])
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    # the sample is even between classes or nearly so; weights bring back the labels' own shares
-    w = fit_logistic((x - centre) / scale, y, np.ones(len(y)))
+    centre = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - centre) ** 2, axis=0, weights=weight)) + 1e-9
+    w = fit_logistic((x - centre) / scale, y, weight)
     raw = np.column_stack([(x - centre) / scale, np.ones(len(x))]) @ w
-    shift = math.log(cut / (1 - cut)) - best_cut(raw, y)
+    shift = math.log(cut / (1 - cut)) - best_cut(raw, y, weight)
     return model | {"centre": centre, "scale": scale, "weights": w, "shift": shift}
 
 

@@ -277,6 +277,38 @@ def test_toxicity(spark):
     assert set(score_toxicity(awkward(spark), lab.where("false")).toPandas()["score"]) == {0.0}
 
 
+def uneven(spark, n=600):
+    """Documents and labels with one bad row in ten, and the number of labels of either class outside fold 1 of 3."""
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in ("tion", "er", "an", "re") for b in ("st", "ou", "nd", "ing", "ble")]
+    docs = spark.createDataFrame([(i, " ".join([*rng.choice(words, 40), *["scoundrel!!"] * (4 * (i % 10 == 0))]), "en", "s", 0) for i in range(n)], DOCS)
+    lab = spark.createDataFrame([(i, int(i % 10 != 0), int(i % 10 == 0)) for i in range(n)], "doc_id long, quality int, toxic int")
+    fitted = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    return docs, lab, sum(i % 10 == 0 for i in fitted), sum(i % 10 != 0 for i in fitted)
+
+
+def test_toxicity_cut_keeps_the_labels_shares(spark, monkeypatch):
+    from geoloom.llm import toxicity as T
+
+    rng = np.random.default_rng(8)
+    y = (rng.random(400) < 0.1).astype(int)
+    score = rng.normal(0, 1, 400) + 1.5 * y
+    some = (y == 1) | (np.arange(400) % 9 == 0)  # one in nine of the plain rows, all others
+    weight = np.where(y[some] == 1, 1.0, 9.0)
+    whole = np.repeat(np.arange(some.sum()), weight.astype(int))
+    assert T.best_cut(score[some], y[some], weight) == pytest.approx(T.best_cut(score[some][whole], y[some][whole], np.ones(len(whole))))
+    docs, lab, bad, plain = uneven(spark)
+    seen, fit_logistic, best_cut = [], T.fit_logistic, T.best_cut
+    monkeypatch.setattr(T, "fit_logistic", lambda x, y, w: seen.append((y, w)) or fit_logistic(x, y, w))
+    monkeypatch.setattr(T, "best_cut", lambda s, y, w: seen.append((y, w)) or best_cut(s, y, w))
+    T.fit(docs, lab, rows_a_class=5000)
+    T.fit(docs, lab, rows_a_class=30)
+    assert len(seen) == 4 and all(len(y) == bad + plain and (w == 1).all() for y, w in seen[:2])
+    for y, w in seen[2:]:
+        assert 15 < y.sum() < bad and 15 < (1 - y).sum() < 60
+        assert w[y == 0].mean() / w[y == 1].mean() == pytest.approx(plain / bad) and w.mean() == pytest.approx(1)
+
+
 def test_quality(spark):
     from geoloom.llm.quality import encode_passages, keep_good, score_quality
 
