@@ -8,8 +8,10 @@ alone rule the threshold out are never compared, and a comparison stops as soon
 as the threshold is out of reach.  For a join, sets are partitioned by length
 so that only equal or neighbouring partitions can hold a pair.
 
-Texts with too few anchors (other languages, tables) take every word as an
-anchor, so every text with a word has a fingerprint.
+Where no anchor is among the words just before (other languages, tables, the
+head of a text) a content word is an anchor itself, so every text with a word
+has a fingerprint.  Each signature depends on its neighbourhood only: what an
+edit leaves alone keeps its signatures.
 
 Cases: null, empty and wordless texts have the empty set, which is like itself
 (1.0) and unlike all else (0.0); equal texts have equal fingerprints; long
@@ -33,7 +35,7 @@ ANCHORS = frozenset(
     "el los las y del se con su al lo una".split()
 )
 CHAIN = 2
-#: Below one anchor in so many words every word is an anchor.
+#: A content word without an anchor among so many words before it is an anchor itself.
 SPARSE = 12
 MARKS = re.compile(r"[^\w\s]+")
 #: Most texts whose likeness is worked out at once.
@@ -44,18 +46,18 @@ def signatures(text: str | None, chain: int = CHAIN, anchors: frozenset = ANCHOR
     """The set of signature hashes."""
     words = MARKS.sub(" ", (text or "").lower()).split()
     content = [w for w in words if w not in anchors]
-    if not words:
-        return frozenset()
-    if (len(words) - len(content)) * SPARSE < len(words) or len(content) <= chain:
-        spread = words + [""] * chain
-        return frozenset(hash_chain(tuple(spread[i : i + chain + 1])) for i in range(len(words)))
-    content += [""] * chain
-    found, at = set(), 0
-    for w in words:
+    found, at, last = set(), 0, -SPARSE - 1
+    for i, w in enumerate(words):
         if w in anchors:
-            found.add((w, *content[at : at + chain]))
+            last = i
         else:
             at += 1
+            if i - last <= SPARSE:
+                continue
+        ahead = content[at : at + chain]
+        if len(ahead) < chain:  # at the end of the content words
+            ahead = words[i + 1 : i + chain + 1]
+        found.add((w, *ahead, *[""] * (chain - len(ahead))))
     return frozenset(map(hash_chain, found))
 
 

@@ -399,6 +399,25 @@ def test_spotsigs(spark):
     assert all(hi * 0.8 <= nxt for hi, nxt in zip(bounds, bounds[1:]))
 
 
+def test_spotsigs_are_local():
+    from geoloom.llm.spotsigs import SPARSE, edited, likeness, signatures
+
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}{c}" for a in ("tion", "er", "an", "re") for b in ("st", "ou", "nd", "ing", "ble") for c in ("ka", "lo", "mi")]
+    # the text has an anchor in 14 words, the edited one more than one in 12
+    text = " ".join("the" if i % 14 == 0 else str(rng.choice(words)) for i in range(420))
+    prose = " ".join("the" if i % 4 == 0 else str(rng.choice(words)) for i in range(420))
+    changed = edited(text, prose)
+    assert sum(w == "the" for w in text.split()) * SPARSE < len(text.split()) and sum(w == "the" for w in changed.split()) * SPARSE >= len(changed.split())
+    assert likeness(signatures(text), signatures(changed)) > 0.3
+    # a table set into prose leaves the signatures of the prose, and the other way round
+    table = " ".join(rng.choice(words, 200))
+    both = signatures(f"{prose} {table} {prose}")
+    assert len(signatures(prose) & both) >= len(signatures(prose)) - 3 and len(signatures(table) & both) >= len(signatures(table)) - SPARSE - 3
+    assert signatures("") == signatures(None) == frozenset() and all(signatures(t) for t in ("x", "the", "the of and"))
+    assert signatures("the of") != signatures("of the")
+
+
 # ---- 8 pieces
 
 
