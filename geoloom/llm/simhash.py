@@ -86,17 +86,18 @@ def columns_of(seeds: tuple[int, ...]) -> list[str]:
     return [f"fp{i or ''}" for i in range(len(seeds))]
 
 
-def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """doc_id, fp, fp1 ...: 64 bits a seed, as signed longs."""
-    names = ["doc_id", *columns_of(seeds)]
+def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,), marked: bool = False) -> DataFrame:
+    """doc_id, fp, fp1 ...: 64 bits a seed, as signed longs; ``marked``: also mark, a hash of the text."""
+    extra = ["mark"] if marked else []
+    names = ["doc_id", *columns_of(seeds), *extra]
 
     def run(batches):
         for batch in giving_back(batches):
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(fingerprints(part.column(1), shingle, seed).view(np.int64)) for seed in seeds)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(fingerprints(part.column(1), shingle, seed).view(np.int64)) for seed in seeds), *part.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias(c) for c in extra]).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 # ---- bit-sliced comparison
@@ -299,15 +300,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return out.select("doc_id", *names, F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE, seeds: tuple[int, ...] = (SEED,), tables: int | None = None, key_bits: int = 16) -> DataFrame:
+    """``docs`` with one document of each group of linked texts: the one with the smallest id.
 
-    Rows that share that id are equal copies or clashes of one id; one of them is
-    kept, by hash of its text.
+    Groups are told by fingerprints alone: texts that are not linked all stay,
+    also where their ids are null or the same.  A group's document without an
+    id is kept only if none has one; ties go by fingerprint, then by hash of
+    the text, and of rows with equal id and text one is kept.
     """
-    nobody = F.lit(-(1 << 62))
-    found = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialize(found.select(F.coalesce("doc_id", nobody).alias("__id")).distinct(), "simhash-kept")
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), nobody)).join(kept, "__id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text")))
-    return keyed.withColumn("__n", first).where("__n = 1").drop("__id", "__n")
+    names = columns_of(seeds)
+    id_, mark = F.col("doc_id").cast("long"), F.xxhash64("text")
+    prints = materialize(fingerprint_documents(docs, shingle, seeds, marked=True), "simhash-prints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *names, "mark")).alias("least")
+    # numbers of fingerprints, not ids: rows that share an id are no link
+    nodes = materialize(prints.groupBy(*names).agg(least).withColumn("rep", F.monotonically_increasing_id()), "simhash-nodes")
+    roots = components(link(nodes.select("rep", *names), radius, blocks, tile, tables, key_bits))
+    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(F.coalesce("root", "rep").alias("component"), "least")
+    kept = named.groupBy("component").agg(F.min("least").alias("least"))
+    kept = materialize(kept.select(F.col("least.doc_id").alias("__kept"), F.col("least.mark").alias("__mark")).distinct(), "simhash-kept")
+    keyed = docs.withColumn("__id", id_).withColumn("__text", mark)
+    keyed = keyed.join(kept, keyed["__id"].eqNullSafe(kept["__kept"]) & (keyed["__text"] == kept["__mark"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("__id", "__text").orderBy("__text"))
+    return keyed.withColumn("__n", first).where("__n = 1").drop("__id", "__text", "__n")

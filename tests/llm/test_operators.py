@@ -240,6 +240,27 @@ def test_simhash_sampled_tables(spark):
     assert len({r["doc_id"] for r in keep_one(awkward(spark)).collect()}) == keep_one(awkward(spark)).count()
 
 
+def test_keep_one_without_ids_and_with_clashing_ids(spark):
+    from geoloom.llm.simhash import keep_one
+
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(50)]
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    data = [(i, t) for i, t in enumerate(texts[:10])]  # with an id
+    data += [(None, t) for t in texts[10:40]] + [(None, t) for t in texts[10:20]]  # without, some twice
+    data += [(None, near(t)) for t in texts[:5]] + [(None, near(texts[39]))]  # near copies without an id
+    data += [(77, t) for t in texts[40:]] + [(77, texts[40])]  # one id, other texts
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], DOCS).repartition(3)
+    found = keep_one(docs, shingle=5, radius=25, seeds=(42, 43), tables=64)
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in found.collect())
+    either = {texts[39], near(texts[39])}
+    assert [r for r in kept if r[2] not in either] == sorted([(False, i, t) for i, t in enumerate(texts[:10])] + [(True, 0, t) for t in texts[10:39]] + [(False, 77, t) for t in texts[40:]])
+    assert sum(r[2] in either for r in kept) == 1 and found.columns == docs.columns
+    same = spark.createDataFrame([(None, None, None, None, None)] * 3, DOCS)
+    assert keep_one(same).count() == 1
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from geoloom.llm.components import components
 
