@@ -8,7 +8,8 @@ scored.  Only document labels are used: the weights learn which passages
 matter.  Encoding is vectorised over the bytes of an Arrow batch.
 
 Bounds, as parameters: at most ``rows_a_class`` labelled rows of either class
-are fitted, on the driver; the model is a few small matrices.
+are fitted, on the driver, weighted so that the classes keep their shares among
+all labels; the model is a few small matrices.
 
 Cases: null, empty and wordless texts are a bag of one empty passage; without
 rows of both classes every score is 0.5; long texts are read whole; repeated
@@ -146,9 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
                 x, rows = encode_passages(part.column(1))
                 ends = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(ends * FEATURES), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), values], names=["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), values], names=["doc_id", "label", "weight", "x"])
 
-    got = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<float>").toArrow().sort_by("doc_id")
+    got = sample.select("doc_id", "text", "label", "weight").mapInArrow(run, "doc_id long, label int, weight double, x array<float>").toArrow().sort_by("doc_id")
     y = np.array(got["label"].to_pylist(), np.float32)
     if len(set(y.tolist())) < 2:
         return None
@@ -156,8 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     bag = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()) // FEATURES)
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 0.02
-    p = train(((x - centre) / scale).astype(np.float32), bag, y, np.ones(len(y), np.float32))
+    weight = got["weight"].to_numpy().astype(np.float32)
+    centre = np.average(x, axis=0, weights=weight[bag])
+    scale = np.sqrt(np.average((x - centre) ** 2, axis=0, weights=weight[bag])) + 0.02
+    p = train(((x - centre) / scale).astype(np.float32), bag, y, weight)
     return {"centre": centre, "scale": scale, "p": p}
 
 

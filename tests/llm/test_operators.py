@@ -356,6 +356,20 @@ def test_quality(spark):
     assert bag.tolist()[:3] == [0, 1, 2] and len(x) == len(bag) == 2 + -(-len(WORD.findall(LONG)) // 64)
 
 
+def test_quality_keeps_the_labels_shares(spark, monkeypatch):
+    from geoloom.llm import quality as Q
+
+    docs, lab, bad, good = uneven(spark)
+    seen, train = [], Q.train
+    monkeypatch.setattr(Q, "train", lambda x, bag, y, weight: seen.append((y, weight)) or train(x, bag, y, weight))
+    Q.fit(docs, lab, rows_a_class=3000)
+    Q.fit(docs, lab, rows_a_class=30)
+    assert len(seen[0][0]) == bad + good and (seen[0][1] == 1).all()
+    y, w = seen[1]
+    assert 15 < (1 - y).sum() < bad and 15 < y.sum() < 60
+    assert w[y == 1].mean() / w[y == 0].mean() == pytest.approx(good / bad, rel=1e-5)
+
+
 def test_quality_gradients():
     from geoloom.llm import quality as Q
 
