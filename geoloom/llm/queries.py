@@ -94,9 +94,9 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.spotsigs import fingerprint_edits
 
-    def digest(column: str):
-        members = F.array_join(F.array_sort(column).cast("array<string>"), ",")
-        return F.concat(F.hex(F.size(column)), F.lit("-"), F.substring(F.sha2(members.cast("binary"), 256), 1, 32))
+    def digest(column: str):  # of the ascending signatures, without a string of each
+        halves = [F.lower(F.lpad(F.hex(h), 16, "0")) for h in (F.xxhash64(column), F.xxhash64(F.lit(1), column))]
+        return F.concat(F.hex(F.size(column)), F.lit("-"), *halves)
 
     found = fingerprint_edits(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", digest("signatures").alias("fingerprint"), digest("edited_signatures").alias("edited_fingerprint"), "near_edited", "near_next")

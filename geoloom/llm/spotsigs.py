@@ -15,18 +15,24 @@ edit leaves alone keeps its signatures.
 
 Cases: null, empty and wordless texts have the empty set, which is like itself
 (1.0) and unlike all else (0.0); equal texts have equal fingerprints; long
-texts are read whole; repeated rows are independent; an empty table gives an
-empty result.
+texts are read whole and batches are cut by bytes; rows that share an id, and
+those without one, follow each other by hash of the text, so that a hot id is
+split like a range of ids; repeated rows are independent; columns other than
+doc_id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+
+from geoloom.llm.words import giving_back, slices
+
 # Very common function words of English, German, French and Spanish.
 ANCHORS = frozenset(
     "the of and to a in is that it was for on are as with his they be at this have from or by "
@@ -38,8 +44,8 @@ CHAIN = 2
 #: A content word without an anchor among so many words before it is an anchor itself.
 SPARSE = 12
 MARKS = re.compile(r"[^\w\s]+")
-#: Most texts whose likeness is worked out at once.
-ROWS_A_BATCH = 256
+#: Bytes of text and rows whose results are gathered before they are handed on.
+BATCH_BYTES, BATCH_ROWS = 1 << 19, 256
 
 
 def signatures(text: str | None, chain: int = CHAIN, anchors: frozenset = ANCHORS) -> frozenset[int]:
@@ -106,49 +112,69 @@ def length_bounds(threshold: float, most: int) -> list[int]:
 
 
 def ranges(keyed: DataFrame, buckets: int, coarse: int = 256):
-    """A column with the number of the range that ``__key`` lies in, descending.
+    """A column with the number of the range that a row lies in, descending by ``__key``, then by ``__h``.
 
     Keys are cut at up to ``coarse`` approximate quantiles and evenly between
-    them, so the expression stays short however many ranges there are.
+    them, so the expression stays short however many ranges there are.  A key
+    that fills several quantiles, and rows without an id, are cut by ``__h``.
     """
     coarse = max(1, min(coarse, buckets))
     fine = -(-buckets // coarse)
-    got = keyed.agg(F.percentile_approx("__key", [k / coarse for k in range(1, coarse)] or [0.5], 10_000).alias("c"), F.min("__key").alias("lo"), F.max("__key").alias("hi")).first()
+    known = F.when(F.col("doc_id").isNotNull(), F.col("__key"))
+    got = keyed.agg(
+        F.percentile_approx(known, [k / coarse for k in range(1, coarse)] or [0.5], 10_000).alias("c"), F.min(known).alias("lo"), F.max(known).alias("hi"), F.count("*").alias("n"), F.count("doc_id").alias("known")
+    ).first()
+    turned = F.lit(0.5) - F.col("__h").cast("double") / F.lit(2.0**64)  # descending hashes as 0 to 1
+    part = lambda parts: F.least(F.floor(turned * parts), parts - 1).cast("long")
+    lacking = got["n"] - got["known"]
+    last = F.lit(buckets + coarse + 1).cast("long") * F.lit(buckets + 2) + part(F.lit(lacking * buckets // max(got["n"], 1) + 1))
     if got["lo"] is None:
-        return F.lit(0)
-    cuts = sorted({int(c) for c in got["c"][: coarse - 1]}, reverse=True)
+        return last
+    times = Counter(int(c) for c in got["c"][: coarse - 1])
+    cuts = sorted(times, reverse=True)
     upper, lower = [got["hi"] + 1, *cuts], [*cuts, got["lo"]]
-    longs = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    numbers = lambda v: F.array(*[F.lit(float(x)) for x in v])
     at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c > F.col("__key"))) if cuts else F.lit(0)
-    keyed_at = F.get(longs(upper), at) - F.col("__key").cast("double")
-    share = F.coalesce(F.try_divide(keyed_at, F.get(longs(upper), at) - F.get(longs(lower), at)), F.lit(0.0))
-    return at * F.lit(fine) + F.least(F.floor(share * F.lit(fine)), F.lit(fine - 1)).cast("int")
+    keyed_at = F.get(numbers(upper), at) - F.col("__key").cast("double")
+    share = F.coalesce(F.try_divide(keyed_at, F.get(numbers(upper), at) - F.get(numbers(lower), at)), F.lit(0.0))
+    number = at * F.lit(fine) + F.least(F.floor(share * F.lit(fine)), F.lit(fine - 1)).cast("int")
+    hot = {c: m * fine for c, m in times.items() if m > 1}
+    within = F.lit(0).cast("long")
+    if hot:  # such a key is the lowest of its range
+        parts = F.element_at(F.create_map(*[F.lit(x).cast("long") for c, m in hot.items() for x in (c, m)]), F.col("__key"))
+        within = F.when(parts.isNotNull(), part(parts) + 1).otherwise(within)
+    return F.when(F.col("doc_id").isNull(), last).otherwise(number.cast("long") * F.lit(buckets + 2) + within)
 
 
 def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows dealt by ranges of doc_id, each range with the first row of the one below it at its end.
 
-    Adds ``__key``, ``__bucket`` and ``__guest``; ranges descend.  Rows of one
-    id stay together, and only one row a range is sent twice.
+    Adds ``__key``, ``__h``, ``__bucket`` and ``__guest``; ranges descend, and
+    only one row a range is sent twice.
     """
     lowest = F.lit(-(1 << 62))
-    keyed = docs.withColumn("__key", F.greatest(F.coalesce(F.col("doc_id").cast("long"), lowest), lowest))
-    keyed = keyed.withColumn("__bucket", ranges(keyed.where(F.col("doc_id").isNotNull()), buckets))
-    heads = keyed.groupBy("__bucket").agg(F.max("__key").alias("__head"))  # a row a range
+    keyed = docs.withColumn("__key", F.greatest(F.coalesce(F.col("doc_id").cast("long"), lowest), lowest)).withColumn("__h", F.xxhash64("text"))
+    keyed = keyed.withColumn("__bucket", ranges(keyed, buckets))
+    heads = keyed.groupBy("__bucket").agg(F.max(F.struct("__key", "__h")).alias("__head"))  # a row a range
     line = Window.orderBy("__bucket")
     host = F.coalesce(F.lag("__bucket").over(line), F.max("__bucket").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = F.broadcast(heads.select(F.col("__head"), host.alias("__host")))
-    guests = keyed.join(heads, keyed["__key"] == heads["__head"])
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc_nulls_last("text")))
-    guests = guests.withColumn("__first", first).where("__first = 1").withColumn("__bucket", F.col("__host")).drop("__first", "__host", "__head")
+    heads = F.broadcast(heads.select(F.col("__head.__key").alias("__k"), F.col("__head.__h").alias("__g"), host.alias("__host")))
+    guests = keyed.join(heads, (keyed["__key"] == heads["__k"]) & (keyed["__h"] == heads["__g"]))
+    first = F.row_number().over(Window.partitionBy("__key", "__h").orderBy("__h"))
+    guests = guests.withColumn("__first", first).where("__first = 1").withColumn("__bucket", F.col("__host")).drop("__first", "__host", "__k", "__g")
     return keyed.withColumn("__guest", F.lit(0)).unionByName(guests.withColumn("__guest", F.lit(1)))
 
 
+def packed(found: frozenset[int]) -> np.ndarray:
+    """Signatures in ascending order, eight bytes each."""
+    return np.sort(np.fromiter(found, np.int64, len(found)))
+
+
 def fingerprint_edits(docs: DataFrame, chain: int = CHAIN, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, signatures, edited_signatures (array<long>), near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, signatures, edited_signatures (ascending array<long>), near_edited, near_next.
 
     The next document is the one with the next smaller doc_id (after the last,
-    the first); rows of one id follow each other by text, descending.
+    the first); rows of one id follow each other by hash of the text, descending.
     """
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = in_order(docs.select("doc_id", "text"), buckets)
@@ -156,32 +182,43 @@ def fingerprint_edits(docs: DataFrame, chain: int = CHAIN, buckets: int | None =
 
     def run(batches):
         out: list[tuple] = []
-        before = None  # (bucket, doc_id, text, signatures) of the row that waits for its next one
+        gathered = 0
+        before = None  # (bucket, doc_id, text, signatures, packed signatures) of the row that waits for its next one
 
         def pair(row, text, found):
-            _, doc_id, own, mine = row
+            _, doc_id, own, mine, own_packed = row
             changed = edited(own, text)
-            theirs = mine if changed == own else signatures(changed, chain)
-            out.append((doc_id, len(own), hashlib.sha256(changed.encode()).hexdigest(), list(mine), list(theirs), likeness(mine, theirs), likeness(mine, found)))
+            if changed == own:
+                theirs, changed_packed = mine, own_packed
+            else:
+                theirs = signatures(changed, chain)
+                changed_packed = packed(theirs)
+            out.append((doc_id, len(own), hashlib.sha256(changed.encode()).hexdigest(), own_packed, changed_packed, likeness(mine, theirs), likeness(mine, found)))
 
         def flush():
-            rows, out[:] = list(out), []
-            columns = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_A_BATCH):
-                part = batch.slice(at, ROWS_A_BATCH)
+            columns = list(zip(*out))
+            out.clear()
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c))) for c in columns[3:5]]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns[:3], _ARROW)), *lists, *(pa.array(c, pa.float64()) for c in columns[5:])], schema=_ARROW)
+
+        for batch in giving_back(batches):
+            for a, b in slices(batch.column(1), BATCH_BYTES, BATCH_ROWS):
+                part = batch.slice(a, b - a)
                 for doc_id, text, bucket, guest in zip(*(part.column(k).to_pylist() for k in range(4))):
                     text = text or ""
                     found = signatures(text, chain)
                     if before is not None and before[0] == bucket:
                         pair(before, text, found)
-                    before = None if guest else (bucket, doc_id, text, found)
-                if out:
-                    yield flush()
-
-    dealt = ordered.repartition("__bucket").sortWithinPartitions("__bucket", "__guest", F.desc("__key"), F.desc_nulls_last("text"))
+                        gathered += len(text)
+                    before = None if guest else (bucket, doc_id, text, found, packed(found))
+                if len(out) >= BATCH_ROWS or gathered >= BATCH_BYTES:
+                    gathered = 0
+                    if out:
+                        yield flush()
+        if out:
+            yield flush()
+
+    dealt = ordered.repartition("__bucket").sortWithinPartitions("__bucket", "__guest", F.desc("__key"), F.desc("__h"))
     return dealt.select(F.col("doc_id").cast("long"), "text", "__bucket", "__guest").mapInArrow(run, schema)
 
 

@@ -408,13 +408,38 @@ def test_topk(spark):
 # ---- 7 SpotSigs
 
 
+def spot_order(data):
+    """(id, text) by id, descending, null last; rows of one id by signed XXH64 (seed 42, itself for null) of the text, descending."""
+    from xxhash import xxh64_intdigest
+
+    def h(t):
+        x = 42 if t is None else xxh64_intdigest(t.encode(), 42)
+        return x - (1 << 64) if x >> 63 else x
+
+    return sorted(((i, t) for i, t, *_ in data), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, h(r[1])), reverse=True)
+
+
+def test_spotsigs_hot_ids_are_split(spark):
+    from geoloom.llm.spotsigs import edited, fingerprint_edits, in_order
+
+    rng = np.random.default_rng(21)
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} the {rng.integers(1 << 30)} of tale {i % 11}") for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    sizes = in_order(docs, 32).where("__guest = 0").groupBy("__bucket").count().toPandas()["count"]
+    assert sizes.sum() == 900 and sizes.max() < 120 and len(sizes) >= 20
+    order = spot_order(data)
+    want = sorted((repr(i), hashlib.sha256(edited(t, order[(k + 1) % 900][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    got = fingerprint_edits(docs, buckets=32).select("doc_id", "edited_sha256").collect()
+    assert sorted((repr(r[0]), r[1]) for r in got) == want
+
+
 def test_spotsigs(spark):
     from geoloom.llm.spotsigs import edited, fingerprint_edits, length_bounds, likeness, signatures
 
     data = rows()
     got = fingerprint_edits(awkward(spark), buckets=4).toPandas()
     assert len(got) == len(data)
-    order = sorted(((i, t or "") for i, t, *_ in data), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]), reverse=True)
+    order = [(i, t or "") for i, t in spot_order(data)]
     want = {}
     for k, (i, t) in enumerate(order):
         following = order[(k + 1) % len(order)][1]
