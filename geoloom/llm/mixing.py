@@ -15,8 +15,11 @@ edge is found by running sums over hash buckets, pre-aggregated on the map
 side, so no task holds a source, however large.
 
 Cases: a null text has size 0; a null source is a source of its own and sorts
-last; sources of size 0 get target 0; equal rows are told apart by nothing and
-share the same treatment; an empty table gives an empty result.
+last; sources of size 0 get target 0; rows that share an id are drawn by their
+texts; equal rows are told apart by nothing and stand side by side in the
+order; texts of any length are counted whole; columns of the input that are
+named like an added one give way to it in ``mix_sources``, and all columns
+come back from ``sample_mixture``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from geoloom.llm.common import SPACE, WORD, attach, materialize
 #: Hash buckets a source is cut into to find the edge of its fractional repetition.
 BUCKETS = 4096
 SEED = 17
+#: What ``mix_sources`` adds.
+ADDED = ("size", "source_size", "target", "whole", "extra")
 
 
 def word_count(text: Column) -> Column:
@@ -35,9 +40,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """The seeded place of a document in its source: 32 hex digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """The seeded place of a document in its source: 32 hex digits; texts of one id (or of none) spread alike."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), own).cast("binary"))
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -67,7 +73,7 @@ def water_fill(sized: DataFrame, max_epochs: float, budget: float | None = None)
 
 def plan_mix(docs: DataFrame, weights=cyclic_weights, max_epochs: float = 3.0, budget: float | None = None, seed: int = SEED):
     """Per source: size, target, whole repetitions, and the bucket and words where the fractional one ends."""
-    counted = docs.select("source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("drawn"))
+    counted = docs.select("source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("drawn"))
     by_bucket = materialize(
         counted.groupBy("source", F.conv(F.substring("drawn", 1, 3), 16, 10).cast("int").alias("bucket")).agg(F.sum("size").alias("words")), "mix-buckets"
     )
@@ -93,8 +99,8 @@ def plan_mix(docs: DataFrame, weights=cyclic_weights, max_epochs: float = 3.0, b
 def mix_sources(docs: DataFrame, weights=cyclic_weights, max_epochs: float = 3.0, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """Columns of ``docs`` plus size, source_size, target, whole (repetitions) and extra (words of the fractional one)."""
     plan, n = plan_mix(docs, weights, max_epochs, budget, seed)
-    names = docs.columns
-    inner = docs.select(*names, draw(F.col("doc_id"), seed).alias("__drawn")).withColumn("__bucket", F.conv(F.substring("__drawn", 1, 3), 16, 10).cast("int"))
+    names = [c for c in docs.columns if c not in ADDED]
+    inner = docs.select(*names, draw(F.col("doc_id"), F.col("text"), seed).alias("__drawn")).withColumn("__bucket", F.conv(F.substring("__drawn", 1, 3), 16, 10).cast("int"))
     plan = plan.select(F.col("source"), *[F.col(c).alias(f"__{c}") for c in plan.columns if c != "source"])
     placed = attach(inner, plan, "source", n).withColumn("__size", word_count(F.col("text")))
     out = [*names, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__whole").alias("whole")]
@@ -111,10 +117,11 @@ def sample_mixture(docs: DataFrame, **how) -> DataFrame:
     A fractional repetition is a row with the document's leading ``extra``
     words; ``n_chars`` follows the text where the column is there.
     """
-    mixed = mix_sources(docs, **how)
+    apart = {c: f"__own_{c}" for c in docs.columns if c in ADDED}
+    mixed = mix_sources(docs.withColumnsRenamed(apart), **how)
     whole = F.col("whole") + F.when((F.col("extra") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
     part = (F.col("extra") > 0) & (F.col("extra") < F.col("size"))
-    cut = F.when(part, F.array_join(F.slice(F.split(F.ltrim(F.col("text")), SPACE), 1, F.col("extra").cast("int")), " "))
+    cut = F.when(part, F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), 1, F.col("extra").cast("int")), " "))
     texts = F.concat(F.array_repeat(F.col("text"), whole.cast("int")), F.when(part, F.array(cut)).otherwise(F.array().cast("array<string>")))
     out = mixed.withColumn("text", F.explode(texts))
-    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(apart.get(c, c)).alias(c) for c in docs.columns])
