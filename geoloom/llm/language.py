@@ -1,24 +1,27 @@
 """Language identification with language-bitmask n-gram filters.
 
 One bit-sliced Bloom filter serves all languages: every slot holds a mask with
-one bit a language, so that the AND of an n-gram's slots returns all languages
-which contain it in one look-up.  A text is scored by per-language popcounts
-over its n-grams, each corrected for the false positives to expect from the
-filter's fill; the largest decides.
+one bit a language (a plane of 64 for each 64 languages), so that the AND of an
+n-gram's slots returns all languages which contain it in one look-up.  A text
+is scored by per-language popcounts over its n-grams, each corrected for the
+false positives to expect from the filter's fill; the largest decides.
 
-Learning counts n-grams of the training rows per language in a fixed table of
-hashed counters (so what travels is bounded) and gives a language the n-grams
-that it uses about as often as the language that uses them most.
+Learning counts the n-grams of the training rows per language, exactly, by
+their 64-bit hashes.  A language has the n-grams that make up at least
+``least_per_million`` of its own and that it uses about as often as the
+language that uses them most.  These hashes, whole, enter the filter, which
+gets ``slots_a_gram`` slots for each n-gram of the language that has most.
 
 Bounds, as parameters: at most ``max_rows`` labelled rows a language are
-fitted, chosen by hash of their id; the counters are ``2**count_bits`` a language
-and the filter is ``2**filter_bits`` masks.
+fitted, chosen by hash of their id; the rate bounds the n-grams of a language
+by ``10**6 / least_per_million``, and so the filter and what the driver sees.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; a text
 none of whose n-grams is known gets the most frequent language with score 0;
 ties go to the language first in code point order; without any training row
 every text is ``und``; repeated rows get equal results; long texts are read
-whole.
+whole, batches are cut by bytes; of the table only doc_id, text and lang are
+read.
 """
 
 from __future__ import annotations
@@ -27,15 +30,17 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from geoloom.llm.common import fold_of
+from geoloom.llm.common import fold_of, materialize, release
+from geoloom.llm.words import giving_back, slices
 
 NGRAMS = (3, 4)
 HASHES = 2
-COUNT_BITS = 20
-FILTER_BITS = 20
+SLOTS_A_GRAM = 16
 MAX_ROWS = 20_000
+#: Bytes of text worked on at once, and n-grams that a task gathers before it hands their counts on.
+BATCH_BYTES, HELD_GRAMS = 1 << 18, 1 << 20
 #: A language has an n-gram if it uses it at least so often against the language that does most.
 SHARE = 0.34
 #: ... and at least so often in a million n-grams.
@@ -85,53 +90,83 @@ def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) * _STRIDE) >> np.uint64(64 - bits) for i in range(HASHES)]
 
 
-def fit(rows: DataFrame, max_rows: int = MAX_ROWS, count_bits: int = COUNT_BITS, filter_bits: int = FILTER_BITS) -> dict:
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def count_grams(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """(lang, h, n): how often the rows of a language (its place in ``langs``) have the n-gram of hash ``h``."""
+
+    def run(batches):
+        index = {g: i for i, g in enumerate(langs)}
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush():
+            for i, parts in held.items():
+                h, n = _summed(*map(np.concatenate, zip(*parts)))
+                for k in range(0, len(h), 1 << 16):
+                    some = h[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some.view(np.int64)), pa.array(n[k : k + (1 << 16)])], names=["lang", "h", "n"])
+
+        for batch in giving_back(batches):
+            for a, b in slices(batch.column(1), BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                lang = np.array([index[g] for g in part.column(0).to_pylist()], np.int64)
+                h, owner, _ = grams(part.column(1).to_pylist())
+                of = lang[owner]
+                for i in np.unique(of).tolist():
+                    found, n = np.unique(h[of == i], return_counts=True)
+                    held.setdefault(i, []).append((found, n))
+                    size += len(found)
+                if size >= HELD_GRAMS:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    return rows.select("lang", "text").mapInArrow(run, "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+
+
+def fit(rows: DataFrame, max_rows: int = MAX_ROWS, slots_a_gram: int = SLOTS_A_GRAM, share: float = SHARE, least_per_million: float = LEAST_PER_MILLION) -> dict:
     """Learn from (doc_id, text, lang) rows.  The model is a dict of languages, masks and false-positive rates."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
         return {"langs": [], "masks": None}
-    if len(langs) > 64:
-        raise ValueError("a mask holds 64 languages")
     limit = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, max_rows / totals[g])))])
     chosen = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < F.element_at(limit, F.col("lang")) * F.lit(1 << 20)
-    sample = rows.where(chosen).select("lang", "text")
-
-    def count(batches):
-        index = {g: i for i, g in enumerate(langs)}
-        counts = np.zeros((len(langs), 1 << count_bits), np.int32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lang = np.array([index[g] for g in part.column(0).to_pylist()], np.int64)
-                h, owner, _ = grams(part.column(1).to_pylist())
-                cell = (lang[owner] << count_bits) | (h >> np.uint64(64 - count_bits)).astype(np.int64)
-                counts += np.bincount(cell, minlength=counts.size).astype(np.int32).reshape(counts.shape)
-        for i in range(len(langs)):
-            used = np.flatnonzero(counts[i])
-            for k in range(0, len(used), 1 << 16):
-                ids = used[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), i, np.int32)), pa.array(ids.astype(np.int32)), pa.array(counts[i, ids].astype(np.int64))], names=["lang", "cell", "n"]
-                )
-
-    per_cell = sample.mapInArrow(count, "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    # at most languages x 2**count_bits cells, whatever the corpus; cells seen once decide nothing
-    got = per_cell.where("n > 1").toPandas()
-    counts = np.zeros((len(langs), 1 << count_bits), np.float64)
-    counts[got["lang"], got["cell"]] = got["n"]
-    rate = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    has = (rate >= SHARE * rate.max(axis=0)) & (rate * 1e6 >= LEAST_PER_MILLION)
-    masks = np.zeros(1 << filter_bits, np.uint64)
-    # counters and filter share the leading hash bits: a cell stands for its n-grams
+    counts = materialize(count_grams(rows.where(chosen), langs), "language-counts")
+    whole = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    got = None
+    if whole:
+        of = F.create_map(*[x for i, n in whole.items() for x in (F.lit(i), F.lit(float(n)))])
+        rated = counts.select("lang", "h", (F.col("n") / F.element_at(of, F.col("lang"))).alias("rate"))
+        rated = rated.withColumn("most", F.max("rate").over(Window.partitionBy("h")))  # a row a language
+        got = rated.where((F.col("rate") >= share * F.col("most")) & (F.col("rate") * 1e6 >= least_per_million)).select("lang", "h").toArrow()
+    release(counts)
+    lang = got["lang"].to_numpy() if got else np.zeros(0, np.int32)
+    h = got["h"].to_numpy().view(np.uint64) if got else np.zeros(0, np.uint64)
+    most_grams = int(np.bincount(lang, minlength=1).max())
+    bits = max(10, int(slots_a_gram * most_grams).bit_length())
+    masks = np.zeros((-(-len(langs) // 64), 1 << bits), np.uint64)
     for i in range(len(langs)):
-        cells = np.flatnonzero(has[i]).astype(np.uint64) << np.uint64(64 - count_bits)
-        for s in slots(cells, filter_bits):
-            np.bitwise_or.at(masks, s.astype(np.int64), np.uint64(1 << i))
-    fill = np.array([(masks >> np.uint64(i) & np.uint64(1)).mean() for i in range(len(langs))])
+        for s in slots(h[lang == i], bits):
+            np.bitwise_or.at(masks[i // 64], s.astype(np.int64), np.uint64(1 << (i % 64)))
+    fill = np.array([(masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(langs))])
     most = min(range(len(langs)), key=lambda i: (-totals[langs[i]], i))
-    return {"langs": langs, "masks": masks, "false": fill**HASHES, "most": most, "count_bits": count_bits, "filter_bits": filter_bits}
+    return {"langs": langs, "masks": masks, "false": fill**HASHES, "most": most, "bits": bits}
+
+
+def languages_of(model: dict, h: np.ndarray) -> np.ndarray:
+    """A mask of the languages that have each n-gram, a row for each 64 languages."""
+    found = np.full((len(model["masks"]), len(h)), ~np.uint64(0))
+    for s in slots(h, model["bits"]):
+        found &= model["masks"][:, s.astype(np.int64)]
+    return found
 
 
 def classify(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -140,12 +175,9 @@ def classify(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarra
     h, owner, has_letter = grams(texts)
     if not langs:
         return ["und"] * len(texts), np.zeros(len(texts))
-    h = h >> np.uint64(64 - model["count_bits"]) << np.uint64(64 - model["count_bits"])
-    found = np.full(len(h), ~np.uint64(0))
-    for s in slots(h, model["filter_bits"]):
-        found &= model["masks"][s.astype(np.int64)]
+    found = languages_of(model, h)
     total = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-    hits = np.stack([np.bincount(owner, (found >> np.uint64(i)) & np.uint64(1), minlength=len(texts)) for i in range(len(langs))])
+    hits = np.stack([np.bincount(owner, (found[i // 64] >> np.uint64(i % 64)) & np.uint64(1), minlength=len(texts)) for i in range(len(langs))])
     false = model["false"][:, None]
     true = np.clip((hits / total - false) / np.maximum(1 - false, 1e-9), 0, 1)
     best = true.argmax(axis=0)
@@ -163,9 +195,9 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+        for batch in giving_back(batches):
+            for a, b in slices(batch.column(len(keep)), BATCH_BYTES):
+                part = batch.slice(a, b - a)
                 langs, score = classify(model, part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
