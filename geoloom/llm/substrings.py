@@ -3,10 +3,13 @@
 Every window of ``length`` words is the head of a suffix.  Suffixes are split
 by variable-length prefixes into groups that fit into memory: a first pass
 counts them by a short code of their first words; a code path that holds too
-many is extended by another word, small neighbours are put together.  A group's
-suffixes are then ordered by a digest of their leading ``length`` words; a run
-of equal ones is an internal node at that depth, the head of a maximal repeat,
-and all its suffixes but those of the smallest document are repeats.
+many is extended by another word, small neighbours are put together, and a
+path that is too heavy at its full length goes on by the words below it, told
+by their digest, so that no prefix, however hot, makes a group too large.  A
+group's suffixes are ordered by their leading ``length`` words; a run of equal
+ones is an internal node at that depth, the head of a maximal repeat, and all
+its suffixes but those of the smallest document are repeats.
+``maximal_repeats`` follows the nodes along the texts.
 
 Groups are worked off in ``rounds``, so that only a part of all suffixes is on
 disk at a time.  What travels is a digest and a place for each suffix, not its
@@ -16,26 +19,31 @@ the spot; so a passage that a third of all documents share is as light as any
 other.  Settled windows return to their documents as packed places, where they
 become removed words.
 
-Windows are judged on the input: removing one does not save another.  Equal
-digests (64 bits, within one prefix group) stand for equal sequences.
+A digest has 128 bits in two halves of unlike making: a polynomial and a
+multilinear hash, the latter with keys drawn anew in every run, so that no text
+can be made to collide; two unlike sequences are taken for equal with
+probability 2**-64 at most even where the first half is equal.
+
+Windows are judged on the input: removing one does not save another.
 
 Cases: null and empty texts have no words; texts shorter than a window stay
 whole; repeats inside one document count only if a smaller document has them
 too; a null doc_id counts as larger than any other, and rows of one id never
-remove each other's words; texts of any length are read whole; an empty table
-gives an empty result.
+remove each other's words; texts of any length are read whole; columns that
+are not named in ``keep`` are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from geoloom.llm.common import free_shuffles, materialize
-from geoloom.llm.words import Words, giving_back, mix, sequence_hashes, slices
+from geoloom.llm.words import Words, giving_back, keyed_sequences, mix, sequence_hashes, slices
 
 LENGTH = 13
 #: Suffixes a group may hold at most; a group is one task's memory.
@@ -92,9 +100,9 @@ def count_prefixes(docs: DataFrame, length: int) -> np.ndarray:
     return counts
 
 
-def group_prefixes(counts: np.ndarray, most: int) -> np.ndarray:
-    """Group of every code: a prefix is extended while it holds more than ``most``, light neighbours share a group."""
-    group = np.zeros(CODES, np.int32)
+def group_prefixes(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First group of every code and the number of its groups: a prefix is extended while it holds more than ``most``, light neighbours share a group."""
+    group, parts = np.zeros(CODES, np.int32), np.ones(CODES, np.int32)
     state = {"id": 0, "load": 0}
     sums = np.concatenate([[0], np.cumsum(counts)])
 
@@ -108,11 +116,15 @@ def group_prefixes(counts: np.ndarray, most: int) -> np.ndarray:
         if state["load"] and state["load"] + n > most:
             state["id"], state["load"] = state["id"] + 1, 0
         group[start : start + span] = state["id"]
-        state["load"] += n
+        if n > most:  # a full-length prefix: the words below it part its suffixes
+            parts[start] = -(-n // most)
+            state["id"], state["load"] = state["id"] + int(parts[start]), 0
+        else:
+            state["load"] += n
 
     for k in range(1 << WORD_BITS):
         place(k * (CODES >> WORD_BITS), CODES >> WORD_BITS)
-    return group
+    return group, parts
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -144,35 +156,49 @@ def _steps(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
 
 
-def _settle(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes, and which of them, in that order, come after a smaller document of their node."""
-    order = np.lexsort((rank, key))
-    k, r = key[order], rank[order]
-    head = np.concatenate([[True], k[1:] != k[:-1]])
-    least = r[head][np.cumsum(head) - 1]
-    return order, r > least
+def _settle(key: np.ndarray, low: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the suffixes; which of them, in that order, come after a smaller document of their node; the first suffix of each one's node."""
+    order = np.lexsort((rank, low, key))
+    k, j, r = key[order], low[order], rank[order]
+    head = np.concatenate([[True], (k[1:] != k[:-1]) | (j[1:] != j[:-1])])
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    return order, r > r[first], order[first]
+
+
+class _Plan:
+    """How suffixes are grouped and told apart."""
+
+    def __init__(self, length: int, group: np.ndarray, parts: np.ndarray, rounds: int, marked: bool, sources: bool, seed: int):
+        self.length, self.group, self.parts, self.rounds = length, group, parts, rounds
+        self.marked, self.sources, self.seed = marked, sources, seed
+
+    def groups(self, codes: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return self.group[codes] + (low % self.parts[codes].astype(np.uint64)).astype(np.int32)
 
 
 class _Chunk:
     """Suffixes of a round's groups that a task has gathered."""
 
-    def __init__(self, length: int, group: np.ndarray, rounds: int, turn: int, marked: bool):
-        self.length, self.group, self.rounds, self.turn, self.marked = length, group, rounds, turn, marked
-        self.ids, self.keys, self.groups, self.docs, self.places = [], [], [], [], []
+    def __init__(self, plan: _Plan, turn: int):
+        self.plan, self.turn = plan, turn
+        self.ids, self.keys, self.lows, self.groups, self.docs, self.places = [], [], [], [], [], []
         self.rows = self.suffixes = 0
 
     def add(self, ids: np.ndarray, buckets: np.ndarray, texts: pa.Array) -> None:
-        w, h, at = windows(texts, self.length)
+        plan = self.plan
+        w, h, at = windows(texts, plan.length)
         if len(at):
-            of = self.group[prefix_codes(h)[at]]
-            mine = of % self.rounds == self.turn
+            low = keyed_sequences(w.keyed_hashes(plan.seed), plan.length, plan.seed)[at]
+            of = plan.groups(prefix_codes(h)[at], low)
+            mine = of % plan.rounds == self.turn
             at = at[mine]
-            self.keys.append(sequence_hashes(h, self.length)[at])
+            self.keys.append(sequence_hashes(h, plan.length)[at])
+            self.lows.append(low[mine])
             self.groups.append(of[mine])
             self.docs.append((w.doc[at] + self.rows).astype(np.uint32))
             self.places.append((at - w.first[w.doc[at]]).astype(np.uint32))
             self.suffixes += len(at)
-        marks = text_marks(w) if self.marked else np.zeros(len(ids), np.int64)
+        marks = text_marks(w) if plan.marked else np.zeros(len(ids), np.int64)
         self.ids.append(np.column_stack([ids, marks, buckets]))
         self.rows += len(ids)
 
@@ -181,8 +207,10 @@ class _Chunk:
         if not self.suffixes:
             return _out([])
         ids = np.concatenate(self.ids)
-        key, of, doc, place = map(np.concatenate, (self.keys, self.groups, self.docs, self.places))
-        order, repeat = _settle(key, np.unique(ids[:, 0], return_inverse=True)[1][doc])
+        key, low, of, doc, place = map(np.concatenate, (self.keys, self.lows, self.groups, self.docs, self.places))
+        order, repeat, first = _settle(key, low, np.unique(ids[:, 0], return_inverse=True)[1][doc])
+        if self.plan.sources:  # a node's source is known for certain only where all its suffixes meet
+            repeat[:] = False
         out = _places_out(ids, doc[order[repeat]], place[order[repeat]])
         keep = order[~repeat]
         keep = keep[np.argsort(of[keep], kind="stable")]
@@ -194,7 +222,7 @@ class _Chunk:
             part = keep[a:b]
             used, local = np.unique(rank[doc[part]], return_inverse=True)
             mine = ids[by_id[used]]
-            payload = _pack(_steps(key[part]), local.astype(np.uint32), place[part], _steps(mine[:, 0]), mine[:, 1], mine[:, 2].astype(np.int32))
+            payload = _pack(_steps(key[part]), low[part], local.astype(np.uint32), place[part], _steps(mine[:, 0]), mine[:, 1], mine[:, 2].astype(np.int32))
             out.append((int(of[part[0]]), payload))
         return _out(out)
 
@@ -238,26 +266,39 @@ def _tree(batches):
     Settled places of many groups are packed together, those of the rows that
     come settled pass through.
     """
-    held: list[bytes] = []
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    at, waiting = None, 0
+    waiting = 0
+    for item in _subtrees(batches):
+        if isinstance(item, pa.RecordBatch):
+            yield item
+            continue
+        ids, doc, place, order, repeat, _ = item
+        used, local = np.unique(doc[order[repeat]], return_inverse=True)
+        found.append((ids[used], local, place[order[repeat]]))
+        waiting += len(local)
+        if waiting >= BLOCK_SUFFIXES:
+            yield _out(_all_places(found))
+            found, waiting = [], 0
+    if found:
+        yield _out(_all_places(found))
+
+
+def _subtrees(batches):
+    """What ``_nodes`` gives for every group, and rows that come settled."""
+    held: list[bytes] = []
+    at = None
     for batch in giving_back(batches):
         for g, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if g < 0:
                 yield _out([(g, payload)])
                 continue
             if g != at and held:
-                found.append(_nodes(held))
-                held, waiting = [], waiting + len(found[-1][1])
-                if waiting >= BLOCK_SUFFIXES:
-                    yield _out(_all_places(found))
-                    found, waiting = [], 0
+                yield _nodes(held)
+                held = []
             at = g
             held.append(payload)
     if held:
-        found.append(_nodes(held))
-    if found:
-        yield _out(_all_places(found))
+        yield _nodes(held)
 
 
 def _all_places(found: list) -> list[tuple[int, bytes]]:
@@ -270,59 +311,102 @@ def _all_places(found: list) -> list[tuple[int, bytes]]:
     return _places_out(unique, same.ravel()[doc], place) if len(doc) else []
 
 
-def _nodes(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, document and place of the suffixes of a group that are repeats."""
-    keys, docs, places, ids, base = [], [], [], [], 0
+def _nodes(held: list[bytes]) -> tuple[np.ndarray, ...]:
+    """A group's documents, and of its suffixes: document, place, order, which are repeats, the first of each one's node."""
+    keys, lows, docs, places, ids, base = [], [], [], [], [], 0
     for payload in held:
-        k, d, p, doc_ids, marks, buckets = _unpack(payload, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int32)
+        k, j, d, p, doc_ids, marks, buckets = _unpack(payload, np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int32)
         keys.append(np.cumsum(k, dtype=np.uint64))
+        lows.append(j)
         docs.append(d.astype(np.int64) + base)
         places.append(p)
         ids.append(np.column_stack([np.cumsum(doc_ids), marks, buckets]))
         base += len(doc_ids)
     ids = np.concatenate(ids)
-    key, doc, place = map(np.concatenate, (keys, docs, places))
-    order, repeat = _settle(key, np.unique(ids[:, 0], return_inverse=True)[1][doc])
-    used, local = np.unique(doc[order[repeat]], return_inverse=True)
-    return ids[used], local, place[order[repeat]]
+    key, low, doc, place = map(np.concatenate, (keys, lows, docs, places))
+    return ids, doc, place, *_settle(key, low, np.unique(ids[:, 0], return_inverse=True)[1][doc])
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("__id"), F.col("text").alias("__text"), *more)
 
 
-def repeated_places(docs: DataFrame, length: int = LENGTH, group_suffixes: int = GROUP_SUFFIXES, rounds: int = ROUNDS) -> tuple[DataFrame, int, bool]:
-    """(bucket, payload) rows of windows that a smaller document has, the number of buckets, and whether ids clash."""
+def _prepared(docs: DataFrame, length: int, group_suffixes: int, rounds: int, sources: bool):
+    """Documents with their buckets, a broadcast plan of groups, and the number of buckets."""
     spark = docs.sparkSession
     docs = _keyed(docs)
     counts = count_prefixes(docs, length)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = int(counts.sum()) // (GROUPS_A_PARTITION * rounds * partitions) + 1
-    group = spark.sparkContext.broadcast(group_prefixes(counts, min(group_suffixes, spread)))
     buckets = max(partitions, int(counts.sum()) // BUCKET_WORDS)
     marked = not docs.groupBy("__id").count().where("count > 1").isEmpty()
-    placed = docs.select("__id", F.pmod(F.xxhash64("__id"), F.lit(buckets)).alias("__bucket"), "__text")
+    plan = spark.sparkContext.broadcast(_Plan(length, *group_prefixes(counts, min(group_suffixes, spread)), rounds, marked, sources, secrets.randbits(63)))
+    return docs.select("__id", F.pmod(F.xxhash64("__id"), F.lit(buckets)).alias("__bucket"), "__text"), plan, buckets
+
+
+def _grouped(placed: DataFrame, plan, turn: int) -> DataFrame:
+    """The suffixes of a round, dealt and sorted by group."""
+
+    def gather(batches):
+        chunk = _Chunk(plan.value, turn)
+        for batch in giving_back(batches):
+            for a, b in slices(batch.column(2)):
+                part = batch.slice(a, b - a)
+                chunk.add(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2))
+                if chunk.suffixes >= BLOCK_SUFFIXES:
+                    yield chunk.rows_out()
+                    chunk = _Chunk(plan.value, turn)
+        yield chunk.rows_out()
+
+    return placed.mapInArrow(gather, _KIND).repartition("grp").sortWithinPartitions("grp")
+
+
+_KIND = "grp int, payload binary"
+
+
+def repeated_places(docs: DataFrame, length: int = LENGTH, group_suffixes: int = GROUP_SUFFIXES, rounds: int = ROUNDS) -> tuple[DataFrame, int, bool]:
+    """(bucket, payload) rows of windows that a smaller document has, the number of buckets, and whether ids clash."""
+    spark = docs.sparkSession
+    placed, plan, buckets = _prepared(docs, length, group_suffixes, rounds, False)
     found = None
     for turn in range(rounds):
-
-        def gather(batches, turn=turn):
-            chunk = _Chunk(length, group.value, rounds, turn, marked)
-            for batch in giving_back(batches):
-                for a, b in slices(batch.column(2)):
-                    part = batch.slice(a, b - a)
-                    chunk.add(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2))
-                    if chunk.suffixes >= BLOCK_SUFFIXES:
-                        yield chunk.rows_out()
-                        chunk = _Chunk(length, group.value, rounds, turn, marked)
-            yield chunk.rows_out()
-
-        kind = "grp int, payload binary"
-        settled = placed.mapInArrow(gather, kind).repartition("grp").sortWithinPartitions("grp").mapInArrow(_tree, kind)
+        settled = _grouped(placed, plan, turn).mapInArrow(_tree, _KIND)
         part = materialize(settled.select((-1 - F.col("grp")).alias("bucket"), "payload"), "substrings-places")
         del settled
         free_shuffles(spark)
         found = part if found is None else found.unionByName(part)
-    return found, buckets, marked
+    return found, buckets, plan.value.marked
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH, group_suffixes: int = GROUP_SUFFIXES, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, start, words, source_id, source_start: stretches of ``words`` (at least ``length``) words that stand in a smaller document.
+
+    Every window is told by the first place in the smallest document that has
+    it; windows that follow each other here and there are one repeat.  Of rows
+    with one id, the places are those of either row.
+    """
+    placed, plan, _ = _prepared(docs, length, group_suffixes, rounds, True)
+
+    def pairs(batches):
+        for item in _subtrees(batches):
+            if isinstance(item, pa.RecordBatch):
+                continue
+            ids, doc, place, order, repeat, first = item
+            mine, theirs = order[repeat], first[repeat]
+            for a in range(0, len(mine), 1 << 18):
+                m, t = mine[a : a + (1 << 18)], theirs[a : a + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[m], 0]), pa.array(place[m].astype(np.int64)), pa.array(ids[doc[t], 0]), pa.array(place[t].astype(np.int64))], names=["doc_id", "place", "source_id", "source_place"])
+
+    found = None
+    for turn in range(rounds):
+        part = materialize(_grouped(placed, plan, turn).mapInArrow(pairs, "doc_id long, place long, source_id long, source_place long"), "substrings-pairs")
+        found = part if found is None else found.unionByName(part)
+    # windows that go on are one stretch: their place less their source's stays, and places have no gap
+    shift = (F.col("place") - F.col("source_place")).alias("shift")
+    line = Window.partitionBy("doc_id", "source_id", "shift").orderBy("place")
+    runs = found.distinct().select("doc_id", "place", "source_id", "source_place", shift).withColumn("run", F.col("place") - F.row_number().over(line))
+    stretches = runs.groupBy("doc_id", "source_id", "shift", "run").agg(F.min("place").alias("start"), (F.count("*") + length - 1).alias("words"), F.min("source_place").alias("source_start"))
+    return stretches.select(F.nullif("doc_id", F.lit(int(NULL_ID))).alias("doc_id"), "start", "words", "source_id", "source_start")
 
 
 def covered(places: list[np.ndarray], n: int, length: int) -> np.ndarray:

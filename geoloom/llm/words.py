@@ -63,6 +63,18 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
         self.doc = np.repeat(np.arange(n), np.diff(self.first))
 
+    def keyed_hashes(self, seed: int) -> np.ndarray:
+        """A second, multilinear hash of each word: its bytes times keys drawn from the seed by their place in the word."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        size = self.end - self.start
+        keys = mix(np.arange(1, int(size.max()) + 2, dtype=np.uint64) * np.uint64(_B) + np.uint64(seed)) | np.uint64(1)
+        owner = np.repeat(self.start, size)
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        place = np.arange(len(owner)) - np.repeat(first, size)
+        sums = np.add.reduceat((self.data[owner + place].astype(np.uint64) + np.uint64(1)) * keys[place], first)
+        return mix(sums + size.astype(np.uint64) * keys[size])
+
     def hashes(self) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, np.uint64)
@@ -84,6 +96,17 @@ def sequence_hashes(h: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     return mix(out)
 
 
+def keyed_sequences(h: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Multilinear hash of the n words from each word on; the last n - 1 places are left out."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    keys = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_B_INVERSE) + np.uint64(seed)) | np.uint64(1)
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    for j in range(n):
+        out += h[j : len(h) - n + 1 + j] * keys[j]
+    return mix(out)
+
+
 def slices(column: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 2048):
     """(first row, one past the last row) of pieces of about ``most_bytes`` of text; a longer text is a piece of its own."""
     _, at = text_buffer(column)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -85,7 +86,7 @@ def test_mixing_takes_targets(spark):
 def test_mixing_awkward(spark):
     from geoloom.llm.mixing import mix_sources, sample_mixture
 
-    got = mix_sources(awkward(spark).drop("size")).toPandas()
+    got = mix_sources(awkward(spark)).toPandas()
     assert len(got) == len(rows()) and (got[got["text"].isna()]["size"] == 0).all()
     assert mix_sources(empty(spark)).count() == 0
     mixed = sample_mixture(spark.createDataFrame(rows(), DOCS))
@@ -93,6 +94,16 @@ def test_mixing_awkward(spark):
     words = sum(len(WORD.findall(r["text"] or "")) for r in mixed.collect())
     assert words == int((plan["whole"] * plan["size"] + plan["extra"]).sum())
     assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    # white space of every kind around words, at the head too, in a row that is cut
+    texts = ["\t\n one two\x0bthree  four ", "\n\nfive six seven", "\x0ceight nine", "\r a b c d e f g"]
+    odd = spark.createDataFrame([(i, t, None, ("a", "b", "c")[i % 3], 0) for i in range(40) for t in [texts[i % 4]]], DOCS).withColumn("size", F.lit("own")).withColumn("target", F.lit(7))
+    plan = mix_sources(odd).toPandas()
+    assert ((plan["extra"] > 0) & (plan["extra"] < plan["size"])).any()
+    taken = sample_mixture(odd)
+    assert taken.columns == odd.columns and {(r["size"], r["target"]) for r in taken.collect()} == {("own", 7)}
+    assert sum(len(WORD.findall(r["text"])) for r in taken.collect()) == int((plan["whole"] * plan["size"] + plan["extra"]).sum())
+    part = [r["text"] for r in taken.where(~F.col("text").isin(texts)).collect()]
+    assert part and all(any(" ".join(WORD.findall(t)).startswith(p) for t in texts) for p in part)
 
 
 # ---- 2 language
@@ -117,17 +128,62 @@ def test_language(spark):
     assert classify({"langs": [], "masks": None}, ["a"])[0] == ["und"]
 
 
+def plain_grams(text):
+    """n-grams of letters with word edges, as strings."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    return [f" {w} "[k : k + n] for w in words for n in (3, 4) for k in range(len(w) + 3 - n)]
+
+
+def test_language_against_sets_of_grams(spark):
+    from collections import Counter
+
+    from geoloom.llm.language import LEAST_PER_MILLION, SHARE, classify, fit
+
+    rng = np.random.default_rng(31)
+    syllables = {f"l{i:02}": [f"{a}{b}" for a in rng.choice(list("bcdfghklmnprstvwzéßñ"), 6) for b in rng.choice(list("aeiouäö"), 3)] for i in range(70)}
+    make = lambda g, n: " ".join("".join(rng.choice(syllables[g], int(rng.integers(1, 4)))) for _ in range(n))
+    data = [(i * 70 + j, make(g, 60), g) for i in range(4) for j, g in enumerate(syllables)]
+    model = fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), slots_a_gram=4096)
+    counts = {g: Counter(x for _, t, k in data if k == g for x in plain_grams(t)) for g in syllables}
+    rate = {g: {x: n / c.total() for x, n in c.items()} for g, c in counts.items()}
+    most = {x: max(r.get(x, 0) for r in rate.values()) for r in rate.values() for x in r}
+    has = {g: {x for x, v in r.items() if v >= SHARE * most[x] and v * 1e6 >= LEAST_PER_MILLION} for g, r in rate.items()}
+    texts = [make(g, int(rng.integers(1, 30))) + " 12, !" for g in syllables] + ["zzzqqq", "ba", "Ünd, ß"]
+    langs, scores = classify(model, texts)
+    for t, lang, score in zip(texts, langs, scores):
+        x = plain_grams(t)
+        share = {g: sum(w in has[g] for w in x) / len(x) for g in sorted(has)}
+        if max(share.values()):
+            assert share[lang] == pytest.approx(max(share.values()), abs=1e-3)
+            assert score == pytest.approx(max(share.values()) / sum(share.values()), abs=1e-3)
+        else:
+            assert score == pytest.approx(0, abs=1e-3) or share[lang] == 0
+    assert len(model["masks"]) == 2 and np.mean([a == g for a, g in zip(langs, syllables)]) > 0.9
+
+
+def test_language_false_positives_are_corrected(spark):
+    from geoloom.llm.language import classify, fit, languages_of
+
+    rng = np.random.default_rng(33)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(400))
+    rows = spark.createDataFrame([(i, text(("abcdef", "ghijkl")[i % 2]), ("x", "y")[i % 2]) for i in range(20)], "doc_id long, text string, lang string")
+    model = fit(rows, slots_a_gram=2)  # a full filter
+    strange = rng.integers(0, 2**63, 20000).astype(np.uint64) * np.uint64(2)
+    found = languages_of(model, strange)[0]
+    for i in range(2):  # what false positives the fill predicts is what there are
+        assert ((found >> np.uint64(i)) & np.uint64(1)).mean() == pytest.approx(model["false"][i], abs=0.03) and model["false"][i] > 0.05
+    assert classify(model, [text("abcdef"), text("ghijkl")])[0] == ["x", "y"]
+
+
 def test_language_bloom_has_no_false_negatives():
-    from geoloom.llm.language import FILTER_BITS, slots
+    from geoloom.llm.language import languages_of, slots
 
     h = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
-    masks = np.zeros(1 << FILTER_BITS, np.uint64)
-    for s in slots(h, FILTER_BITS):
-        np.bitwise_or.at(masks, s.astype(np.int64), np.uint64(5))
-    found = np.full(len(h), ~np.uint64(0))
-    for s in slots(h, FILTER_BITS):
-        found &= masks[s.astype(np.int64)]
-    assert ((found & np.uint64(5)) == 5).all()
+    masks = np.zeros((2, 1 << 16), np.uint64)
+    for s in slots(h, 16):
+        np.bitwise_or.at(masks[1], s.astype(np.int64), np.uint64(5))
+    found = languages_of({"masks": masks, "bits": 16}, h)
+    assert ((found[1] & np.uint64(5)) == 5).all() and not found[0].any()
 
 
 # ---- 3 simhash
@@ -394,7 +450,7 @@ def test_topk(spark):
     data += [(400, None), (401, [float("nan")] * 8), (402, [None] * 8), (403, [float("inf")] * 8), (None, [0.5] * 8), (399, data[399][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit(0)).withColumn("rank", F.lit(9))
     v = df.select("vec_id", scaled(F.col("embedding")).alias("v"))
-    got = top_k(v, F.col("vec_id") % 20 == 0, k=20, pivots=5, query_block=7, candidate_block=50).toPandas()
+    got = top_k(v, F.col("vec_id") % 20 == 0, k=20, pivots=5, query_bytes=300, sample_rows=30, growth=4).toPandas()
     ints = [(i, np.floor(64 * np.array(e)).astype(int)) for i, e in data[:400]] + [(399, np.floor(64 * np.array(data[399][1])).astype(int))]
     for q, x in ints[:400:20]:
         want = sorted(((-int(x @ y), i) for i, y in ints if i != q))[:20]
@@ -405,6 +461,25 @@ def test_topk(spark):
     assert few.count() == 2
 
 
+def test_topk_odd_vectors(spark):
+    from geoloom.llm.topk import scaled, top_k
+
+    rng = np.random.default_rng(9)
+    data = [(i, [float(v) for v in rng.integers(-40, 40, int(rng.integers(0, 6))) / 64 * 10.0 ** int(rng.integers(0, 8))]) for i in range(120)]
+    data += [(120, [1e20]), (121, [3e38, 1.0]), (122, [])] + [(20, data[20][1])] * 3 + [(40, [0.5, 0.25])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    got = top_k(df.select("vec_id", scaled(F.col("embedding")).alias("v")), F.col("vec_id") % 20 == 0, k=5, pivots=3, sample_rows=20, growth=2).toPandas()
+    ints = [(i, [int(np.floor(64 * x)) for x in e]) for i, e in data if all(abs(x) * 64 < 2**31 for x in e) and sum(float(np.floor(64 * x)) ** 2 for x in e) < 2.0**62]
+    assert {120, 121}.isdisjoint(got["vec_id"]) and 122 in {i for i, _ in ints}
+    want = []
+    for i, x in {(i, tuple(x)) for i, x in ints if i % 20 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in ints if j != i)[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(want) == sorted(zip(got["query_id"], got["rank"], got["vec_id"], got["score"]))
+    alike = spark.createDataFrame([(i, []) for i in range(5)], "vec_id long, v array<long>")
+    assert top_k(alike, F.col("vec_id") == 0).count() == 4
+
+
 # ---- 7 SpotSigs
 
 
@@ -541,6 +616,80 @@ def test_substrings(spark, n, groups, rounds):
     assert dedup_substrings(empty(spark), n).count() == 0
 
 
+def plain_repeats(data, n):
+    """Windows of n words with the first place in the smallest document that has them, put together where both go on."""
+    words = {i: WORD.findall(t or "") for i, t in data}
+    first = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - n + 1):
+            first.setdefault(tuple(words[i][k : k + n]), (i, k))
+    out = []
+    for i, w in words.items():
+        found = {k: first[tuple(w[k : k + n])] for k in range(len(w) - n + 1)}
+        found = {k: s for k, s in found.items() if s[0] != i}
+        for k, (j, at) in found.items():
+            if found.get(k - 1) != (j, at - 1):
+                m = 1
+                while found.get(k + m) == (j, at + m):
+                    m += 1
+                out.append((i, k, m + n - 1, j, at))
+    return sorted(out)
+
+
+def test_maximal_repeats(spark):
+    from geoloom.llm.substrings import maximal_repeats
+
+    rng = np.random.default_rng(41)
+    vocabulary = [f"w{i}" for i in range(9)]
+    data = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(0, 50))))) for i in range(50)]
+    data += [(60 + i, f"{i} " + data[i][1] + " tail " + data[(i + 7) % 50][1]) for i in range(20)]
+    got = maximal_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(4), 4, group_suffixes=40, rounds=2).collect()
+    assert sorted((r["doc_id"], r["start"], r["words"], r["source_id"], r["source_start"]) for r in got) == plain_repeats(data, 4)
+    assert maximal_repeats(empty(spark)).count() == 0
+
+
+def test_substrings_with_colliding_digests_and_a_hot_prefix(spark, monkeypatch):
+    from geoloom.llm import substrings as S
+    from geoloom.llm import words as W
+
+    counts = np.zeros(S.CODES, np.int64)
+    counts[[5, 6, 7, 70_000, 200_000]] = [10, 1_000_000, 3, 40, 2]
+    group, parts = S.group_prefixes(counts, 1000)
+    assert parts[6] == 1000 and (np.delete(parts, 6) == 1).all()  # a hot three-word prefix goes on below
+    used = {int(group[6]) + k for k in range(1000)}
+    assert used.isdisjoint({int(group[c]) for c in (5, 7, 70_000, 200_000)}) and group[7] < group[70_000] + 1
+
+    rng = np.random.default_rng(43)
+    same = "the same head of words"
+    data = [(i, f"{same} " + " ".join(f"{same} x{rng.integers(6)}" for _ in range(12)), None, None, 0) for i in range(40)]
+    plain = plain_substrings(data, 8)
+    df = spark.createDataFrame(data, DOCS).repartition(3)
+    digest = lambda rows: sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows), key=str)
+    assert digest(S.dedup_substrings(df, 8, group_suffixes=50, rounds=2).collect()) == plain
+    # the first half of the digests says nothing: the second tells sequences apart
+    plan = S._Plan(8, np.zeros(S.CODES, np.int32), np.ones(S.CODES, np.int32), 1, False, False, 12345)
+    monkeypatch.setattr(S, "sequence_hashes", lambda h, n, seed=1: np.zeros(max(len(h) - n + 1, 0), np.uint64))
+    texts = pa.array([t for _, t, *_ in data])
+    chunk = S._Chunk(plan, 0)
+    chunk.add(np.arange(40), np.zeros(40, np.int64), texts)
+    rows = chunk.rows_out()
+    found = np.zeros(40, np.int64)
+    for g, payload in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        if g < 0:
+            ids, _, n, place = S._unpack(payload, np.int64, np.int64, np.uint32, np.uint32)
+            for i, p in zip(ids, np.split(place, np.cumsum(n)[:-1])):
+                found[i] += S.covered([p], len(WORD.findall(data[i][1])), 8).sum()
+    assert found.tolist() == [r[2] for r in sorted(plain)]
+    # keyed hashes of words: equal for equal words, whatever stands around them
+    w = W.Words(pa.array(["a bb ccc dddd", "dddd x" * 3 + " a bb", "é " + "y" * 5000 + " a"]))
+    h = w.keyed_hashes(7)
+    seen = {}
+    raw = w.data.tobytes()
+    for a, b, x in zip(w.start, w.end, h.tolist()):
+        assert seen.setdefault(raw[a:b], x) == x
+    assert len(set(seen.values())) == len(seen) and not set(seen.values()) & set(w.keyed_hashes(8).tolist())
+
+
 # ---- 10 pages
 
 
@@ -563,6 +712,16 @@ def test_pages(spark):
     ):
         for page in (f"<body>{furniture}<article><h1>T</h1>{body}</article></body>", f'<body><div id="wrap"><div class="content has-sidebar" data-note="not hidden at all"><h1>T</h1>{body}{furniture}</div></div></body>', f'<div class="post"><div class="entry-header"><h1>T</h1></div><div class="entry-content">{body}</div></div>{furniture}'):
             assert extract(page) == "T\nA long enough paragraph, with commas, to earn its points here.\nAnd another one, short.", page
+    for names in ("post long-form", "article-body share-enabled", "long-form", "sidebar-wrap", "entry-content comments-enabled"):  # no furniture, or all there is
+        assert extract(f'<div class="{names}"><h1>T</h1>{body}</div>').endswith("And another one, short."), names
+    assert extract('<div class="menu"><p>a, b, c.</p></div>') == extract('<div class="main-menu"><a href=1>One</a><a href=2>Two</a></div>') == ""
+    links = "<ul><li><a href=1>ref one</a><li><a href=2>ref two</a><li><a href=3>ref three</a></ul>"
+    assert extract(f"<article><h1>T</h1>{body}{links}</article>").endswith("ref one\nref two\nref three")
+    assert extract("text > x <!-- unclosed > and <p>y") == "text > x" and extract("<p>a <!-- b") == "a"
+    for deep in ("<div><p>some text, more ", "<div>", "<p>x</section>", "<b>x</i>", "<a ", "x <!-- ", '<a b="', "<li><div>"):
+        began = time.process_time()
+        extract(deep * 8000)
+        assert time.process_time() - began < 5, deep
     df = spark.createDataFrame([(1, "u", page), (2, None, None), (2, None, None), (None, "x", "<p>a < b &lt; c</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {(r["page_id"], r["text"]) for r in main_text(df).collect()}
     assert (2, "") in got and (None, "a < b < c") in got
