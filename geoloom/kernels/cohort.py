@@ -209,21 +209,25 @@ def modularity_clusters(s: np.ndarray, most: int = 9) -> np.ndarray:
 
 
 def gravitation(s: np.ndarray, steps: int = 100, dt: float = 0.1, merge: float = 0.1, damping: float = 0.9) -> np.ndarray:
-    """Classical scaling, then attraction by similarity; what comes within ``merge`` of the spread is one cluster."""
+    """Classical scaling, then attraction by similarity and repulsion at short range, masses by total similarity; what ends within ``merge`` is one cluster."""
     n = len(s)
-    d2 = np.maximum(2 * (1 - s), 0)
+    apart = 1 - np.clip(s, 0, 1)
     j = np.eye(n) - 1 / n
-    w, v = eigen(-0.5 * j @ d2 @ j)
+    w, v = eigen(-0.5 * j @ (apart - np.diag(np.diag(apart))) ** 2 @ j)
     x = v[:, :2] * np.sqrt(np.maximum(w[:2], 0))
     speed = np.zeros_like(x)
-    pull = np.where(s > 0.3, s, 0) - np.diag(np.diag(s))
+    mass = s.sum(axis=1)
+    mass = mass / max(mass.max(), EPS)
+    pull = s - np.diag(np.diag(s))
     for _ in range(steps):
         gap = x[None, :, :] - x[:, None, :]
-        r = np.sqrt((gap**2).sum(axis=2)) + 0.05
-        speed = damping * (speed + dt * (pull[:, :, None] * gap / r[:, :, None]).mean(axis=1))
+        r = np.sqrt((gap**2).sum(axis=2))
+        far = r > 1e-6
+        force = np.where(far, pull / (r + 0.1) - np.where(r < 0.2, 0.01 / (r**2 + 0.01), 0), 0) * mass[None, :]
+        unit = np.divide(gap, r[:, :, None], out=np.zeros_like(gap), where=far[:, :, None])
+        speed = damping * speed + dt * (force[:, :, None] * unit).sum(axis=1)
         x = x + dt * speed
-    d = distances(x)
-    return _components(d <= merge * max(d.max(), EPS))
+    return _components(distances(x) < merge)
 
 
 def persistent(d: np.ndarray, thresholds: int = 50) -> np.ndarray:

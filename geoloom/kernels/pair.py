@@ -39,9 +39,14 @@ def granger_both(x: np.ndarray, y: np.ndarray, most: int = 5, difference: bool =
     return out
 
 
-def dtw(x: np.ndarray, y: np.ndarray, band: int | None = None, most: int = 200) -> dict:
-    """Dynamic time warping of z-scores, squared cost, by anti-diagonals; longer series are thinned to ``most`` points (it defines the result)."""
-    x, y = (v[np.linspace(0, len(v) - 1, min(len(v), most)).round().astype(int)] for v in (x, y))
+def dtw(x: np.ndarray, y: np.ndarray, band: int | None = None, most: int | None = None) -> dict:
+    """Dynamic time warping of z-scores, squared cost, by anti-diagonals.
+
+    Series are read whole; ``band`` limits the warp to so many places off the
+    diagonal, ``most`` thins longer series to so many points.
+    """
+    if most:
+        x, y = (v[np.linspace(0, len(v) - 1, min(len(v), most)).round().astype(int)] for v in (x, y))
     x, y = (x - x.mean()) / (x.std() + EPS), (y - y.mean()) / (y.std() + EPS)
     n, m = len(x), len(y)
     cost = (x[:, None] - y[None, :]) ** 2
@@ -127,3 +132,97 @@ def te_shuffled(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, bins: in
     seen = te(a)
     null = np.array([te(rng.permutation(a)) for _ in range(n)])
     return {"transfer_entropy": max(seen - null.mean(), 0.0), "te_raw": seen, "te_p_value": float(((null >= seen).sum() + 1) / (n + 1))}
+
+
+def inversions(y: np.ndarray) -> int:
+    """Pairs i < j with y[i] > y[j]: blocks of doubling width are merged, all of a level at once."""
+    n = len(y)
+    if n < 2:
+        return 0
+    rank = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    size = 1 << (n - 1).bit_length()
+    rank = np.concatenate([rank, np.full(size - n, n, np.int64)])  # what is added stands last and is largest
+    total, width = 0, 1
+    while width < size:
+        pairs = rank.reshape(-1, 2, width)
+        base = (np.arange(len(pairs)) * (2 * n + 2))[:, None]
+        left, right = (pairs[:, 0] + base).ravel(), (pairs[:, 1] + base).ravel()
+        at_most = np.searchsorted(left, right, "right") - np.repeat(np.arange(len(pairs)) * width, width)
+        total += int((width - at_most).sum())
+        rank = np.sort(pairs.reshape(len(pairs), -1), axis=1).ravel()
+        width *= 2
+    return total
+
+
+def order_counts(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int]:
+    """n; S (pairs ordered alike less those ordered unlike); pairs that differ in x; in y.  n log^2 n."""
+    n = len(x)
+    tied = lambda *c: int(sum(k * (k - 1) // 2 for k in np.unique(np.column_stack(c), axis=0, return_counts=True)[1].tolist()))
+    order = np.lexsort((y, x))
+    unlike = inversions(y[order])
+    every, tx, ty, txy = n * (n - 1) // 2, tied(x), tied(y), tied(x, y)
+    return n, every - tx - ty + txy - 2 * unlike, every - tx, every - ty
+
+
+def lagged_correlations(x: np.ndarray, y: np.ndarray, most: int) -> list[tuple[int, float, int]]:
+    """(lag, correlation, rows) of x and y ``lag`` rows later, for -most..most; nan on constants."""
+    out = []
+    for k in range(-most, most + 1):
+        a, b = (x[: len(x) - k], y[k:]) if k >= 0 else (x[-k:], y[: len(y) + k])
+        if len(a) < 1:
+            continue
+        if len(a) < 2:
+            out.append((k, math.nan, len(a)))
+            continue
+        a, b = a - a.mean(), b - b.mean()
+        scale = math.sqrt(float(a @ a) * float(b @ b))
+        out.append((k, float(a @ b) / scale if scale > 0 else math.nan, len(a)))
+    return out
+
+
+def knn_mi(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
+    """Mutual information in nats by distances to k-th neighbours (maximum norm), not below 0."""
+    n = len(x)
+    x, y = ((v - v.mean()) / (v.std() + EPS) for v in (x, y))
+    digamma = np.concatenate([[0.0], -0.5772156649015329 + np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n + 1))])])
+    sx, sy = np.sort(x), np.sort(y)
+    total = 0.0
+    for a in range(0, n, max(1, (1 << 22) // n)):
+        b = min(n, a + max(1, (1 << 22) // n))
+        gap = np.maximum(np.abs(x[a:b, None] - x[None, :]), np.abs(y[a:b, None] - y[None, :]))
+        gap[np.arange(b - a), np.arange(a, b)] = np.inf
+        reach = np.partition(gap, k - 1, axis=1)[:, k - 1]
+        within = lambda s, v: np.searchsorted(s, v + reach, "left") - np.searchsorted(s, v - reach, "right")  # noqa: E731 - own value counts in
+        nx, ny = np.maximum(within(sx, x[a:b]), 1), np.maximum(within(sy, y[a:b]), 1)
+        total += float((digamma[nx] + digamma[ny]).sum())
+    return max(float(digamma[k] + digamma[n] - total / n), 0.0)
+
+
+def forced_stationarity(raw: np.ndarray, cleaned: np.ndarray, alpha: float = 0.05) -> dict:
+    """Whether cleaning made a series stationary: ADF p of the raw one above alpha, of the cleaned one below; short series count as not stationary."""
+    from geoloom.functions.special import normal_cdf
+
+    def p_value(v: np.ndarray) -> float:
+        v = v[np.isfinite(v)]
+        if len(v) < 10 or v.std() == 0:
+            return 1.0
+        t = adf_aic(v)[0]
+        if not math.isfinite(t):
+            h = len(v) // 2
+            a, b = v[:h].var(), v[h:].var()
+            return 0.5 if a == 0 or b == 0 or 0.5 < a / b < 2 else 0.1
+        # response surface of the test with a constant: piecewise normal of a polynomial in t
+        if t > 2.74:
+            return 1.0
+        if t < -18.83:
+            return 0.0
+        c = DF_SMALL if t <= -1.61 else DF_LARGE
+        return float(normal_cdf(sum(x * t**i for i, x in enumerate(c))))
+
+    a, b = p_value(raw), p_value(cleaned)
+    return {"raw_p": a, "cleaned_p": b, "forced": float(a > alpha and b < alpha)}
+
+
+#: Published approximations of the distribution of the Dickey-Fuller statistic with a constant.  Fixed values.
+DF_SMALL = (2.1659, 1.4412, 0.038269)
+DF_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)

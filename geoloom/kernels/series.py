@@ -360,10 +360,10 @@ def signature(v: np.ndarray, seed: int) -> dict:
     sq = d**2
     arch = float(np.corrcoef(sq[:-1], sq[1:])[0, 1]) if len(sq) > 3 and sq[:-1].std() > 0 and sq[1:].std() > 0 else 0.0
     clustering = float(np.clip(2 * arch, 0, 1))
-    first = abs(float(acf(d, 1)[1]))
-    null = [abs(float(acf(rng.permutation(d), 1)[1])) for _ in range(20)]
-    z = (first - np.mean(null)) / (np.std(null) + EPS)
-    dominance = float(np.clip(1 - z / 4, 0, 1))
+    first = abs(float(acf(v, 1)[1]))
+    null = [abs(float(acf(phase_surrogate(v, rng), 1)[1])) for _ in range(20)]
+    z = (first - np.mean(null)) / (np.std(null) + 1e-6)
+    dominance = float(1 / (1 + max(z, 0.0)))
     boots = np.array([rng.choice(v, n).var() for _ in range(20)])
     instability = float(np.clip(boots.std() / (boots.mean() + EPS) * 2, 0, 1))
     flat = float(np.exp(np.log(p + 1e-300).mean()) / (p.mean() + 1e-300))
@@ -455,3 +455,75 @@ def stability(v: np.ndarray, metric, rng: np.random.Generator, n: int = 10, shar
     size = max(int(share * len(v)), 2)
     parts = [metric(v[s : s + size]) for s in rng.integers(0, len(v) - size + 1, n)]
     return float(np.exp(-2 * np.mean([abs(p - whole) / (abs(whole) + EPS) for p in parts])))
+
+
+# ---- shape of smoothed derivatives, crossings and drift
+
+
+def smoothed(v: np.ndarray, size: int) -> np.ndarray:
+    """Running mean of ``size`` values, the series mirrored at its ends; an even size looks one further back."""
+    left, right = size // 2, size - size // 2 - 1
+    padded = np.concatenate([v[:left][::-1], v, v[len(v) - right :][::-1]]) if size > 1 else v
+    sums = np.concatenate([[0.0], np.cumsum(padded)])
+    return (sums[size:] - sums[:-size]) / size
+
+
+def sign_changes(x: np.ndarray) -> tuple[int, int]:
+    """Changes among the signs of the non-zero values, and how many changes there could be."""
+    s = np.sign(x)
+    s = s[s != 0]
+    return int((np.diff(s) != 0).sum()), max(len(s) - 1, 0)
+
+
+def shape(v: np.ndarray) -> dict:
+    """Derivative shape, monotonicity of the smoothed series, crossings of the mean and their regularity, drift: scores and their metrics."""
+    n = len(v)
+    slope = np.diff(smoothed(v, max(5, n // 20)))
+    rising = float((slope > 0).mean())
+    half = len(slope) // 2
+    slowing = np.abs(slope[half:]).mean() < 0.8 * np.abs(slope[:half]).mean()
+    peak = int(np.abs(slope).argmax())
+    inner = 0.1 * len(slope) < peak < 0.9 * len(slope)
+    form = 0.85 if rising > 0.7 and slowing else 0.7 if rising < 0.3 and slowing else 0.75 if inner else 0.5 if slowing else 0.2
+    changes, most = sign_changes(np.diff(smoothed(v, max(7, n // 15))))
+    steady = 1 - changes / most if most else 0.5
+    steadiness = 0.5 if not most else 0.95 if steady > 0.85 else 0.8 if steady > 0.7 else 0.6 if steady > 0.5 else 0.3
+    crossed = np.flatnonzero(np.diff(np.sign(v - v.mean())) != 0)
+    rate = len(crossed) / (n / 2)
+    gaps = np.diff(crossed)
+    regular = float(1 / (1 + gaps.std() / (gaps.mean() + 1e-6))) if len(crossed) > 2 else 0.0
+    swing = regular * 0.8 + 0.2 * (1 - abs(rate - 0.7)) if 0.3 < rate < 1.5 else regular * 0.3
+    drift = abs(v[-1] - v[0]) / (n * (np.diff(v).std() + EPS)) * math.sqrt(n)
+    return {
+        "derivative_shape": form, "rising_share": rising, "decelerating": float(slowing), "interior_peak": float(inner), "smooth_monotonicity": steady, "smooth_monotonicity_score": steadiness, "mean_crossing_rate": rate, "crossing_regularity": regular,
+        "zero_crossings": float(np.clip(swing, 0, 1)), "normalised_drift": float(drift), "drift_noise_score": float(np.clip(2 * (1 - normal_cdf(drift)), 0, 1)),
+    }
+
+
+# ---- counts along sorted values
+
+
+def near_pairs(v: np.ndarray, tol: float) -> int:
+    """Pairs of values at most ``tol`` apart."""
+    s = np.sort(v)
+    return int((np.searchsorted(s, s + tol, "right") - np.arange(len(s)) - 1).sum())
+
+
+def near_templates(v: np.ndarray, m: int, tol: float, block: int = 1 << 20) -> tuple[int, int]:
+    """Pairs of runs whose first m, and whose m + 1 values lie within ``tol``; candidates share the range of their first value."""
+    x = np.column_stack([v[i : len(v) - m + i] for i in range(m + 1)])
+    x = x[np.argsort(x[:, 0], kind="stable")]
+    upto = np.searchsorted(x[:, 0], x[:, 0] + tol * (1 + 1e-12) + 1e-300, "right")
+    ahead = np.maximum(upto - np.arange(len(x)) - 1, 0)
+    ends = np.concatenate([[0], np.cumsum(ahead)])
+    near = more = at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + block, "right")) - 1)
+        i = np.repeat(np.arange(at, to), ahead[at:to])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[at:to] - ends[at], ahead[at:to])
+        gap = np.abs(x[i] - x[j])
+        ok = (gap[:, :m] <= tol).all(axis=1)
+        near += int(ok.sum())
+        more += int((ok & (gap[:, m] <= tol)).sum())
+        at = to
+    return near, more

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from geoloom.functions.mathx import EPS, div, ln_pos, safe_corr
+from geoloom.functions.mathx import EPS, chi2_sf_even, div, ln_pos, normal_sf, safe_corr
 
 KEYS = ("indicator_id",)
 
@@ -31,13 +31,16 @@ def basic_stats(panel: DataFrame, keys=KEYS, min_obs: int = 10) -> DataFrame:
     """Level and return moments and quantiles; skewness and kurtosis are those of the population, kurtosis in excess."""
     before = F.lag("value").over(_line(keys))
     rows = _returns(panel, keys).withColumn("lr", ln_pos(F.col("value")) - ln_pos(before))
+    points = (5, 25, 50, 75, 95)
     aggs = [
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), (F.max("value") - F.min("value")).alias("range"), F.median("value").alias("median"), F.count("value").alias("n_obs"),
-        *[F.percentile("value", p / 100).alias(f"q{p:02d}") for p in (5, 25, 75, 95)],
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), (F.max("value") - F.min("value")).alias("range"), F.count("value").alias("n_obs"),
+        F.percentile("value", F.array(*[F.lit(p / 100) for p in points])).alias("__q"),  # one buffer of values for all points
         F.avg("r").alias("return_mean"), F.stddev_pop("r").alias("return_std"), F.min("r").alias("return_min"), F.max("r").alias("return_max"), F.skewness("r").alias("return_skew"), F.kurtosis("r").alias("return_kurtosis"),
         F.stddev_pop(F.when(F.col("r") < 0, F.col("r"))).alias("downside_std"), F.avg("lr").alias("log_return_mean"), F.stddev_pop("lr").alias("log_return_std"),
     ]
-    return rows.groupBy(*keys).agg(*aggs).where(F.col("n_obs") >= min_obs)
+    out = rows.groupBy(*keys).agg(*aggs).where(F.col("n_obs") >= min_obs)
+    quantiles = {("median" if p == 50 else f"q{p:02d}"): F.get("__q", F.lit(i)) for i, p in enumerate(points)}
+    return out.withColumns(quantiles).drop("__q")
 
 
 def rolling_self_beta(panel: DataFrame, keys=KEYS, window: int = 21) -> DataFrame:
@@ -61,13 +64,14 @@ def autocorrelation(panel: DataFrame, max_lag: int = 20, keys=KEYS) -> DataFrame
     return sums.select(*keys, "n", lags).select(*keys, "n", "x.lag", "x.acf")
 
 
-def ljung_box(acf: DataFrame, keys=KEYS) -> DataFrame:
-    """Mean |acf|, Q, the first lag at which the acf is not positive, and lags beyond 2/sqrt(n)."""
+def ljung_box(acf: DataFrame, keys=KEYS, max_lag: int = 20) -> DataFrame:
+    """Mean |acf|, Q and its p (an even number of lags, ``max_lag``), the first lag at which the acf is not positive, and lags beyond 2/sqrt(n)."""
     n = F.col("n").cast("double")
-    return acf.groupBy(*keys, "n").agg(
+    out = acf.groupBy(*keys, "n").agg(
         F.avg(F.abs("acf")).alias("mean_abs_acf"), (n * (n + 2) * F.sum(F.col("acf") * F.col("acf") / (n - F.col("lag")))).alias("ljung_box_q"), F.min(F.when(F.col("acf") <= 0, F.col("lag"))).alias("first_zero"),
         F.sum((F.abs("acf") > 2 / F.sqrt(n)).cast("int")).alias("significant_lags"),
     )
+    return out.withColumn("ljung_box_p", chi2_sf_even(F.col("ljung_box_q"), max_lag))
 
 
 def trend(panel: DataFrame, keys=KEYS) -> DataFrame:
@@ -86,14 +90,14 @@ def trend(panel: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def mann_kendall(panel: DataFrame, keys=KEYS) -> DataFrame:
-    """S and z.  S counts later-larger minus later-smaller pairs: a self-join of the series, for series of moderate length."""
-    rows = _numbered(panel, keys).select(*keys, "rn", "value")
-    later = rows.select(*keys, F.col("rn").alias("rn2"), F.col("value").alias("value2"))
-    s = rows.join(later, list(keys)).where("rn2 > rn").groupBy(*keys).agg(F.sum(F.signum(F.col("value2") - F.col("value"))).cast("long").alias("mk_s"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    """S (later-larger minus later-smaller pairs, by counting inversions) and z."""
+    from geoloom.operators.grouped import order_counts
+
+    counts = order_counts(_numbered(panel, keys).select(*keys, F.col("rn").alias("x"), F.col("value").alias("y")), keys)
     n = F.col("n").cast("double")
     var = n * (n - 1) * (2 * n + 5) / 18
-    return s.join(sizes, list(keys)).select(*keys, "n", "mk_s", F.when(F.col("mk_s") > 0, (F.col("mk_s") - 1) / F.sqrt(var)).when(F.col("mk_s") < 0, (F.col("mk_s") + 1) / F.sqrt(var)).otherwise(0.0).alias("mk_z"))
+    s = F.col("s")
+    return counts.where("n > 1").select(*keys, "n", s.alias("mk_s"), F.when(s > 0, (s - 1) / F.sqrt(var)).when(s < 0, (s + 1) / F.sqrt(var)).otherwise(0.0).alias("mk_z"))
 
 
 def volatility(panel: DataFrame, keys=KEYS, window: int = 21) -> DataFrame:
@@ -159,7 +163,13 @@ def window_stability(panel: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def hurst_rs(panel: DataFrame, preset: str = "diff", keys=KEYS) -> DataFrame:
-    """Rescaled range.  Presets: ``diff`` (differences, sizes 8..min(n/2,100) in steps, sample deviation, clipped to [0,1]) and ``quarters`` (levels, sizes n/2, n/4, n/8, n/16, population deviation)."""
+    """Rescaled range.
+
+    Presets: ``diff`` (differences, sizes 8..min(n/2,100) in steps, sample
+    deviation, clipped to [0,1]), ``quarters`` (levels, sizes n/2, n/4, n/8,
+    n/16 of 10 and more, population deviation) and ``geometric`` (levels, sizes
+    20 * 1.5^k up to n/4, sample deviation, three sizes at least).
+    """
     line = _line(keys)
     rows = panel.where(F.col("value").isNotNull())
     if preset == "diff":
@@ -171,9 +181,15 @@ def hurst_rs(panel: DataFrame, preset: str = "diff", keys=KEYS) -> DataFrame:
         top = F.least(F.floor(F.col("n") / 2), F.lit(100)).cast("int")
         sizes = F.when(top >= 8, F.sequence(F.lit(8), top, F.greatest(F.floor(top / 20), F.lit(1)).cast("int")))
         sd = F.stddev_samp("x")
-    else:
-        sizes = F.filter(F.array(*[F.floor(F.col("n") / k).cast("int") for k in (2, 4, 8, 16)]), lambda s: s >= 4)
+    elif preset == "quarters":
+        sizes = F.filter(F.array(*[F.floor(F.col("n") / k).cast("int") for k in (2, 4, 8, 16)]), lambda s: s >= 10)
         sd = F.stddev_pop("x")
+    else:
+        steps = [20]
+        while steps[-1] < 1 << 30:
+            steps.append(int(steps[-1] * 1.5))
+        sizes = F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= F.floor(F.col("n") / 4))
+        sd = F.stddev_samp("x")
     seg = rows.withColumn("size", F.explode(sizes)).withColumn("seg", F.floor(F.col("rn") / F.col("size"))).where((F.col("seg") + 1) * F.col("size") <= F.col("n"))
     part = Window.partitionBy(*keys, "size", "seg")
     walk = seg.withColumn("d", F.col("x") - F.avg("x").over(part)).withColumn("y", F.sum("d").over(part.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)))
@@ -184,8 +200,11 @@ def hurst_rs(panel: DataFrame, preset: str = "diff", keys=KEYS) -> DataFrame:
     if preset == "diff":
         out = out.withColumn("hurst", F.when(F.col("n_sizes") < 3, 0.5).otherwise(F.least(F.greatest("hurst", F.lit(0.0)), F.lit(1.0))))
         label = F.when(F.col("hurst") < 0.4, "mean_reverting").when(F.col("hurst") > 0.6, "trending").otherwise("random_walk")
+    elif preset == "quarters":
+        label = F.when(F.col("hurst") > 0.5, "persistent").when(F.col("hurst") < 0.5, "anti_persistent").otherwise("random_walk")
     else:
-        label = F.when(F.col("hurst") > 0.55, "persistent").when(F.col("hurst") < 0.45, "anti_persistent").otherwise("random_walk")
+        out = out.where("n_sizes >= 3")
+        label = F.when(F.col("hurst") > 0.55, "trending").when(F.col("hurst") < 0.45, "mean_reverting").otherwise("random_walk")
     return out.withColumn("label", label)
 
 
@@ -221,22 +240,29 @@ def permutation_entropy(panel: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def sample_entropy(panel: DataFrame, m: int = 2, r: float = 0.2, keys=KEYS) -> DataFrame:
-    """-ln(A/B): pairs of m + 1 and m values within r deviations.  A self-join, for series of moderate length."""
-    line, every = _line(keys), Window.partitionBy(*keys)
-    rows = panel.where(F.col("value").isNotNull()).withColumn("rn", F.row_number().over(line)).withColumn("tol", F.lit(r) * F.stddev_pop("value").over(every))
-    rows = rows.withColumns({f"v{k}": F.lead("value", k).over(line) for k in range(m + 1)}).where(F.col(f"v{m}").isNotNull()).select(*keys, "rn", "tol", *[f"v{k}" for k in range(m + 1)])
-    other = rows.select(*keys, F.col("rn").alias("rn2"), *[F.col(f"v{k}").alias(f"w{k}") for k in range(m + 1)])
-    near = F.greatest(*[F.abs(F.col(f"v{k}") - F.col(f"w{k}")) for k in range(m)]) <= F.col("tol")
-    hit = rows.join(other, list(keys)).where((F.col("rn2") > F.col("rn")) & near)
-    out = hit.groupBy(*keys).agg(F.count("*").alias("b"), F.sum((F.abs(F.col(f"v{m}") - F.col(f"w{m}")) <= F.col("tol")).cast("long")).alias("a"))
-    return out.select(*keys, "a", "b", F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.col("a") / F.col("b"))).alias("sample_entropy"))
+    """-ln(A/B): pairs of m + 1 and m values within r deviations, counted in an Arrow kernel along the sorted first values."""
+    from geoloom.kernels.series import near_templates
+    from geoloom.operators.grouped import arrow_rows
+
+    def count(v):
+        tol = r * float(v.std())
+        near = near_templates(v, m, tol) if len(v) > m else (0, 0)
+        return [near[1], near[0]]
+
+    out = arrow_rows(panel.where(F.col("value").isNotNull()), keys, "a long, b long", count)
+    return out.where("b > 0").select(*keys, "a", "b", F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.col("a") / F.col("b"))).alias("sample_entropy"))
 
 
 def recurrence_rate(panel: DataFrame, percentile: float = 0.1, keys=KEYS) -> DataFrame:
-    """Share of pairs (i < j) nearer than a fraction of the range."""
-    rows = _numbered(panel, keys).withColumn("tol", F.lit(percentile) * (F.max("value").over(Window.partitionBy(*keys)) - F.min("value").over(Window.partitionBy(*keys)))).select(*keys, "rn", "value", "tol")
-    other = rows.select(*keys, F.col("rn").alias("rn2"), F.col("value").alias("w"))
-    return rows.join(other, list(keys)).where("rn2 > rn").groupBy(*keys).agg(F.avg((F.abs(F.col("value") - F.col("w")) <= F.col("tol")).cast("double")).alias("recurrence_rate"))
+    """Share of pairs (i < j) nearer than a fraction of the range, counted along the sorted values."""
+    from geoloom.kernels.series import near_pairs
+    from geoloom.operators.grouped import arrow_rows
+
+    def share(v):
+        n = len(v)
+        return [near_pairs(v, percentile * float(v.max() - v.min())) / (n * (n - 1) / 2) if n > 1 else None]
+
+    return arrow_rows(panel.where(F.col("value").isNotNull()), keys, "recurrence_rate double", share).where("recurrence_rate IS NOT NULL")
 
 
 def garch_heuristic(panel: DataFrame, persistence: float = 0.9, keys=KEYS) -> DataFrame:
@@ -269,7 +295,7 @@ def signature_diagnostics(panel: DataFrame, keys=KEYS) -> DataFrame:
         F.var_pop(F.when(F.col("rn") <= half, F.col("acc"))).alias("va"), F.var_pop(F.when(F.col("rn") > half, F.col("acc"))).alias("vb"), F.kurtosis("dx").alias("excess_kurtosis"), safe_corr(F.col("sq"), F.col("sq_before")).alias("arch_effect"),
         F.sum(F.col("extreme").cast("long")).alias("k"), F.min(F.when(F.col("extreme"), F.col("rn"))).alias("e1"), F.max(F.when(F.col("extreme"), F.col("rn"))).alias("e2"),
         F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"), F.sum((F.col("side") > 0).cast("long")).alias("np"), F.sum((F.col("side") <= 0).cast("long")).alias("nn"), F.avg("crossed").alias("crossing_rate"),
-        F.avg("dx").alias("drift"), F.stddev_pop("dx").alias("drift_sd"),
+        F.avg("dx").alias("drift"), F.stddev_pop("dx").alias("drift_sd"), (F.max_by("value", "rn") - F.min_by("value", "rn")).alias("net"),
     )
     unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     np_, nn = F.col("np").cast("double"), F.col("nn").cast("double")
@@ -280,7 +306,7 @@ def signature_diagnostics(panel: DataFrame, keys=KEYS) -> DataFrame:
         F.coalesce(unit(div(F.least("va", "vb"), F.greatest("va", "vb"))), F.lit(0.0)).alias("bounded_accumulation"), F.coalesce(unit(F.col("excess_kurtosis") / 6), F.lit(0.0)).alias("fat_tails"), "excess_kurtosis",
         F.coalesce(unit(F.col("arch_effect") * 2), F.lit(0.0)).alias("volatility_clustering"), "arch_effect",
         F.coalesce(unit(div((F.col("n") - 1) / F.col("k").cast("double"), div((F.col("e2") - F.col("e1")).cast("double"), (F.col("k") - 1).cast("double"))) - 1), F.lit(0.0)).alias("tail_dependence"),
-        "crossing_rate", F.when(var > 0, (F.col("changes") + 1 - expected) / F.sqrt(F.when(var > 0, var))).alias("runs_z"), div(F.col("drift") * F.sqrt(F.col("n").cast("double")), F.col("drift_sd")).alias("drift_t"),
+        "crossing_rate", normal_sf(F.abs(div(F.col("net") / F.sqrt(F.col("n").cast("double")), F.col("drift_sd") + F.lit(EPS)))).__mul__(2).alias("drift_score"), F.when(var > 0, (F.col("changes") + 1 - expected) / F.sqrt(F.when(var > 0, var))).alias("runs_z"), div(F.col("drift") * F.sqrt(F.col("n").cast("double")), F.col("drift_sd")).alias("drift_t"),
     )
 
 

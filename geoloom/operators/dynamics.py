@@ -25,7 +25,27 @@ def distance_to(points: DataFrame, centre: list[float], precision: list[list[flo
     """Mahalanobis distance, whether inside, and the percentile among all points."""
     d = F.transform(F.col(vector), lambda x, i: x.cast("double") - F.get(F.array(*[F.lit(float(c)) for c in centre]), i))
     out = points.withColumn("distance", F.sqrt(F.greatest(quadratic(d, precision), F.lit(0.0)))).withColumn("inside", F.col("distance") <= radius)
-    return out.withColumn("percentile", F.cume_dist().over(Window.partitionBy(*[c for c in ENTITY if c in points.columns]).orderBy("distance")))
+    keys = [c for c in ENTITY if c in points.columns]
+    if keys:
+        return out.withColumn("percentile", F.cume_dist().over(Window.partitionBy(*keys).orderBy("distance")))
+    return share_at_most(out, "distance").withColumnRenamed("share", "percentile")
+
+
+def share_at_most(rows: DataFrame, value: str, cuts: int = 256) -> DataFrame:
+    """Adds share, the exact share of rows whose value is at most the row's, over the whole table.
+
+    Rows are ranged by approximate quantiles; a row a range carries the rows
+    before it, and ranks are taken within ranges, so no task sorts the table.
+    """
+    edges = rows.select(F.percentile_approx(value, [k / cuts for k in range(1, cuts)], 10_000).alias("e")).first()["e"] or []
+    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e < F.col(value))) if edges else F.lit(0)
+    ranged = rows.withColumn("__range", at)
+    counts = ranged.groupBy("__range").agg(F.count(value).alias("__c"))  # a row a range
+    order = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__c").over(order), F.lit(0)).alias("__before"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
+    joined = ranged.join(F.broadcast(counts), F.col("__range") == F.col("__r"))  # at most ``cuts`` rows
+    upto = F.count(value).over(Window.partitionBy("__range").orderBy(value))
+    return joined.withColumn("share", div((F.col("__before") + upto).cast("double"), F.col("__n").cast("double"))).drop("__range", "__r", "__before", "__n")
 
 
 # ---- trajectories

@@ -30,14 +30,60 @@ SERIES: dict[str, tuple[int, Callable]] = {
     "lyapunov": (200, lambda v, s: series.lyapunov(v) | series.correlation_dimension(v)), "stationarity": (50, lambda v, s: series.stationarity(v)), "pacf": (50, lambda v, s: {f"pacf_lag{k}": float(x) for k, x in enumerate(series.pacf(v, 10)) if k}),
     "mean_reversion": (30, lambda v, s: series.mean_reversion_ci(v, float(np.percentile(v, 80)), np.random.default_rng(s))),
     "effect": (10, lambda v, s: series.effect_ci(np.diff(v), np.random.default_rng(s))), "stability": (50, lambda v, s: {"stability_volatility": series.stability(v, lambda x: float(np.diff(x).std()), np.random.default_rng(s))}),
+    "shape": (50, lambda v, s: series.shape(v)),
     "null_calibration": (50, lambda v, s: series.calibrate(v, lambda x: abs(series.acf(x, 1)[1]), "permutation", np.random.default_rng(s), 99)),
 }
 PAIRS: dict[str, tuple[int, Callable]] = {
     "granger": (50, lambda x, y, s: pair.granger_both(x, y)), "granger_fixed": (50, lambda x, y, s: dict(zip(("f_4", "p_4"), pair.granger(x, y, 4)))), "dtw": (30, lambda x, y, s: pair.dtw(x, y)), "cointegration": (100, lambda x, y, s: pair.cointegration(x, y)),
     "coherence": (64, lambda x, y, s: pair.wavelet_coherence(x, y)), "mutual_information": (50, lambda x, y, s: pair.mi_permutation(x, y, np.random.default_rng(s))), "transfer_entropy": (50, lambda x, y, s: pair.te_shuffled(x, y, np.random.default_rng(s))),
+    "knn_mi": (50, lambda x, y, s: {"knn_mutual_information": pair.knn_mi(x, y)}), "forced_stationarity": (10, lambda x, y, s: pair.forced_stationarity(x, y)),
 }
 
 
+# ---- Arrow groups
+
+
+def arrow_groups(rows: DataFrame, keys, schema: str, f: Callable) -> DataFrame:
+    """``f(key values, sorted pyarrow table)`` -> list of rows (without the keys); ``schema`` names their columns.  One shuffle on the keys."""
+    import pyarrow as pa
+
+    fields = [rows.schema[k] for k in keys]
+    whole = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in fields) + ", " + schema
+    names = [*keys, *(c.split()[0] for c in schema.split(", "))]
+
+    def run(key, table):
+        values = tuple(k.as_py() for k in key)
+        found = f(values, table)
+        columns = list(zip(*[(*values, *r) for r in found])) or [()] * len(names)
+        kinds = [table.schema.field(k).type for k in keys] + [_ARROW[c.split()[1]]() for c in schema.split(", ")]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return rows.groupBy(*keys).applyInArrow(run, whole)
+
+
+def _arrow_types() -> dict:
+    import pyarrow as pa
+
+    return {"long": pa.int64, "int": pa.int32, "double": pa.float64, "string": pa.string, "boolean": pa.bool_}
+
+
+_ARROW = _arrow_types()
+
+
+def arrow_rows(panel: DataFrame, keys, schema: str, f: Callable) -> DataFrame:
+    """``f(values by date)`` -> one row a series."""
+
+    def one(_, table):
+        return [f(table.sort_by("date")["value"].to_numpy())]
+
+    return arrow_groups(panel.select(*keys, "date", "value"), keys, schema, one)
+
+
+def order_counts(rows: DataFrame, keys) -> DataFrame:
+    """(keys, x, y) -> n, s, nx, ny: pairs ordered alike less unlike, and pairs that differ in x and in y."""
+    return arrow_groups(rows, keys, "n long, s long, nx long, ny long", lambda _, t: [pair.order_counts(t["x"].to_numpy(), t["y"].to_numpy())])
+
+
 def _finite(found: dict) -> list[tuple[str, float]]:
     return [(k, float(v)) for k, v in found.items() if isinstance(v, (int, float, np.floating, np.integer)) and math.isfinite(v)]
 
@@ -213,6 +259,57 @@ def mahalanobis(cov: DataFrame, keys: tuple[str, ...] = ("window_id",)) -> DataF
     return cov.select(*keys, "id_1", "id_2", "corr").groupBy(*keys).applyInPandas(run_group, schema)
 
 
+def panel_modes(cut: DataFrame, keys: tuple[str, ...] = ("window_id",), delay: int = 1) -> DataFrame:
+    """(keys, dimension, value): dynamic modes of all indicators of a window together, z-scored, delay-embedded where ``delay`` is over 1."""
+
+    def modes(_, table):
+        x = _wide(table)
+        if x.shape[1] < 3 * delay + 2 or not len(x):
+            return [("skipped", float(x.shape[1]))]
+        x = np.vstack([x[:, delay - 1 - d : x.shape[1] - d] for d in range(delay)])
+        found = series.dmd(x)
+        out = _finite(found)
+        for i, (real, imaginary, amplitude) in enumerate(found["modes"]):
+            value = complex(real, imaginary)
+            out += [(f"mode_{i + 1}_magnitude", abs(value)), (f"mode_{i + 1}_frequency", abs(math.atan2(imaginary, real)) / (2 * math.pi)), (f"mode_{i + 1}_amplitude", amplitude)]
+        return out
+
+    return arrow_groups(cut.select(*keys, "indicator_id", "date", "value"), keys, "dimension string, value double", modes)
+
+
+def _wide(table) -> np.ndarray:
+    """Indicators x dates that all have, z-scored; constant ones are left out."""
+    rows = table.to_pandas().pivot_table(index="date", columns="indicator_id", values="value").dropna().sort_index()
+    x = rows.to_numpy(float).T
+    x = x[x.std(axis=1) > 0] if x.size else x
+    return (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True) if x.size else x
+
+
+def panel_states(cut: DataFrame, keys: tuple[str, ...] = ("window_id",), n_states: int = 3) -> DataFrame:
+    """(keys, date, state, probability): states of all indicators of a window together by k-means on z-scores; probabilities by inverse distance; states in order of their first date."""
+    import pyarrow as pa
+
+    fields = [cut.schema[k] for k in (*keys, "date")]
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in fields) + ", state int, probability double"
+
+    def states(key, table):
+        rows = table.to_pandas().pivot_table(index="date", columns="indicator_id", values="value").dropna().sort_index()
+        x = rows.to_numpy(float)
+        kinds = [table.schema.field(k).type for k in (*keys, "date")] + [pa.int32(), pa.float64()]
+        names = [*keys, "date", "state", "probability"]
+        if len(x) < n_states:
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        x = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-10)
+        lab, _, _ = cohort.kmeans(x, n_states)
+        centres = np.array([x[lab == j].mean(axis=0) for j in range(lab.max() + 1)])
+        near = 1 / (np.sqrt(((x[:, None, :] - centres[None]) ** 2).sum(axis=2)) + 1e-10)
+        chance = near[np.arange(len(x)), lab] / near.sum(axis=1)
+        columns = [[k.as_py()] * len(x) for k in key] + [[d for d in rows.index], lab.astype("int32").tolist(), chance.tolist()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return cut.select(*keys, "indicator_id", "date", "value").groupBy(*keys).applyInArrow(states, schema)
+
+
 def window_states(metrics: DataFrame, features: list[str], k: int = 3, method: str = "ward") -> DataFrame:
     """(window_id, features) -> state a window: z-scored, ward or k-means on the driver (one row a window), labels by first window."""
     rows = metrics.select("window_id", *features).orderBy("window_id").toPandas()

@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def pairs_on_date(panel: DataFrame, extra_keys: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
-    """(id_1, id_2, keys, date, x, y) on common dates: id_1 < id_2, or both orders."""
+    """(id_1, id_2, keys, date, x, y) on common dates: id_1 < id_2, or both orders.
+
+    The rows of a date (one an indicator) meet in one sorted list, whose pairs
+    are spelled out row by row: the panel is read and shuffled once, and what a
+    task holds is a list, not its pairs.
+    """
     keys = [*extra_keys, "date"]
-    a = panel.select(*keys, F.col("indicator_id").alias("id_1"), F.col("value").alias("x"))
-    b = panel.select(*keys, F.col("indicator_id").alias("id_2"), F.col("value").alias("y"))
-    return a.join(b, keys).where(F.col("id_1") != F.col("id_2") if ordered else F.col("id_1") < F.col("id_2"))
+    met = panel.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("indicator_id").alias("id"), F.col("value").alias("v")))).alias("m"))
+    first = met.select(*keys, "m", F.posexplode("m").alias("at", "a"))
+    rest = F.col("m") if ordered else F.slice("m", F.col("at") + 2, F.size("m"))
+    both = first.select(*keys, "a", F.explode(rest).alias("b"))
+    both = both.select(*keys, F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
+    return both.where(F.col("id_1") != F.col("id_2") if ordered else F.col("id_1") < F.col("id_2"))
 
 
 def lagged_pairs(panel: DataFrame, max_lag: int, ordered: bool = False) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from geoloom.functions.mathx import div, safe_corr
-from geoloom.operators.joins import lagged_pairs, pairs_on_date
+from geoloom.functions.mathx import div, normal_sf, safe_corr
+from geoloom.operators.joins import pairs_on_date
 from geoloom.operators.panel import average_rank, discretise
 
 PAIR = ("id_1", "id_2")
@@ -35,8 +35,16 @@ def strong_pairs(corr: DataFrame, threshold: float = 0.6, most: int | None = 200
 
 
 def cross_correlation(panel: DataFrame, max_lag: int = 20) -> DataFrame:
-    """(id_1, id_2, lag, ccf, n): lag > 0 means that the first series leads."""
-    return lagged_pairs(panel, max_lag).where(F.col("y").isNotNull()).groupBy(*PAIR, "lag").agg(safe_corr(F.col("x"), F.col("y")).alias("ccf"), F.count("*").alias("n"))
+    """(id_1, id_2, lag, ccf, n): lag > 0 means that the first series leads.  All lags of a pair come from one Arrow group."""
+    from geoloom.kernels.pair import lagged_correlations
+    from geoloom.operators.grouped import arrow_groups
+
+    def lags(_, table):
+        table = table.sort_by("date")
+        return [(k, None if c != c else c, n) for k, c, n in lagged_correlations(table["x"].to_numpy(), table["y"].to_numpy(), max_lag)]
+
+    both = pairs_on_date(panel).where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*PAIR, "date", "x", "y")
+    return arrow_groups(both, PAIR, "lag int, ccf double, n long", lags)
 
 
 def best_lag(ccf: DataFrame) -> DataFrame:
@@ -55,21 +63,26 @@ def lead_counts(best: DataFrame) -> DataFrame:
 
 
 def mutual_information(panel: DataFrame, n_bins: int = 8, method: str = "quantile") -> DataFrame:
-    """MI in nats over binned values, NMI by the arithmetic mean of entropies, and MI where |r| is small."""
+    """MI in nats over binned values, NMI by the arithmetic mean of entropies, and MI where |r| is small.
+
+    Values are binned once and paired once; cells carry the sums that the
+    correlation needs, taken about the series' means.
+    """
     binned = discretise(panel.where(F.col("value").isNotNull()), n_bins, method)
-    a = binned.select("date", F.col("indicator_id").alias("id_1"), F.col("bin").alias("b1"), F.col("value").alias("x"))
-    b = binned.select("date", F.col("indicator_id").alias("id_2"), F.col("bin").alias("b2"), F.col("value").alias("y"))
-    both = a.join(b, "date").where("id_1 < id_2")
-    joint = both.groupBy(*PAIR, "b1", "b2").agg(F.count("*").cast("double").alias("c"))
+    centred = binned.select("date", "indicator_id", F.struct("bin", (F.col("value") - F.avg("value").over(Window.partitionBy("indicator_id"))).alias("v")).alias("value"))
+    both = pairs_on_date(centred)
+    x, y = F.col("x.v"), F.col("y.v")
+    joint = both.groupBy(*PAIR, F.col("x.bin").alias("b1"), F.col("y.bin").alias("b2")).agg(F.count("*").cast("double").alias("c"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
     pair = Window.partitionBy(*PAIR)
     joint = joint.withColumn("n", F.sum("c").over(pair)).withColumn("c1", F.sum("c").over(Window.partitionBy(*PAIR, "b1"))).withColumn("c2", F.sum("c").over(Window.partitionBy(*PAIR, "b2")))
     p = F.col("c") / F.col("n")
     # each margin's entropy: its terms are spread over the joint cells in proportion
     h = lambda m: -F.sum(p * F.ln(F.col(m) / F.col("n")))
-    mi = joint.groupBy(*PAIR).agg(F.sum(p * F.ln(F.col("c") * F.col("n") / (F.col("c1") * F.col("c2")))).alias("mi"), h("c1").alias("h1"), h("c2").alias("h2"), F.max("n").cast("long").alias("n_obs"))
-    corr = both.groupBy(*PAIR).agg(safe_corr(F.col("x"), F.col("y")).alias("corr"))
-    out = mi.join(corr, list(PAIR)).withColumn("nmi", div(2 * F.col("mi"), F.col("h1") + F.col("h2")))
-    return out.withColumn("nonlinear_excess", F.when(F.abs("corr") < 0.3, F.col("mi")))
+    n = F.sum("c")
+    cov, vx, vy = F.sum("sxy") - F.sum("sx") * F.sum("sy") / n, F.sum("sxx") - F.sum("sx") * F.sum("sx") / n, F.sum("syy") - F.sum("sy") * F.sum("sy") / n
+    corr = div(cov, F.nullif(F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))), F.lit(0.0)))
+    out = joint.groupBy(*PAIR).agg(F.sum(p * F.ln(F.col("c") * F.col("n") / (F.col("c1") * F.col("c2")))).alias("mi"), h("c1").alias("h1"), h("c2").alias("h2"), F.max("n").cast("long").alias("n_obs"), corr.alias("corr"))
+    return out.withColumn("nmi", div(2 * F.col("mi"), F.col("h1") + F.col("h2"))).withColumn("nonlinear_excess", F.when(F.abs("corr") < 0.3, F.col("mi")))
 
 
 def transfer_entropy(panel: DataFrame, n_bins: int = 8, lag: int = 1) -> DataFrame:
@@ -104,17 +117,28 @@ def rank_dependence(panel: DataFrame, tails: tuple[float, ...] = (0.05, 0.10, 0.
     upper = [div(F.sum(((u >= 1 - q) & (v >= 1 - q)).cast("double")), F.sum((u >= 1 - q).cast("double"))) for q in tails]
     mean = lambda cols: sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0)) / len(cols)
     out = ranked.groupBy(*PAIR).agg(F.count("*").alias("n_obs"), safe_corr(F.col("rx"), F.col("ry")).alias("spearman"), mean(lower).alias("lower_tail"), mean(upper).alias("upper_tail"), F.avg(((u > high) & (v > high)).cast("double")).alias("joint_exceedance"))
+    out = out.withColumn("spearman_p", 2 * normal_sf(F.abs("spearman") * F.sqrt(F.col("n_obs").cast("double") - 1)))
     return out.withColumn("tail_asymmetry", F.col("upper_tail") - F.col("lower_tail"))
 
 
 def kendall(panel: DataFrame) -> DataFrame:
-    """Kendall's tau-b from concordant and discordant pairs of dates: a self-join, for series of moderate length; Gumbel and Clayton parameters."""
-    both = pairs_on_date(panel).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    other = both.select(*PAIR, F.col("date").alias("d2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    sx, sy = F.signum(F.col("x2") - F.col("x")), F.signum(F.col("y2") - F.col("y"))
-    g = both.join(other, list(PAIR)).where("d2 > date").groupBy(*PAIR).agg(F.sum(sx * sy).cast("long").alias("kendall_s"), F.sum(F.abs(sx)).alias("nx"), F.sum(F.abs(sy)).alias("ny"))
-    tau = div(F.col("kendall_s").cast("double"), F.sqrt(F.col("nx") * F.col("ny")))
-    return g.select(*PAIR, "kendall_s", tau.alias("tau")).withColumn("gumbel_theta", F.when(F.col("tau") < 1, div(F.lit(1.0), 1 - F.col("tau")))).withColumn("clayton_theta", F.when(F.col("tau") < 1, div(2 * F.col("tau"), 1 - F.col("tau"))))
+    """Kendall's tau-b by counting inversions, its p by the normal approximation; Gumbel and Clayton parameters."""
+    from geoloom.operators.grouped import order_counts
+
+    both = pairs_on_date(panel).where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*PAIR, "x", "y")
+    g = order_counts(both, PAIR).where("n > 1")
+    tau = div(F.col("s").cast("double"), F.sqrt(F.col("nx").cast("double") * F.col("ny").cast("double")))
+    n = F.col("n").cast("double")
+    p = 2 * normal_sf(F.abs(3 * F.col("tau") * F.sqrt(n * (n - 1)) / F.sqrt(2 * (2 * n + 5))))
+    out = g.select(*PAIR, "n", F.col("s").alias("kendall_s"), tau.alias("tau")).withColumn("tau_p", p).drop("n")
+    return out.withColumn("gumbel_theta", F.when(F.col("tau") < 1, div(F.lit(1.0), 1 - F.col("tau")))).withColumn("clayton_theta", F.when(F.col("tau") < 1, div(2 * F.col("tau"), 1 - F.col("tau"))))
+
+
+def bonferroni(tall: DataFrame, prefix: str = "granger_p", alpha: float = 0.05, keys: tuple[str, ...] = ()) -> DataFrame:
+    """p-values of tall descriptors against alpha over their number (in each of ``keys``)."""
+    rows = tall.where(F.col("dimension").startswith(prefix))
+    limit = F.lit(alpha) / F.count("*").over(Window.partitionBy(*keys))
+    return rows.withColumn("threshold", limit).withColumn("significant", F.col("value") < F.col("threshold"))
 
 
 def distances(panel: DataFrame) -> DataFrame:

@@ -61,11 +61,47 @@ def variance_collapse(both: DataFrame, limit: float = 0.5) -> DataFrame:
     return both.groupBy("indicator_id").agg(div(F.var_samp("cleaned"), F.var_samp("raw")).alias("variance_ratio")).withColumn("collapsed", F.coalesce(F.col("variance_ratio") < limit, F.lit(False)))
 
 
-def outlier_policy(both: DataFrame) -> DataFrame:
-    """Log transform (correlation with ln raw above .95 and not linear) and winsorising (range shrunk by over 5 %)."""
+#: Climate indices that must not be winsorised.  Fixed values.
+CLIMATE_INDICES = ("enso", "nao", "pdo", "soi", "mei", "oni", "amo", "ao")
+
+
+def outlier_policy(both: DataFrame, tail: float = 0.02, order: str | None = None) -> DataFrame:
+    """Log transform (correlation with ln raw above .95 and not linear) and winsorising (range shrunk by over 5 %, or flat tails of 2 %); climate indices must not be winsorised.
+
+    A tail is flat if its values lie within 1 % of the next one inwards.  An
+    optional ``domain`` column says where an indicator belongs.
+    """
     ln_raw = F.when(F.col("raw") > 0, F.ln("raw"))
-    g = both.groupBy("indicator_id").agg(safe_corr(ln_raw, F.col("cleaned")).alias("log_corr"), safe_corr(F.col("raw"), F.col("cleaned")).alias("level_corr"), (1 - div(F.max("cleaned") - F.min("cleaned"), F.max("raw") - F.min("raw"))).alias("range_shrink"))
-    return g.withColumn("log_transformed", F.coalesce((F.col("log_corr") > 0.95) & (F.col("level_corr") < F.col("log_corr")), F.lit(False))).withColumn("winsorised", F.coalesce(F.col("range_shrink") > 0.05, F.lit(False)))
+    w = Window.partitionBy("indicator_id")
+    rows = both.withColumn("__n", F.count("cleaned").over(w)).withColumn("__k", F.greatest(F.floor(F.col("__n") * tail), F.lit(1)).cast("int"))
+    rows = rows.withColumn("__up", F.row_number().over(w.orderBy(F.col("cleaned").asc_nulls_last()))).withColumn("__down", F.row_number().over(w.orderBy(F.col("cleaned").desc_nulls_last())))
+    inner = lambda c: F.max(F.when(F.col(c) == F.col("__k") + 1, F.col("cleaned")))
+    edge = lambda c, f: f(F.when(F.col(c) <= F.col("__k"), F.col("cleaned")))
+    near = lambda a, b: F.abs(a - b) <= 0.01 * F.abs(b) + 1e-8
+    g = rows.groupBy("indicator_id").agg(
+        safe_corr(ln_raw, F.col("cleaned")).alias("log_corr"), safe_corr(F.col("raw"), F.col("cleaned")).alias("level_corr"), (1 - div(F.max("cleaned") - F.min("cleaned"), F.max("raw") - F.min("raw"))).alias("range_shrink"), F.max("__n").alias("n"),
+        F.coalesce(near(edge("__up", F.min), inner("__up")), F.lit(False)).alias("flat_low"), F.coalesce(near(edge("__down", F.max), inner("__down")), F.lit(False)).alias("flat_high"),
+        *([F.first("domain").alias("domain")] if "domain" in both.columns else []),
+    )
+    out = g.withColumn("log_transformed", F.coalesce((F.col("log_corr") > 0.95) & (F.col("level_corr") < F.col("log_corr")), F.lit(False)))
+    out = out.withColumn("winsorised", (F.col("n") >= 10) & (F.coalesce(F.col("range_shrink") > 0.05, F.lit(False)) | F.col("flat_low") | F.col("flat_high")))
+    climate = F.lower("indicator_id").isin(list(CLIMATE_INDICES)) | (F.coalesce("domain", F.lit("")) == "climate" if "domain" in both.columns else F.lit(False))
+    return out.withColumn("climate", climate).withColumn("compliant", ~(climate & F.col("winsorised")))
+
+
+def stationarity_forcing(both: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(indicator_id, date, raw, cleaned): p-values of a unit-root test before and after cleaning, and whether cleaning forced stationarity."""
+    import numpy as np
+
+    from geoloom.kernels.pair import forced_stationarity
+    from geoloom.operators.grouped import arrow_groups
+
+    def judge(_, table):
+        table = table.sort_by("date")
+        got = forced_stationarity(*(np.asarray(table[c].to_numpy(), float) for c in ("raw", "cleaned")), alpha)
+        return [(got["raw_p"], got["cleaned_p"], bool(got["forced"]))]
+
+    return arrow_groups(both.select("indicator_id", "date", "raw", "cleaned"), ("indicator_id",), "raw_p double, cleaned_p double, forced boolean", judge)
 
 
 def scaling_kind(panel: DataFrame) -> DataFrame:
@@ -139,6 +175,14 @@ def suitability(windows: DataFrame, policy: dict | None = None) -> DataFrame:
     return windows.withColumn("status", status).withColumn("reasons", F.when(out, _array([])).otherwise(reasons)).withColumn("allowed_engines", F.when(out, _array(NOISE_ALLOWED)).otherwise(F.array_sort(engines)))
 
 
+def geometry_scan(views: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(indicator_id, window_id, geometry, confidence): the geometry of each window, whether it changed from the one before, and the share of changes."""
+    line, every = Window.partitionBy("indicator_id").orderBy("window_id"), Window.partitionBy("indicator_id")
+    rows = views.withColumn("before", F.lag("geometry").over(line)).withColumn("changed", F.coalesce(F.col("geometry") != F.col("before"), F.lit(False)))
+    rows = rows.withColumn("transition", F.when(F.col("changed"), F.concat_ws(" -> ", "before", "geometry")))
+    return rows.withColumn("transition_rate", div(F.sum(F.col("changed").cast("double")).over(every), F.nullif((F.count("*").over(every) - 1).cast("double"), F.lit(0.0)))).drop("before")
+
+
 def quality_score(scan: DataFrame) -> DataFrame:
     """Window quality .40 confidence + .30 (1 - disagreement) + .20 stability + .10 coverage; the best window of each indicator."""
     s = scan.withColumn("quality_score", 0.40 * F.col("avg_confidence") + 0.30 * (1 - F.col("avg_disagreement")) + 0.20 * F.col("stability") + 0.10 * F.col("coverage"))
@@ -187,6 +231,35 @@ def contribution_weight(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.least(w, F.lit(WEIGHT_CAP)))
 
 
+def metric_sensitivity(rows: DataFrame) -> DataFrame:
+    """(indicator_id, engine, base, varied): exp(-2 d) with d the mean relative change of a metric under variation; sensitive below .5."""
+    d = F.avg(F.abs(F.col("varied") - F.col("base")) / (F.abs("base") + 1e-10))
+    return rows.groupBy("indicator_id", "engine").agg(F.exp(-2 * d).alias("stability"), F.count("*").alias("n")).withColumn("sensitive", F.col("stability") < 0.5)
+
+
+def contradictions(scores: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(indicator_id, engine, score): pairs of engines that should not both be high (above .6)."""
+    table = F.broadcast(scores.sparkSession.createDataFrame(list(pairs), "engine_1 string, engine_2 string"))  # the given pairs
+    a = scores.select("indicator_id", F.col("engine").alias("engine_1"), F.col("score").alias("x"))
+    b = scores.select("indicator_id", F.col("engine").alias("engine_2"), F.col("score").alias("y"))
+    return a.join(table, "engine_1").join(b, ["indicator_id", "engine_2"]).where("x > 0.6 AND y > 0.6").select("indicator_id", "engine_1", "engine_2", "x", "y")
+
+
+def residual_checks(residuals: DataFrame, keys=("indicator_id",), limit: float = 0.3) -> DataFrame:
+    """(indicator_id, date, value): lag-1 autocorrelation of residuals; above the limit there is structure left."""
+    line = Window.partitionBy(*keys).orderBy("date")
+    rows = residuals.withColumn("b", F.lag("value").over(line))
+    g = rows.groupBy(*keys).agg(safe_corr(F.col("value"), F.col("b")).alias("residual_acf1"))
+    return g.withColumn("structured", F.coalesce(F.abs("residual_acf1") > limit, F.lit(False)))
+
+
+def escalations(findings: DataFrame) -> DataFrame:
+    """(indicator_id, kind) of blind spots -> number, kinds and level: none, watch, review (2), escalate (3 or more)."""
+    g = findings.groupBy("indicator_id").agg(F.count("*").alias("n_findings"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    n = F.col("n_findings")
+    return g.withColumn("level", F.when(n >= 3, "escalate").when(n == 2, "review").otherwise("watch"))
+
+
 # ---- Q10, Q11, Q12: contribution, exclusion, allow lists
 
 
@@ -274,14 +347,6 @@ def component_balance(vectors: DataFrame) -> DataFrame:
     return m.withColumn("share", share).withColumn("role", F.when(share > 0.30, "dominant").when(share < 0.05, "negligible").otherwise("balanced"))
 
 
-def deformation_field(motion: DataFrame) -> DataFrame:
-    """(window_id, indicator_id, dimension, velocity): mean velocity, dispersion and coherence a window: drift above .7, dispersive below .3."""
-    per = motion.groupBy("window_id", "dimension").agg(F.avg("velocity").alias("m"), F.avg(F.col("velocity") * F.col("velocity")).alias("q"))
-    g = per.groupBy("window_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("mean_speed"), F.sqrt(F.sum("q")).alias("rms_speed"))
-    coherence = div(F.col("mean_speed"), F.nullif(F.col("rms_speed"), F.lit(0.0)))
-    return g.withColumn("coherence", coherence).withColumn("kind", F.when(coherence > 0.7, "drift").when(coherence < 0.3, "dispersive").otherwise("mixed"))
-
-
 def geometry_stability(windows: DataFrame, measures: list[str], keys=("cohort_id",)) -> DataFrame:
     """Mean of 1 / (1 + |change|) of the measures between consecutive windows; stable from .7 on."""
     line = Window.partitionBy(*keys).orderBy("window_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from geoloom.operators import aggregates, baselines, descriptors, dynamics, graph, joins, pairs, panel as P, policy, rolling
+from geoloom.functions.mathx import ERFC
 from geoloom.plans.native_queries import BY, F21, LINE, LOGRET, OK, PAIRS, QEDGES, SAFE_CORR, query, rounded
 from geoloom.plans.panels import EVENTS_HOURLY, NATION_MONTHLY, ORDERS_DAILY, SHIP_DAILY, events_hourly, nation_monthly, orders_daily, ship_daily, table
 
@@ -70,6 +71,14 @@ def transfer_entropy(spark, sf_dir):
     return rounded(pairs.transfer_entropy(events_hourly(spark, sf_dir)))
 
 
+def erfc_tail(x: str) -> str:
+    """Upper tail of the normal distribution in SQL, by the fit that the expression uses."""
+    poly = repr(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        poly = f"({poly} * (1 / (1 + 0.5 * abs({x}) / sqrt(2))) + ({c!r}))"
+    return f"(CASE WHEN {x} >= 0 THEN 0.5 * (1 / (1 + 0.5 * abs({x}) / sqrt(2))) * exp(-({x}) * ({x}) / 2 + {poly}) ELSE 1 - 0.5 * (1 / (1 + 0.5 * abs({x}) / sqrt(2))) * exp(-({x}) * ({x}) / 2 + {poly}) END)"
+
+
 def _tail(sign: str, q: float) -> str:
     hit = (lambda c: f"{c} <= {q}") if sign == "lower" else (lambda c: f"{c} >= {1 - q}")
     return f"coalesce(sum(CASE WHEN {hit('u')} AND {hit('v')} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN {hit('u')} THEN 1.0 ELSE 0 END), 0), 0)"
@@ -77,13 +86,13 @@ def _tail(sign: str, q: float) -> str:
 
 @query(f"""WITH {ORDERS_DAILY}, {LOGRET}, {PAIRS.format(t='lr')}, q AS (SELECT * FROM p WHERE {OK}), k AS (SELECT id_1, id_2, count(*) OVER (PARTITION BY id_1, id_2) AS n, rank() OVER (PARTITION BY id_1, id_2 ORDER BY x) + (count(*) OVER (PARTITION BY id_1, id_2, x) - 1) / 2.0 AS x, rank() OVER (PARTITION BY id_1, id_2 ORDER BY y) + (count(*) OVER (PARTITION BY id_1, id_2, y) - 1) / 2.0 AS y FROM q),
 w AS (SELECT *, x / (n + 1) AS u, y / (n + 1) AS v FROM k), g AS (SELECT id_1, id_2, count(*) AS n_obs, {SAFE_CORR} AS spearman, ({' + '.join(_tail('lower', q) for q in (0.05, 0.1, 0.15))}) / 3 AS lo, ({' + '.join(_tail('upper', q) for q in (0.05, 0.1, 0.15))}) / 3 AS hi, avg(CASE WHEN u > 0.9 AND v > 0.9 THEN 1.0 ELSE 0 END) AS je FROM w GROUP BY 1, 2)
-SELECT id_1, id_2, n_obs, round(spearman, 6) AS spearman, round(lo, 6) AS lower_tail, round(hi, 6) AS upper_tail, round(je, 6) AS joint_exceedance, round(hi - lo, 6) AS tail_asymmetry FROM g""")
+SELECT id_1, id_2, n_obs, round(spearman, 6) AS spearman, round(lo, 6) AS lower_tail, round(hi, 6) AS upper_tail, round(je, 6) AS joint_exceedance, round(hi - lo, 6) AS tail_asymmetry, round(2 * {erfc_tail('sz')}, 6) AS spearman_p FROM (SELECT *, abs(spearman) * sqrt(n_obs - 1.0) AS sz FROM g)""")
 def rank_dependence(spark, sf_dir):
     return rounded(pairs.rank_dependence(P.log_returns(orders_daily(spark, sf_dir))))
 
 
-@query(f"""WITH {NATION_MONTHLY}, {PAIRS.format(t='nation_monthly')}, g AS (SELECT a.id_1, a.id_2, CAST(sum(sign(b.x - a.x) * sign(b.y - a.y)) AS BIGINT) AS s, sum(abs(sign(b.x - a.x))) AS nx, sum(abs(sign(b.y - a.y))) AS ny FROM p a JOIN p b ON a.id_1 = b.id_1 AND a.id_2 = b.id_2 AND b.date > a.date GROUP BY 1, 2), t AS (SELECT id_1, id_2, s, s / nullif(sqrt(nx * ny::DOUBLE), 0) AS tau FROM g)
-SELECT id_1, id_2, s AS kendall_s, round(tau, 6) AS tau, round(CASE WHEN tau < 1 THEN 1 / (1 - tau) END, 6) AS gumbel_theta, round(CASE WHEN tau < 1 THEN 2 * tau / (1 - tau) END, 6) AS clayton_theta FROM t""")
+@query(f"""WITH {NATION_MONTHLY}, {PAIRS.format(t='nation_monthly')}, sz AS (SELECT id_1, id_2, count(*)::DOUBLE AS n FROM p GROUP BY 1, 2), g AS (SELECT a.id_1, a.id_2, CAST(sum(sign(b.x - a.x) * sign(b.y - a.y)) AS BIGINT) AS s, sum(abs(sign(b.x - a.x))) AS nx, sum(abs(sign(b.y - a.y))) AS ny FROM p a JOIN p b ON a.id_1 = b.id_1 AND a.id_2 = b.id_2 AND b.date > a.date GROUP BY 1, 2), t AS (SELECT id_1, id_2, s, s / nullif(sqrt(nx * ny::DOUBLE), 0) AS tau, n FROM g JOIN sz USING (id_1, id_2)), tz AS (SELECT *, abs(3 * tau * sqrt(n * (n - 1)) / sqrt(2 * (2 * n + 5))) AS z FROM t)
+SELECT id_1, id_2, s AS kendall_s, round(tau, 6) AS tau, round(2 * {erfc_tail('z')}, 6) AS tau_p, round(CASE WHEN tau < 1 THEN 1 / (1 - tau) END, 6) AS gumbel_theta, round(CASE WHEN tau < 1 THEN 2 * tau / (1 - tau) END, 6) AS clayton_theta FROM tz""")
 def kendall(spark, sf_dir):
     return rounded(pairs.kendall(nation_monthly(spark, sf_dir)))
 

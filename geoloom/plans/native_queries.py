@@ -251,7 +251,7 @@ def autocorrelation(spark, sf_dir):
     return rounded(descriptors.autocorrelation(orders_daily(spark, sf_dir)))
 
 
-@query(f"WITH {ORDERS_DAILY}, {ACF} SELECT indicator_id, n, round(avg(abs(acf)), 6) AS mean_abs_acf, round(n * (n + 2.0) * sum(acf * acf / (n - lag)), 4) AS ljung_box_q, min(lag) FILTER (WHERE acf <= 0) AS first_zero, CAST(sum(CASE WHEN abs(acf) > 2 / sqrt(n) THEN 1 ELSE 0 END) AS BIGINT) AS significant_lags FROM acf GROUP BY 1, 2")
+@query(f"WITH {ORDERS_DAILY}, {ACF} SELECT indicator_id, n, round(avg(abs(acf)), 6) AS mean_abs_acf, round(n * (n + 2.0) * sum(acf * acf / (n - lag)), 4) AS ljung_box_q, min(lag) FILTER (WHERE acf <= 0) AS first_zero, CAST(sum(CASE WHEN abs(acf) > 2 / sqrt(n) THEN 1 ELSE 0 END) AS BIGINT) AS significant_lags, round(exp(-n * (n + 2.0) * sum(acf * acf / (n - lag)) / 2) * list_sum(list_transform(range(0, 10), lambda k: power(n * (n + 2.0) * sum(acf * acf / (n - lag)) / 2, k) / factorial(CAST(k AS INTEGER)))), 6) AS ljung_box_p FROM acf GROUP BY 1, 2")
 def ljung_box(spark, sf_dir):
     return rounded(descriptors.ljung_box(descriptors.autocorrelation(orders_daily(spark, sf_dir))), ljung_box_q=4)
 

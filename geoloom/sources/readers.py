@@ -55,8 +55,9 @@ def detect_layout(columns: list[str], numeric_share: float) -> str:
 
 
 def csv_any(spark: SparkSession, path: str) -> DataFrame:
-    """Long or wide csv, detected by column names and the share of numeric columns, to a panel."""
-    raw = _lower(spark.read.csv(path, header=True))
+    """Long or wide csv, detected by column names (whatever their case) and the share of numeric columns, to a panel; series of a wide one keep their names."""
+    given = spark.read.csv(path, header=True)
+    raw, names = _lower(given), {c.strip().lower(): c.strip() for c in given.columns}
     date = next((c for c in raw.columns if c in DATE_NAMES), raw.columns[0])
     others = [c for c in raw.columns if c != date]
     numeric = raw.agg(*[F.avg(F.expr(f"CASE WHEN `{c}` IS NOT NULL THEN CAST(try_cast(`{c}` AS double) IS NOT NULL AS int) END")).alias(c) for c in others]).first()
@@ -68,7 +69,7 @@ def csv_any(spark: SparkSession, path: str) -> DataFrame:
         v = next(c for c in raw.columns if c in VALUE_NAMES)
         out = raw.select(F.col(i).alias("indicator_id"), when, F.expr(f"try_cast(`{v}` AS double)").alias("value"))
     elif layout == "wide":
-        out = to_long(raw.select(when, *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in others if (numeric[c] or 0) > 0]))
+        out = to_long(raw.select(when, *[F.expr(f"try_cast(`{c}` AS double)").alias(names[c]) for c in others if (numeric[c] or 0) > 0]))
     else:
         raise SourceError(f"no layout fits {raw.columns}")
     return out.where(F.col("date").isNotNull() & F.col("value").isNotNull())
@@ -202,15 +203,49 @@ class Config:
         return at
 
 
-def ingest(spark: SparkSession, jobs: dict, clean=None) -> tuple[DataFrame | None, DataFrame]:
-    """Run readers {indicator_id: callable}, isolating failures: the union of panels, and (indicator_id, status, detail)."""
-    out, log = None, []
+def ingest(spark: SparkSession, jobs: dict, clean=None, path: str | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """Run readers {indicator_id: callable}, isolating failures: the panels that could be read, and (indicator_id, status, detail).
+
+    Every panel is read to its end before it counts.  With ``path`` it is
+    written there and replaces what the folder holds of its indicators; without,
+    the readers run again when the result is used.
+    """
+    from geoloom.sources.writers import replace_partitions
+
+    out, log, good = None, [], []
     for name, read in jobs.items():
         try:
             got = read()
             got = (clean(got) if clean else got).select(*PANEL.fieldNames())
-            out = got if out is None else out.unionByName(got)
+            if path:
+                replace_partitions(got.withColumn("indicator_id", F.lit(name)), path, ["indicator_id"])
+            else:
+                got.write.format("noop").mode("overwrite").save()
+                out = got if out is None else out.unionByName(got)
+            good.append(name)
             log.append((name, "ok", None))
         except Exception as e:  # one source's failure is reported, the others go on
             log.append((name, "failed", f"{type(e).__name__}: {e}"[:200]))
+    if path and good:
+        kinds = {f.name: f.dataType.simpleString() for f in PANEL}
+        columns = [c for c in PANEL.fieldNames() if c != "indicator_id"] + ["indicator_id"]
+        out = spark.read.schema(", ".join(f"{c} {kinds[c]}" for c in columns)).parquet(path).select(*PANEL.fieldNames())
     return out, spark.createDataFrame(log, "indicator_id string, status string, detail string")
+
+
+class Fetched:
+    """Files fetched from a service, kept for ``hours``: ``get`` calls ``fetch`` only when its copy is missing or older."""
+
+    def __init__(self, folder: str, hours: float = 24.0):
+        self.folder, self.hours = Path(folder), hours
+
+    def get(self, name: str, fetch) -> str:
+        import time
+
+        at = self.folder / name
+        if not at.exists() or time.time() - at.stat().st_mtime > 3600 * self.hours:
+            at.parent.mkdir(parents=True, exist_ok=True)
+            part = at.with_suffix(at.suffix + ".part")
+            part.write_bytes(fetch())
+            part.replace(at)
+        return str(at)
