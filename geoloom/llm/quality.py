@@ -7,13 +7,15 @@ hidden representation h, and weighted by gated attention
 scored.  Only document labels are used: the weights learn which passages
 matter.  Encoding is vectorised over the bytes of an Arrow batch.
 
-Bounds, as parameters: at most ``rows_a_class`` labelled rows of either class
-are fitted, on the driver, weighted so that the classes keep their shares among
+Bounds, as parameters: at most ``rows_a_class`` labelled rows, and
+``bytes_a_class`` bytes of text, of either class are fitted, on the driver, weighted so that the classes keep their shares among
 all labels; the model is a few small matrices.
 
 Cases: null, empty and wordless texts are a bag of one empty passage; without
-rows of both classes every score is 0.5; long texts are read whole; repeated
-rows get equal scores.
+rows of both classes every score is 0.5; long texts are read whole, batches are
+cut by bytes; rows with a null id are never fitted; repeated rows get equal
+scores; of the table only doc_id and text are read (``keep_good`` hands all
+columns on).
 """
 
 from collections.abc import Iterator
@@ -27,6 +29,7 @@ from geoloom.llm.labelled import sample_labelled
 from geoloom.llm.words import Words, giving_back, sequence_hashes, slices
 
 ROWS_A_CLASS = 3000
+BYTES_A_CLASS = 48 << 20
 PASSAGE_WORDS = 64
 HIDDEN = 24
 EPOCHS = 160
@@ -137,8 +140,8 @@ def train(x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, see
     return p
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, rows_a_class: int = ROWS_A_CLASS) -> dict | None:
-    sample = sample_labelled(docs, labels, label, modulus, held, rows_a_class)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, rows_a_class: int = ROWS_A_CLASS, bytes_a_class: int = BYTES_A_CLASS) -> dict | None:
+    sample = sample_labelled(docs, labels, label, modulus, held, rows_a_class, bytes_a_class)
 
     def run(batches):
         for batch in batches:

@@ -1,30 +1,38 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary text and one on toxic text.
-A text is cut into windows of a few words; each is compressed with the
-ordinary dictionary alone and with the toxic one beside it, and the bytes that
-the toxic one saves are compared with thresholds.  The shares of windows that
-pass them are calibrated on the training rows, so that a score of ``cut`` is
-the best threshold there.
-
-Toxic documents are mostly ordinary text, so the toxic dictionary is trained
-on the words that stand out in them by their heads (log odds of document
-counts well above their standard error) and ends with these heads; the
-ordinary one is trained on passages of ordinary documents.
-
-Bounds, as parameters: at most ``rows_a_class`` labelled rows of either class
-are fitted, weighted so that the classes keep their shares among all labels;
-the model is two dictionaries of fixed size and a few numbers.
+One zstandard dictionary is trained on windows of ordinary documents, another
+on passages of toxic ones.  A text is cut into windows of a few words; each is
+compressed under the ordinary dictionary and under the toxic one, and the
+difference of the two lengths is compared with thresholds.  The shares of
+windows that pass them are calibrated so that a score of ``cut`` is the best
+threshold; calibration sees only texts that its dictionaries were not trained
+on: each half of the rows is measured with dictionaries of the other half, and
+those that score are then trained on both.
+
+Toxic documents are mostly ordinary text, so the toxic dictionary is trained on
+their passages (a word and its neighbours) around words that stand out in them
+(``telling_heads``: heads of words whose log odds of document counts lie well
+above their standard error).  What it learns is appended to the ordinary
+dictionary, so that ordinary words cost the same under both.
+
+Bounds, as parameters: at most ``rows_a_class`` labelled rows, and
+``bytes_a_class`` bytes of text, of either class are fitted, weighted so that
+the classes keep their shares among all labels; at most ``passages`` toxic
+passages and ``ordinary_windows`` ordinary windows of these rows train the
+dictionaries; the model is two dictionaries of fixed size and a few numbers.
 
 Cases: null, empty and wordless texts have no window and get the lowest score
 the calibration can give; without rows of both classes every score is 0; long
-texts are read whole; repeated rows get equal scores.
+texts are read whole, batches are cut by bytes; rows with a null id count as
+not held out by the id ''; repeated rows get equal scores; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,10 +41,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from geoloom.llm.common import fold_of
 from geoloom.llm.labelled import sample_labelled
+from geoloom.llm.words import giving_back, slices
 
 ROWS_A_CLASS = 5000
+BYTES_A_CLASS = 48 << 20
 WINDOW_WORDS = 6
-ORDINARY_BYTES, TOXIC_BYTES, HEAD_BYTES = 65_536, 4_096, 512
+ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
+#: What of the fitted rows trains the dictionaries, chosen at random.
+PASSAGES, ORDINARY_WINDOWS = 30_000, 40_000
+#: Words on either side of a telling one that belong to its passage.
+AROUND = 1
 THRESHOLDS = (3, 4, 5, 6)
 HEADS = (4, 5, 6, 7)
 LEVEL = 3
@@ -107,14 +121,14 @@ class Windows:
         import zstandard as z
 
         def compressor(content: bytes):
-            content = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            content = z.ZstdCompressionDict(content)
             content.precompute_compress(level=LEVEL)
             return z.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False, write_checksum=False).compress
 
-        self.plain, self.both = compressor(ordinary), compressor(ordinary + toxic)  # what stands last is cheapest to refer to
+        self.plain, self.toxic = compressor(ordinary), compressor(ordinary + toxic)  # what stands last is cheapest to refer to
 
     def features(self, text: str | None) -> list[float]:
-        saved = [len(self.plain(w)) - len(self.both(w)) for w in window_list(text)]
+        saved = [len(self.plain(w)) - len(self.toxic(w)) for w in window_list(text)]
         n = len(saved)
         if not n:
             return [0.0] * (2 * len(THRESHOLDS) + 2)
@@ -148,35 +162,49 @@ def best_cut(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((s[i] + s[min(i + 1, len(s) - 1)]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, cut: float = 0.7, rows_a_class: int = ROWS_A_CLASS) -> dict | None:
-    got = sample_labelled(docs, labels, label, modulus, held, rows_a_class).toPandas().sort_values("doc_id", kind="stable")
+def train_dictionaries(texts: list[str], toxic: np.ndarray, passages: int = PASSAGES, ordinary_windows: int = ORDINARY_WINDOWS) -> dict[str, bytes]:
+    """The ordinary dictionary, and what the toxic one has beyond it."""
+    telling = telling_heads(texts, toxic)
+    rng = np.random.default_rng(11)
+    bad: list[bytes] = []
+    plain: list[bytes] = []
+    for text, y in zip(texts, toxic):
+        if not y:
+            plain += window_list(text)
+            continue
+        words = words_of(text)
+        for i, w in enumerate(words):
+            if telling.keys() & heads(w):
+                bad.append(f" {' '.join(words[max(0, i - AROUND) : i + AROUND + 1])} ".encode())
+    if not bad:  # nothing stands out: all of the toxic text
+        bad = [w for text, y in zip(texts, toxic) if y for w in window_list(text)]
+    some = lambda rows, n: [rows[i] for i in rng.permutation(len(rows))[:n]]
+    return {"ordinary": _train(some(plain, ordinary_windows), ORDINARY_BYTES, 64, 6), "toxic": _train(some(bad, passages), TOXIC_BYTES, 16, 6)}
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, cut: float = 0.7, rows_a_class: int = ROWS_A_CLASS, bytes_a_class: int = BYTES_A_CLASS, **bounds) -> dict | None:
+    got = sample_labelled(docs, labels, label, modulus, held, rows_a_class, bytes_a_class).toPandas().sort_values("doc_id", kind="stable")
     y = got["label"].to_numpy(np.int64)
     texts = [t or "" for t in got["text"]]
     if len(set(y)) < 2:
         return None
     weight = got["weight"].to_numpy(np.float64)
     weight = weight / weight.mean()  # as much evidence as there are rows
-    telling = telling_heads(texts, y)
-    rng = np.random.default_rng(11)
-    toxic, told = [], Counter()
-    for text, k in zip(texts, y):
-        for w in words_of(text) if k else ():
-            if known := telling.keys() & heads(w):
-                toxic.append(f" {w} ".encode())
-                told[max(known, key=lambda h: (telling[h], h))] += 1
-    ordinary = [w for t, k in zip(texts, y) if not k for w in window_list(t)]
-    toxic = [toxic[i] for i in rng.permutation(len(toxic))[:30_000]]
-    ordinary = [ordinary[i] for i in rng.permutation(len(ordinary))[:40_000]]
-    common = "".join(f" {h}" for h, _ in sorted(told.items(), key=lambda r: (r[1], r[0]))).encode()[-HEAD_BYTES:]
-    model = {"ordinary": _train(ordinary, ORDINARY_BYTES, 64, 6), "toxic": _train(toxic, TOXIC_BYTES, 16, 6) + common}
-    windows = Windows(model["ordinary"], model["toxic"])
-    x = np.array([windows.features(t) for t in texts])
+    half = np.array([zlib.crc32(t.encode()) & 1 for t in texts])  # copies of a text lie in one half
+    x = np.zeros((len(y), 2 * len(THRESHOLDS) + 2))
+    for k in (0, 1):
+        own, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
+        if len(set(y[other])) < 2:
+            other = np.arange(len(y))  # too few rows to part
+        windows = Windows(**train_dictionaries([texts[i] for i in other], y[other], **bounds))
+        for i in own:
+            x[i] = windows.features(texts[i])
     centre = np.average(x, axis=0, weights=weight)
     scale = np.sqrt(np.average((x - centre) ** 2, axis=0, weights=weight)) + 1e-9
     w = fit_logistic((x - centre) / scale, y, weight)
     raw = np.column_stack([(x - centre) / scale, np.ones(len(x))]) @ w
     shift = math.log(cut / (1 - cut)) - best_cut(raw, y, weight)
-    return model | {"centre": centre, "scale": scale, "weights": w, "shift": shift}
+    return train_dictionaries(texts, y, **bounds) | {"centre": centre, "scale": scale, "weights": w, "shift": shift}
 
 
 def score_texts(model: dict | None, windows: Windows | None, texts: list[str | None]) -> np.ndarray:
@@ -195,9 +223,9 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_i
     def run(batches):
         model = shared.value
         windows = model and Windows(model["ordinary"], model["toxic"])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+        for batch in giving_back(batches):
+            for a, b in slices(batch.column(len(keep))):
+                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score_texts(model, windows, part.column(len(keep)).to_pylist()))], names=[*keep, "score"])
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
