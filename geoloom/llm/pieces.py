@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from geoloom.llm.words import giving_back
+from geoloom.llm.words import giving_back, slices
 
 MARK = "▁"
 #: Parts kept a worker; beyond that the store starts anew.
@@ -308,9 +308,15 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", keep
     def run(batches):
         processor, own = _load(model_path)
         gc.disable()  # nothing here makes cycles, and the store of parts is costly to walk
+        try:
+            yield from coded(batches, processor, own)
+        finally:
+            gc.enable()
+
+    def coded(batches, processor, own):
         for batch in giving_back(batches):
-            for at in range(0, batch.num_rows, ROWS_A_BATCH):
-                part = batch.slice(at, ROWS_A_BATCH)
+            for a, b in slices(batch.column(len(keep)), most_rows=ROWS_A_BATCH):
+                part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column(len(keep)).to_pylist()]
                 own.learn(texts)
                 raw = [own.encode(t) for t in texts]
