@@ -19,10 +19,12 @@ Choose ``blocks`` so that buckets stay small: 6 (15 tables of 21 bits) serves
 to some 10^8 distinct fingerprints, 8 (70 tables of 32 bits) beyond.
 
 Cases: null, empty and wordless texts have fingerprint zero and are linked
-like any other; a text of fewer words than a shingle is one shingle; rows with
-equal text or equal id share a component; null ids never become a component's
-id unless it holds no other, when it is null; an empty table gives an empty
-result.
+like any other; a text of fewer words than a shingle is one shingle; texts of
+any length are read whole, batches are cut by bytes; rows with equal text or
+equal id share a component; null ids never become a component's id unless it
+holds no other, when it is null; repeated rows each get their row; of the table
+only doc_id and text are read (``keep_one`` hands all columns on); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from geoloom.llm.common import attach, materialize
 from geoloom.llm.components import components
@@ -50,52 +52,68 @@ _ONE = np.uint64(1)
 # ---- fingerprints
 
 
-def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """A uint64 a text."""
-    from xxhash import xxh64_intdigest
-
+def shingle_digests(column: pa.Array, shingle: int, hashes: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each hash (bytes -> bytes) the digests of all shingles of all texts, one row each, and the number of shingles of each text."""
     data, at = text_buffer(column)
-    raw, flat, counts = data.tobytes(), [], []
+    raw, counts = data.tobytes(), []
+    flat: list[list[bytes]] = [[] for _ in hashes]
     for a, b in zip(at[:-1], at[1:]):
         words = raw[a:b].lower().split()  # bytes: only A-Z change, only ASCII white space parts
         text = b" ".join(words)
         n = len(words)
         if n <= shingle:
-            if n:
-                flat.append(xxh64_intdigest(text, seed))
-            counts.append(min(n, 1))
-            continue
-        ends = list(accumulate(map(len, words), lambda x, y: x + y + 1))
-        starts = [0, *(e + 1 for e in ends[: n - shingle])]
-        flat.extend([xxh64_intdigest(text[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :])])
-        counts.append(n - shingle + 1)
-    out = np.zeros(len(column), np.uint64)
-    count = np.array(counts, np.int64)
+            parts = [text] if n else []
+        else:
+            ends = list(accumulate(map(len, words), lambda x, y: x + y + 1))
+            starts = [0, *(e + 1 for e in ends[: n - shingle])]
+            parts = [text[s:e] for s, e in zip(starts, ends[shingle - 1 :])]
+        for found, h in zip(flat, hashes):
+            found.extend([h(x) for x in parts])
+        counts.append(len(parts))
+    return [np.frombuffer(b"".join(found), np.uint8).reshape(-1, len(h(b"")))[:, ::-1] for found, h in zip(flat, hashes)], np.array(counts, np.int64)
+
+
+def majorities(digests: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Texts x 64-bit parts: bits set in over half of a text's digests, which come as little-endian bytes."""
+    out = np.zeros((len(count), digests.shape[1] // 8), np.uint64)
     some = np.flatnonzero(count)
     if len(some):
-        h = np.array(flat, np.uint64)
         first = np.concatenate([[0], np.cumsum(count[some])[:-1]])
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        votes = np.add.reduceat(np.unpackbits(digests, axis=1, bitorder="little"), first, axis=0, dtype=np.int32)
         major = (2 * votes > count[some][:, None]).astype(np.uint8)
-        out[some] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
+        out[some] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)
     return out
 
 
-def columns_of(seeds: tuple[int, ...]) -> list[str]:
-    return [f"fp{i or ''}" for i in range(len(seeds))]
+def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """A uint64 a text."""
+    return wide_fingerprints(column, shingle, (seed,), wide=False)[:, 0]
+
+
+def wide_fingerprints(column: pa.Array, shingle: int, seeds: tuple[int, ...], wide: bool = True) -> np.ndarray:
+    """Texts x 64-bit parts: one part a seed by XXH64, or two by 128-bit XXH3 where ``wide``."""
+    from xxhash import xxh3_128_digest, xxh64_digest
+
+    digest = xxh3_128_digest if wide else xxh64_digest
+    found, count = shingle_digests(column, shingle, [lambda x, s=s: digest(x, s) for s in seeds])
+    return np.column_stack([majorities(np.ascontiguousarray(d), count) for d in found])
 
 
-def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,), marked: bool = False) -> DataFrame:
-    """doc_id, fp, fp1 ...: 64 bits a seed, as signed longs; ``marked``: also mark, a hash of the text."""
+def columns_of(seeds: tuple[int, ...], wide: bool = False) -> list[str]:
+    return [f"fp{i or ''}" for i in range(len(seeds) * (1 + wide))]
+
+
+def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,), marked: bool = False, wide: bool = False) -> DataFrame:
+    """doc_id, fp, fp1 ...: 64 bits a part, as signed longs; ``marked``: also mark, a hash of the text."""
     extra = ["mark"] if marked else []
-    names = ["doc_id", *columns_of(seeds), *extra]
+    names = ["doc_id", *columns_of(seeds, wide), *extra]
 
     def run(batches):
         for batch in giving_back(batches):
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(fingerprints(part.column(1), shingle, seed).view(np.int64)) for seed in seeds), *part.columns[2:]], names=names)
+                prints = wide_fingerprints(part.column(1), shingle, seeds, wide)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T), *part.columns[2:]], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias(c) for c in extra]).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -300,7 +318,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return out.select("doc_id", *names, F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE, seeds: tuple[int, ...] = (SEED,), tables: int | None = None, key_bits: int = 16) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE, seeds: tuple[int, ...] = (SEED,), tables: int | None = None, key_bits: int = 16, wide: bool = False) -> DataFrame:
     """``docs`` with one document of each group of linked texts: the one with the smallest id.
 
     Groups are told by fingerprints alone: texts that are not linked all stay,
@@ -308,17 +326,24 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bloc
     id is kept only if none has one; ties go by fingerprint, then by hash of
     the text, and of rows with equal id and text one is kept.
     """
-    names = columns_of(seeds)
-    id_, mark = F.col("doc_id").cast("long"), F.xxhash64("text")
-    prints = materialize(fingerprint_documents(docs, shingle, seeds, marked=True), "simhash-prints")
+    names = columns_of(seeds, wide)
+    prints = materialize(fingerprint_documents(docs, shingle, seeds, True, wide), "simhash-prints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *names, "mark")).alias("least")
     # numbers of fingerprints, not ids: rows that share an id are no link
     nodes = materialize(prints.groupBy(*names).agg(least).withColumn("rep", F.monotonically_increasing_id()), "simhash-nodes")
     roots = components(link(nodes.select("rep", *names), radius, blocks, tile, tables, key_bits))
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(F.coalesce("root", "rep").alias("component"), "least")
-    kept = named.groupBy("component").agg(F.min("least").alias("least"))
-    kept = materialize(kept.select(F.col("least.doc_id").alias("__kept"), F.col("least.mark").alias("__mark")).distinct(), "simhash-kept")
-    keyed = docs.withColumn("__id", id_).withColumn("__text", mark)
-    keyed = keyed.join(kept, keyed["__id"].eqNullSafe(kept["__kept"]) & (keyed["__text"] == kept["__mark"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__id", "__text").orderBy("__text"))
-    return keyed.withColumn("__n", first).where("__n = 1").drop("__id", "__text", "__n")
+    kept = named.groupBy("component").agg(F.min("least").alias("least")).select("least.*")
+    # a null id as a value and a flag: joins by equal keys, which Spark can split where they are hot
+    flat = lambda df: (F.coalesce(df["doc_id"], F.lit(0)).alias("__id"), df["doc_id"].isNull().alias("__none"), df["mark"].alias("__text"))
+    again = prints.groupBy("doc_id", "mark").agg(F.count("*").alias("__rows")).where("__rows > 1")
+    keys = ["__id", "__none", "__text"]
+    kept = kept.select(*flat(kept)).join(again.select(*flat(again), "__rows"), keys, "left")
+    kept = materialize(kept.select(*keys, (F.col("__rows") > 1).alias("__again")), "simhash-kept")
+    id_ = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({"__id": F.coalesce(id_, F.lit(0).cast("long")), "__none": id_.isNull(), "__text": F.xxhash64("text")})
+    once = keyed.join(kept.where("__again IS NULL"), keys, "left_semi").drop(*keys)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    plain = [f.name for f in docs.schema if f.dataType.typeName() != "map"]
+    several = keyed.join(kept.where("__again"), keys, "left_semi").groupBy(*keys).agg(F.min_by(whole, F.xxhash64(*plain)).alias("row")).select("row.*")
+    return once.unionByName(several)

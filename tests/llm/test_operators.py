@@ -221,6 +221,20 @@ def test_simhash_fingerprints():
     texts = [r[1] for r in rows()]
     assert fingerprints(pa.array(texts)).tolist() == [plain_fingerprint(t) for t in texts]
     assert fingerprints(pa.array([], pa.string())).tolist() == []
+    from geoloom.llm.simhash import wide_fingerprints
+    from xxhash import xxh3_128_intdigest
+
+    wide = wide_fingerprints(pa.array(texts), 5, (42, 43))
+    for t, row in zip(texts, wide.tolist()):
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        shingles = [" ".join(words[i : i + 5]).encode() for i in range(max(1, len(words) - 4))] if words else []
+        want = []
+        for seed in (42, 43):
+            h = [xxh3_128_intdigest(x, seed) for x in shingles]
+            bits = sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+            want += [bits & (1 << 64) - 1, bits >> 64]
+        assert row == want
+    assert wide_fingerprints(pa.array([], pa.string()), 5, (42, 43)).shape == (0, 4)
 
 
 @pytest.mark.parametrize("radius", [0, 1, 3, 4, 6])
@@ -315,6 +329,33 @@ def test_keep_one_without_ids_and_with_clashing_ids(spark):
     assert sum(r[2] in either for r in kept) == 1 and found.columns == docs.columns
     same = spark.createDataFrame([(None, None, None, None, None)] * 3, DOCS)
     assert keep_one(same).count() == 1
+    # a third of the rows without an id and with one text; a column that can't be compared
+    hot = spark.createDataFrame([(None, "the same text of five words") for _ in range(60)] + [(i, texts[i % 50]) for i in range(100)] + [(5, texts[5])], "doc_id long, text string").withColumn("more", F.create_map(F.lit("k"), F.lit(1)))
+    left = keep_one(hot, shingle=5, radius=51, seeds=(42, 43), wide=True, tables=128).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left) == [(False, i) for i in range(50)] + [(True, 0)] and all(r["more"] == {"k": 1} for r in left)
+
+
+def test_near_copies_are_linked_at_the_radius(spark):
+    """Of texts with a shingle similarity of 0.8 and more over 0.9 are linked, texts below 0.5 are not."""
+    from geoloom.llm.simhash import keep_one
+
+    rng = np.random.default_rng(14)
+    words = [f"w{i}" for i in range(5000)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    data, near, far = [], [], []
+    for i in range(120):
+        t = rng.choice(words, 300).tolist()
+        u = list(t)
+        for at in rng.choice(300, 6 if i % 2 else 40, replace=False):
+            u[at] = "other"
+        a, b = shingles(t), shingles(u)
+        j = len(a & b) / len(a | b)
+        (near if j >= 0.8 else far).append(i)
+        assert j >= 0.8 or j < 0.5
+        data += [(i, " ".join(t)), (1000 + i, " ".join(u))]
+    kept = {r["doc_id"] for r in keep_one(spark.createDataFrame(data, "doc_id long, text string"), shingle=5, radius=51, seeds=(42, 43), wide=True, tables=128).collect()}
+    assert set(range(120)) <= kept and len(near) == 60
+    assert sum(1000 + i not in kept for i in near) >= 0.95 * len(near) and all(1000 + i in kept for i in far)
 
 
 def test_components_of_a_chain_and_a_star(spark):
