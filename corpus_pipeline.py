@@ -2,6 +2,14 @@
 
 quality classifier -> SimHash near-dedup -> substring dedup -> mixing -> pieces.
 All stages but the last return the columns of ``documents``.
+
+Cases, in every stage: columns other than those of ``documents`` are not read,
+so clashing names do no harm; texts are read whole, whatever their length; an
+empty table gives an empty result.  Null, empty and wordless texts are scored
+like any text by the first stage, are copies of each other in the second, stay
+as they are in the third, and have size 0, so the mix takes none of them.  Rows
+without an id, and rows that share one, are told apart by their texts; repeated
+rows are copies of each other.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -27,12 +35,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Near copies agree in 0.8 or more of 128 fingerprint bits over shingles of
-    five words.  A radius of 25 is beyond the pigeonhole, so buckets are keyed
-    by sampled bits; at distances 19, 22 and 25 a link is found with
-    probability 0.99, 0.95 and 0.85, and groups of copies have many.
+    Near copies agree in 0.8 or more of 256 fingerprint bits over shingles of
+    five words.  A radius of 51 is beyond the pigeonhole, so buckets are keyed
+    by sampled bits: a link at distance 39 (what a similarity of 0.8 on
+    shingles comes to) is found with probability 0.9999, one at the very edge,
+    51, with 0.98, and groups of copies have many.  Rows without an id and rows
+    that share one are told apart by their texts.
     """
-    return keep_one(docs.select(*COLUMNS), shingle=5, radius=25, seeds=(42, 43), tables=64, key_bits=16)
+    return keep_one(docs.select(*COLUMNS), shingle=5, radius=51, seeds=(42, 43), wide=True, tables=128, key_bits=16)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
