@@ -5,8 +5,9 @@ content words after it; a document's fingerprint is its set of signatures, so
 it follows the running prose and ignores lists, menus and marks around it.
 Sets are compared by Jaccard similarity, pruned by length: sets whose lengths
 alone rule the threshold out are never compared, and a comparison stops as soon
-as the threshold is out of reach.  For a join, sets are partitioned by length
-so that only equal or neighbouring partitions can hold a pair.
+as the threshold is out of reach.  ``length_bounds`` parts lengths so that only
+equal or neighbouring partitions can hold a pair; ``setjoin.set_classes`` joins
+the fingerprints of a corpus that way.
 
 Where no anchor is among the words just before (other languages, tables, the
 head of a text) a content word is an anchor itself, so every text with a word
@@ -170,6 +171,20 @@ def packed(found: frozenset[int]) -> np.ndarray:
     return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
+def signature_sets(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
+    """doc_id, signatures (ascending array<long>); one row a row of ``docs``."""
+
+    def run(batches):
+        for batch in giving_back(batches):
+            for a, b in slices(batch.column(1), BATCH_BYTES, BATCH_ROWS):
+                part = batch.slice(a, b - a)
+                found = [packed(signatures(t, chain)) for t in part.column(1).to_pylist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "signatures"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, signatures array<long>")
+
+
 def fingerprint_edits(docs: DataFrame, chain: int = CHAIN, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, signatures, edited_signatures (ascending array<long>), near_edited, near_next.
 

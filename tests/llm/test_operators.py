@@ -575,6 +575,91 @@ def test_spotsigs(spark):
     assert all(hi * 0.8 <= nxt for hi, nxt in zip(bounds, bounds[1:]))
 
 
+def plain_set_classes(data, t):
+    """Smallest id reachable over sets with a Jaccard similarity of t and more, by all pairs."""
+    ids, sets = [i for i, _ in data], [frozenset(s) for _, s in data]
+    root = list(range(len(data)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(data)), 2):
+        both = len(sets[i] & sets[j])
+        if not sets[i] and not sets[j] or both and both >= t * (len(sets[i]) + len(sets[j]) - both):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i in range(len(data)):
+        r = find(i)
+        if ids[i] is not None:
+            least[r] = min(least.get(r, ids[i]), ids[i])
+    return [least.get(find(i)) for i in range(len(data))]
+
+
+@pytest.mark.parametrize("threshold,tile", [(0.8, 2048), (0.8, 7), (0.5, 2048)])
+def test_set_classes(spark, threshold, tile):
+    from geoloom.llm.setjoin import set_classes, set_keys
+
+    rng = np.random.default_rng(51)
+    base = [rng.integers(-(2**62), 2**62, int(n)).tolist() for n in rng.integers(1, 60, 25)]
+    common = rng.integers(-(2**62), 2**62, 6).tolist()  # in every third set, and small sets of nothing else
+    data = []
+    for i in range(220):
+        s = list(base[int(rng.integers(25))])
+        for _ in range(int(rng.integers(0, 1 + len(s) // 4))):
+            s[int(rng.integers(len(s)))] = int(rng.integers(-(2**62), 2**62))
+        s += common[: int(rng.integers(7))] if i % 3 == 0 else []
+        data.append((i, sorted(set(s))))
+    data += [(300 + k, sorted(common[:k])) for k in range(7)] + [(400, []), (None, []), (None, data[0][1]), (500, data[1][1])]
+    df = spark.createDataFrame(data, "doc_id long, signatures array<long>").repartition(4)
+    classes = set_classes(df, threshold, tile)
+    h1, h2 = set_keys("signatures")
+    got = df.withColumn("a", h1).withColumn("b", h2).join(classes, (F.col("a") == F.col("h1")) & (F.col("b") == F.col("h2"))).select("doc_id", "class_id").collect()
+    assert sorted(map(repr, ((r["doc_id"], r["class_id"]) for r in got))) == sorted(map(repr, zip([i for i, _ in data], plain_set_classes(data, threshold))))
+    assert set_classes(df.limit(0)).count() == 0
+
+
+def plain_signatures(text):
+    """Anchors, and words with no anchor among the dozen before them, each with the next two content words (or words, at the end)."""
+    from geoloom.llm.spotsigs import ANCHORS
+
+    words = re.sub(r"[^\w\s]+", " ", (text or "").lower()).split()
+    out = set()
+    for i, w in enumerate(words):
+        if w not in ANCHORS and any(x in ANCHORS for x in words[max(0, i - 12) : i]):
+            continue
+        ahead = [x for x in words[i + 1 :] if x not in ANCHORS][:2]
+        if len(ahead) < 2:
+            ahead = words[i + 1 : i + 3]
+        out.add((w, *ahead, *[""] * (2 - len(ahead))))
+    return out
+
+
+def test_op7_against_plain_signatures(spark, tmp_path):
+    from geoloom.llm.queries import QUERIES
+
+    rng = np.random.default_rng(61)
+    words = [f"{a}{b}" for a in ("tion", "er", "an", "re") for b in ("st", "ou", "nd", "ing", "ble", "lo")] + ["the", "of", "and", "der", "die", "le"]
+    data = [(i, " ".join(rng.choice(words, int(rng.integers(0, 80))))) for i in range(50)]
+    data += [(60, data[3][1]), (61, data[4][1] + " more"), (62, " ".join(["changed", *data[5][1].split()[1:]])), (63, None), (64, ""), (65, "?!")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op7_spotsigs"](spark, str(tmp_path)).collect()}
+    texts = {i: t or "" for i, t in data}
+    sets = {i: plain_signatures(t) for i, t in texts.items()}
+    order = sorted(texts, reverse=True)
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    for i, j in zip(order, order[1:] + order[:1]):
+        n = len(texts[i])
+        changed = texts[i][: n - n // 3] + texts[j][: n // 3]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(changed.encode()).hexdigest())
+        assert r["near_edited"] == pytest.approx(like(sets[i], plain_signatures(changed))) and r["near_next"] == pytest.approx(like(sets[i], sets[j]))
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (sets[i] == plain_signatures(changed))
+    assert {i: got[i]["class_id"] for i in order} == dict(zip(texts, plain_set_classes([(i, sets[i]) for i in texts], 0.8)))
+    assert len(got) == len(data) and got[3]["fingerprint"] == got[60]["fingerprint"] and got[60]["class_id"] == 3
+
+
 def test_spotsigs_are_local():
     from geoloom.llm.spotsigs import SPARSE, edited, likeness, signatures
 
