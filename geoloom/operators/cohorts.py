@@ -104,22 +104,37 @@ def system_positions(corr: DataFrame, volatility: DataFrame) -> DataFrame:
     return j.withColumn("volatility_rank", rank).withColumn("importance", 0.4 * F.col("centrality") + 0.3 * F.col("volatility_rank") + 0.3 * F.col("uniqueness"))
 
 
-def home_distances(points: DataFrame, coverage: float = 0.8, sample: int = 20_000) -> DataFrame:
-    """Distance of each ``vector`` to the home region fitted on at most ``sample`` points (by hash): centre, precision and radius go out as literals."""
+def home_distances(points: DataFrame, coverage: float = 0.8, robust: bool = True, sample: int = 20_000) -> DataFrame:
+    """Distance of each ``vector`` to the home region: centre, precision and radius go out as literals.
+
+    ``robust``: minimum covariance determinant, fitted on at most ``sample``
+    points (by hash of the vector).  Otherwise median and covariance of all
+    points, from sums, and the radius that holds ``coverage`` of all of them.
+    """
     from geoloom.operators.dynamics import distance_to
 
-    n = points.count()
-    part = points if n <= sample else points.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < (1 << 20) * sample / n)
-    x = np.array([r["vector"] for r in part.select("vector").collect()], float)
-    home = cohort.home_region(x, coverage)
-    return distance_to(points, home["centre"].tolist(), home["precision"].tolist(), home["radius"])
+    if robust:
+        n = points.count()
+        part = points if n <= sample else points.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < (1 << 20) * sample / n)
+        x = np.array([r["vector"] for r in part.select("vector").collect()], float)
+        home = cohort.home_region(x, coverage)
+        return distance_to(points, home["centre"].tolist(), home["precision"].tolist(), home["radius"])
+    dim = points.select(F.max(F.size("vector"))).first()[0]
+    x = [F.get("vector", F.lit(i)).cast("double") for i in range(dim)]
+    sums = points.agg(F.count("*").alias("n"), *[F.median(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i in range(dim) for j in range(i, dim)]).first()
+    if sums["n"] < 100:
+        raise ValueError("a home region needs 100 samples")
+    cov = np.array([[sums[f"c{min(i, j)}_{max(i, j)}"] for j in range(dim)] for i in range(dim)])
+    centre, precision = [sums[f"m{i}"] for i in range(dim)], np.linalg.inv(cov + 1e-6 * np.eye(dim)).tolist()
+    radius = distance_to(points, centre, precision, 0.0).agg(F.percentile("distance", coverage).alias("r")).first()["r"]
+    return distance_to(points, centre, precision, radius)
 
 
 def remove_first_component(panel: DataFrame, k: int = 1) -> DataFrame:
     """The panel less its first k principal components, on the original scale.
 
     Only the indicator x indicator correlations come to the driver; loadings go
-    back as a broadcast of one row an indicator, scores are one sum a date.
+    back as a table of one row an indicator, scores are one sum a date.
     Dates on which an indicator is missing keep NULL there.
     """
     from geoloom.operators.pairs import correlation_pairs
@@ -135,7 +150,7 @@ def remove_first_component(panel: DataFrame, k: int = 1) -> DataFrame:
     _, v = cohort.eigen(m)
     out = z
     for c in range(k):
-        table = F.broadcast(panel.sparkSession.createDataFrame([(i, float(v[at[i], c])) for i in ids], "indicator_id string, loading double"))
+        table = panel.sparkSession.createDataFrame([(i, float(v[at[i], c])) for i in ids], "indicator_id string, loading double")
         with_loading = out.join(table, "indicator_id")
         scores = with_loading.groupBy("date").agg(F.sum(F.col("z") * F.col("loading")).alias("score"))
         out = with_loading.join(scores, "date").withColumn("z", F.col("z") - F.col("score") * F.col("loading")).drop("score", "loading")

@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
+from geoloom.sources.scratch import drop, kept
 
-def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+
+def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node) and (a, b) string pairs -> (node, component): the least node reachable.
 
-    Each round takes the least label of the neighbours, then the label of that
-    label; checkpoints cut the lineage where the session has a checkpoint
-    directory.
+    Each round is one job: labels take the least label of the neighbours, then
+    the label that this one had, and are written to the shared folder with the
+    number of changes observed on the way.  A round's files go once the next
+    are there; the last are left to the folder's own clean-up.
     """
     spark = nodes.sparkSession
-    reliable = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    keep = (lambda d: d.checkpoint()) if reliable else (lambda d: d.persist())
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    labels = keep(nodes.select(F.col("node"), F.col("node").alias("component")))
+    both, at_edges = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels, at = kept(nodes.select(F.col("node"), F.col("node").alias("component")).distinct(), "labels")
     for _ in range(most_rounds):
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        near = labels.join(around, labels["node"] == around["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        up = near.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        jumped = keep(near.join(up, near["component"] == up["n2"], "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component")))
-        changed = jumped.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
-        labels = jumped
-        if changed:
+        near = labels.join(around, labels["node"] == around["a"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("near"))
+        up = labels.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
+        seen = Observation()
+        jumped = near.join(up, near["near"] == up["n2"], "left").select("node", "old", F.least("near", F.coalesce("c2", "near")).alias("component"))
+        jumped = jumped.observe(seen, F.sum((F.col("component") != F.col("old")).cast("long")).alias("changed")).drop("old")
+        before, (labels, at) = at, kept(jumped, "labels")
+        drop(spark, before)
+        if not seen.get["changed"]:
+            drop(spark, at_edges)
             return labels
     raise RuntimeError("labels did not settle")
 

@@ -10,7 +10,8 @@ from geoloom.operators.windows import by_rows
 
 
 def native_series(panel: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Native descriptors of each series in tall form."""
+    """Native descriptors of each series in tall form; all of them start from one shuffle on the keys."""
+    panel = panel.repartition(*keys)
     parts = [descriptors.basic_stats(panel, keys), descriptors.trend(panel, keys), descriptors.volatility(panel, keys), descriptors.half_life(panel, keys), descriptors.variance_ratio(panel, keys=keys), descriptors.signature_diagnostics(panel, keys)]
     out = None
     for p in parts:
@@ -26,8 +27,8 @@ def derive(panel: DataFrame, window: int = 252, step: int = 21, kernels: list[st
     costly kernels.
     """
     clean = min_observations(finite_only(panel), window)
-    cut = by_rows(clean, window, step).select("window_id", "indicator_id", "date", "value")
     keys = ("indicator_id", "window_id")
+    cut = by_rows(clean, window, step).select("window_id", "indicator_id", "date", "value").repartition(*keys)
     series = native_series(cut, keys).unionByName(grouped.series_descriptors(cut, kernels, keys, run))
     returns = by_rows(log_returns(clean).where(F.col("value").isNotNull()), window, step).select("window_id", "indicator_id", "date", "value")
     corr = pairs.correlation_pairs(returns, ("window_id",), 30)
@@ -40,7 +41,7 @@ def derive(panel: DataFrame, window: int = 252, step: int = 21, kernels: list[st
 
 def run_library(panel: DataFrame) -> dict[str, dict]:
     """The small packaged report: correlation, first-factor share and Hurst of a panel."""
-    corr = pairs.correlation_pairs(log_or_level(panel)).persist()
+    corr = pairs.correlation_pairs(panel).persist()  # levels, as the packaged library has it
     summary = pairs.correlation_summary(corr).first()
     eigen = {r["dimension"]: r["value"] for r in grouped.eigen_structure(corr.withColumn("window_id", F.lit(0))).where("indicator_id IS NULL").collect()}
     hurst = {r["indicator_id"]: r["hurst"] for r in descriptors.hurst_rs(panel).collect()}
@@ -49,8 +50,3 @@ def run_library(panel: DataFrame) -> dict[str, dict]:
         "correlation": {"mean_abs_corr": summary["mean_abs_corr"], "strongest": f"{summary['strong_1']}-{summary['strong_2']}", "strongest_corr": summary["strong_corr"], "weakest": f"{summary['weak_1']}-{summary['weak_2']}", "weakest_corr": summary["weak_corr"]},
         "pca": {"gfm": eigen.get("gfm"), "effective_dimension": eigen.get("dim_90"), "variance_explained_1": eigen.get("variance_explained_1")}, "hurst": hurst,
     }
-
-
-def log_or_level(panel: DataFrame) -> DataFrame:
-    """The packaged library correlates levels."""
-    return panel

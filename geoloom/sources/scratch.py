@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -18,3 +18,15 @@ def folder(spark: SparkSession, label: str) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='geoloom-')}"
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet and read back, which cuts its lineage, and where it lies."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

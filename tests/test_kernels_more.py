@@ -202,3 +202,16 @@ def test_exact_shares_without_a_single_task(spark):
     v = np.round(rng.normal(size=700), 2)
     got = share_at_most(spark.createDataFrame([(float(x),) for x in v], "d double").repartition(5), "d", cuts=16).collect()
     assert all(r["share"] == pytest.approx((v <= r["d"]).mean()) for r in got) and len(got) == 700
+
+
+def test_home_region_of_all_points(spark):
+    from geoloom.operators import cohorts
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(500, 3)) * [1, 2, 3]
+    df = spark.createDataFrame([([float(v) for v in row],) for row in x], "vector array<double>")
+    got = cohorts.home_distances(df, 0.8, robust=False).toPandas()
+    want = cohort.home_region(x, 0.8, robust=False)
+    assert got["inside"].mean() == pytest.approx(0.8, abs=0.01)
+    assert np.allclose(sorted(got["distance"]), sorted(want["distances"])) and got["percentile"].max() == 1.0
+    assert cohorts.home_distances(df, 0.8).count() == 500
