@@ -131,6 +131,27 @@ def conditional_attribution(condition: DataFrame, indicators: DataFrame, horizon
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("effect")), "indicator_id")))
 
 
+def attribution_intervals(condition: DataFrame, indicators: DataFrame, horizon: int = 20, min_episodes: int = 5, n_boot: int = 100, run: str = "run") -> DataFrame:
+    """Effect of each indicator after the flag rises, with a 95 % interval by resampling its episodes; ``certain`` if it leaves out zero."""
+    import numpy as np
+
+    from geoloom.kernels.series import effect_ci
+    from geoloom.operators.grouped import arrow_groups, seed_of
+
+    onset = condition.withColumn("before", F.lag("flag").over(Window.orderBy("date"))).where(F.col("flag") & ~F.coalesce("before", F.lit(False))).select("date")
+    line = Window.partitionBy("indicator_id").orderBy("date")
+    moved = indicators.withColumn("change", F.lead("value", horizon).over(line) - F.col("value")).join(onset, "date", "left_semi").where(F.col("change").isNotNull())
+
+    def boot(key, table):
+        v = table.sort_by("date")["change"].to_numpy()
+        if len(v) < min_episodes:
+            return []
+        got = effect_ci(v, np.random.default_rng(seed_of(run, *key)), n_boot)
+        return [(len(v), got["effect"], got["effect_low"], got["effect_high"], bool(got["certain"]))]
+
+    return arrow_groups(moved.select("indicator_id", "date", "change"), ("indicator_id",), "n_episodes long, effect double, effect_low double, effect_high double, certain boolean", boot)
+
+
 def indicator_lead(condition: DataFrame, indicators: DataFrame, window: int = 10) -> DataFrame:
     """Mean move in the ``window`` rows before the flag rises, over the mean absolute move."""
     onset = condition.withColumn("before", F.lag("flag").over(Window.orderBy("date"))).where(F.col("flag") & ~F.coalesce("before", F.lit(False))).select(F.col("date").alias("onset"))

@@ -226,6 +226,26 @@ def clusters(corr: DataFrame, method: str = "ensemble", keys: tuple[str, ...] =
     return corr.select(*keys, "id_1", "id_2", "corr").groupBy(*keys).applyInPandas(run_group, schema)
 
 
+def cohort_views(corr: DataFrame, keys: tuple[str, ...] = ("window_id",), threshold: float = 0.6) -> DataFrame:
+    """Centrality (mean |r|) and first loading of each indicator seen from the full system, with its first factor removed, and within its cluster (components at the threshold), and how far the views diverge."""
+
+    def views(_, table):
+        ids, m = _matrix(table.to_pandas())
+        n = len(ids)
+        lab = cohort._components(np.abs(m) >= threshold)
+        central = lambda x: (np.abs(x).sum(axis=1) - 1) / max(len(x) - 1, 1)
+        rest = cohort.remove_first(m) if n > 2 else m
+        full, residual, within = central(m), central(rest), np.zeros(n)
+        for c in range(lab.max() + 1):
+            own = np.flatnonzero(lab == c)
+            within[own] = central(m[np.ix_(own, own)]) if len(own) > 1 else 0.0
+        first, after = cohort.eigen(m)[1][:, 0], cohort.eigen(rest)[1][:, 0]
+        return [(i, int(lab[k]), int((lab == lab[k]).sum()), float(full[k]), float(residual[k]), float(within[k]), float(first[k]), float(after[k]), float(abs(full[k] - residual[k])), float(abs(full[k] - within[k]))) for k, i in enumerate(ids)]
+
+    columns = "indicator_id string, cluster int, cluster_size int, full_centrality double, residual_centrality double, within_centrality double, full_loading double, residual_loading double, residual_divergence double, within_divergence double"
+    return arrow_groups(corr.select(*keys, "id_1", "id_2", "corr"), keys, columns, views)
+
+
 def decontamination(corr: DataFrame, keys: tuple[str, ...] = ("window_id",), limit: float = 0.7, hidden_ratio: float = 2.0) -> DataFrame:
     """Whether one factor dominates (mean |r| or PC1 share above the limit), and what shows once it is removed."""
     fields = [corr.schema[k] for k in keys]

@@ -253,6 +253,44 @@ def hidden_mass_events(states: DataFrame, sigma: float = 2.0, least: int = 5, ke
     return states.withColumn("z", z).withColumn("__n", F.count("*").over(every)).where((F.col("__n") >= least) & (F.col("z") > sigma)).drop("__n")
 
 
+def hidden_mass_episodes(states: DataFrame, sigma: float = 2.0, least: int = 5, keys=ENTITY) -> DataFrame:
+    """Runs of windows whose hidden mass lies over mean + ``sigma`` deviations: first, last, frames, peak and its z."""
+    every = Window.partitionBy(*keys)
+    mean, sd = F.avg("hidden_mass").over(every), F.stddev_pop("hidden_mass").over(every)
+    rows = states.withColumn("__z", div(F.col("hidden_mass") - mean, F.nullif(sd, F.lit(0.0)))).withColumn("__n", F.count("*").over(every))
+    rows = islands(rows.withColumn("__high", F.coalesce(F.col("__z") > sigma, F.lit(False))), "__high", keys, "window_id").where(F.col("__high") & (F.col("__n") >= least))
+    g = rows.groupBy(*keys, "run").agg(F.min("window_id").alias("first"), F.max("window_id").alias("last"), F.count("*").alias("duration_frames"), F.max("hidden_mass").alias("peak"), F.max("__z").alias("z"))
+    return g.drop("run").withColumn("severity", F.when(F.col("z") > 3, "extreme").otherwise("significant"))
+
+
+def momentum(frames: DataFrame, value: str = "mean_tension", keys: tuple[str, ...] = (), most: int = 5) -> DataFrame:
+    """(window_id, tension): weighted mean of the last changes (the newest weighs most, e times the oldest), and its own change; 0 before the third window."""
+    line = Window.partitionBy(*keys).orderBy("window_id")
+    rows = frames.withColumn("__d", F.col(value) - F.lag(value).over(line))
+    rows = rows.withColumn("__k", F.count("__d").over(line.rowsBetween(-(most - 1), 0)))
+    weights = [F.when(F.col("__k") > i, F.exp(-F.lit(float(i)) / F.greatest(F.col("__k") - 1, F.lit(1)))) for i in range(most)]
+    parts = [F.coalesce(w * F.lag("__d", i).over(line), F.lit(0.0)) for i, w in enumerate(weights)]
+    total = reduce(lambda a, b: a + b, [F.coalesce(w, F.lit(0.0)) for w in weights])
+    rows = rows.withColumn("momentum", F.when(F.col("__k") >= 2, reduce(lambda a, b: a + b, parts) / total).otherwise(0.0))
+    before = F.lag("momentum").over(line)
+    return rows.withColumn("acceleration", F.when(F.col("__k") >= 2, F.col("momentum") - F.coalesce(before, F.lit(0.0))).otherwise(0.0)).drop("__d", "__k")
+
+
+def cohort_tension(states: DataFrame, keys=("window_id",), stress: float = 0.5) -> DataFrame:
+    """(window_id, cohort_id, hidden_mass): mean hidden mass of each cohort; critical above ``stress`` times the cohorts' mean."""
+    g = states.groupBy(*keys, "cohort_id").agg(F.avg("hidden_mass").alias("tension"), F.count("*").alias("n"))
+    return g.withColumn("critical", F.col("tension") > stress * F.avg("tension").over(Window.partitionBy(*keys)))
+
+
+def deformation_type(states: DataFrame, keys=("window_id",)) -> DataFrame:
+    """(window_id, direction array, magnitude): minimal, expansion, compression, shear or rotation, by the length of the mean deformation over all magnitudes and the share of the first axis."""
+    g = states.groupBy(*keys).agg(F.sum("magnitude").alias("total"), F.avg(F.abs(F.get("direction", F.lit(0))) * F.col("magnitude")).alias("__first"), F.avg(F.get("direction", F.lit(0)) * F.col("magnitude")).alias("__mean"))
+    per = states.select(*keys, "magnitude", F.posexplode("direction").alias("dim", "x")).groupBy(*keys, "dim").agg(F.avg(F.col("x") * F.col("magnitude")).alias("m")).groupBy(*keys).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("__norm"))
+    rows = g.join(per, list(keys)).withColumn("coherence", div(F.col("__norm"), F.nullif(F.col("total"), F.lit(0.0)))).withColumn("first_axis", div(F.col("__first"), F.nullif(F.col("total"), F.lit(0.0))))
+    aligned = F.when(F.col("first_axis") > 0.5, F.when(F.col("__mean") > 0, "expansion").otherwise("compression")).otherwise("shear")
+    return rows.withColumn("kind", F.when(F.col("total") < EPS, "minimal").when(F.col("coherence") > 0.7, aligned).otherwise("rotation")).drop("__first", "__mean", "__norm")
+
+
 def system_deformation(states: DataFrame) -> DataFrame:
     """Hidden mass by stability class, and of all (class null)."""
     return states.rollup("stability_class").agg(F.count("*").alias("n_states"), F.count_distinct("entity").alias("n_entities"), F.sum("hidden_mass").alias("total_hidden_mass"), F.avg("hidden_mass").alias("mean_hidden_mass"), F.stddev_pop("hidden_mass").alias("std_hidden_mass"), F.avg("amplification").alias("mean_amplification"))

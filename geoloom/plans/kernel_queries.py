@@ -59,3 +59,56 @@ def decontamination(spark, sf_dir):
 @query()
 def mahalanobis(spark, sf_dir):
     return rounded(grouped.mahalanobis(_windowed_corr(spark, sf_dir)))
+
+
+@query()
+def panel_modes(spark, sf_dir):
+    cut = windows.by_rows(events_hourly(spark, sf_dir), 200, 100).select("window_id", "indicator_id", "date", "value")
+    return rounded(grouped.panel_modes(cut))
+
+
+@query()
+def panel_states(spark, sf_dir):
+    cut = windows.by_rows(events_hourly(spark, sf_dir), 200, 100).select("window_id", "indicator_id", "date", "value")
+    return rounded(grouped.panel_states(cut))
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    return rounded(grouped.clusters(_windowed_corr(spark, sf_dir), "kmeans"))
+
+
+@query()
+def ward_clusters(spark, sf_dir):
+    return rounded(grouped.clusters(_windowed_corr(spark, sf_dir), "ward", remove_pc1=True))
+
+
+@query()
+def wavelet_energies(spark, sf_dir):
+    return rounded(grouped.wavelet_table(orders_daily(spark, sf_dir)), 4)
+
+
+@query()
+def stationarity_forcing(spark, sf_dir):
+    from geoloom.operators import policy
+
+    p = orders_daily(spark, sf_dir)
+    raw = P.abs_returns(p, 10.0).select("indicator_id", "date", F.col("value").alias("cleaned"))
+    both = p.select("indicator_id", "date", F.col("value").alias("raw")).join(raw, ["indicator_id", "date"]).where(F.col("cleaned").isNotNull())
+    return rounded(policy.stationarity_forcing(both))
+
+
+@query()
+def cohort_views(spark, sf_dir):
+    return rounded(grouped.cohort_views(_windowed_corr(spark, sf_dir), threshold=0.3))
+
+
+@query()
+def attribution_intervals(spark, sf_dir):
+    from geoloom.operators import dynamics
+
+    p = events_hourly(spark, sf_dir)
+    total = p.groupBy("date").agg(F.sum("value").alias("v"))
+    bar = total.agg((F.avg("v") + F.stddev_pop("v")).alias("bar"))  # one row
+    flag = total.crossJoin(F.broadcast(bar)).select("date", (F.col("v") > F.col("bar")).alias("flag"))
+    return rounded(dynamics.attribution_intervals(flag, p))

@@ -68,7 +68,7 @@ def worst_flag(spark, sf_dir):
 # ---- geometry of views, suitability, routing
 
 
-VIEWS = """vw AS (SELECT CAST(c_nationkey AS VARCHAR) AS indicator_id, CASE c_custkey % 4 WHEN 0 THEN 'LEVEL' WHEN 1 THEN 'RETURNS' WHEN 2 THEN 'VOLATILITY' ELSE 'DEVIATION' END AS view, CASE c_mktsegment WHEN 'BUILDING' THEN 'latent_flow' WHEN 'MACHINERY' THEN 'coupled_oscillator' WHEN 'HOUSEHOLD' THEN 'pure_noise' ELSE 'reflexive_stochastic' END AS geometry, round((c_acctbal + 1000) / 11000, 4) AS confidence, c_custkey AS window_id FROM customer)"""
+VIEWS = """vw AS (SELECT CAST(c_nationkey AS VARCHAR) AS indicator_id, CASE c_custkey % 4 WHEN 0 THEN 'LEVEL' WHEN 1 THEN 'RETURNS' WHEN 2 THEN 'VOLATILITY' ELSE 'DEVIATION' END AS view, CASE c_mktsegment WHEN 'BUILDING' THEN 'latent_flow' WHEN 'MACHINERY' THEN 'coupled_oscillator' WHEN 'HOUSEHOLD' THEN 'pure_noise' ELSE 'reflexive_stochastic' END AS geometry, (c_acctbal + 1000) / 11000 AS confidence, c_custkey AS window_id FROM customer)"""
 
 
 def _views(spark, sf_dir):
@@ -76,7 +76,7 @@ def _views(spark, sf_dir):
     k = F.col("c_custkey") % 4
     return table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").cast("string").alias("indicator_id"), F.when(k == 0, "LEVEL").when(k == 1, "RETURNS").when(k == 2, "VOLATILITY").otherwise("DEVIATION").alias("view"),
-        F.when(seg == "BUILDING", "latent_flow").when(seg == "MACHINERY", "coupled_oscillator").when(seg == "HOUSEHOLD", "pure_noise").otherwise("reflexive_stochastic").alias("geometry"), F.round((F.col("c_acctbal") + 1000) / 11000, 4).alias("confidence"), F.col("c_custkey").alias("window_id"),
+        F.when(seg == "BUILDING", "latent_flow").when(seg == "MACHINERY", "coupled_oscillator").when(seg == "HOUSEHOLD", "pure_noise").otherwise("reflexive_stochastic").alias("geometry"), ((F.col("c_acctbal") + 1000) / 11000).alias("confidence"), F.col("c_custkey").alias("window_id"),
     )
 
 
@@ -87,7 +87,7 @@ def arbitration(spark, sf_dir):
 
 
 @query(f"""WITH {VIEWS}, l AS (SELECT *, lag(geometry) OVER (PARTITION BY indicator_id ORDER BY window_id) AS b FROM vw), c AS (SELECT *, coalesce(geometry <> b, false) AS changed FROM l)
-SELECT indicator_id, view, geometry, confidence, window_id, changed, CASE WHEN changed THEN b || ' -> ' || geometry END AS transition, round(sum(changed::INT) OVER (PARTITION BY indicator_id) / nullif(count(*) OVER (PARTITION BY indicator_id) - 1, 0), 6) AS transition_rate FROM c""")
+SELECT indicator_id, view, geometry, round(confidence, 6) AS confidence, window_id, changed, CASE WHEN changed THEN b || ' -> ' || geometry END AS transition, round(sum(changed::INT) OVER (PARTITION BY indicator_id) / nullif(count(*) OVER (PARTITION BY indicator_id) - 1, 0), 6) AS transition_rate FROM c""")
 def geometry_scan(spark, sf_dir):
     return rounded(policy.geometry_scan(_views(spark, sf_dir)), 6)
 
@@ -102,14 +102,14 @@ def signature_confidence(spark, sf_dir):
     return rounded(t.select("c_custkey", confidence.alias("confidence"), hybrid.alias("hybrid")))
 
 
-SCAN = """wn AS (SELECT CAST(c_nationkey AS VARCHAR) AS indicator_id, c_custkey % 7 + 0.5 AS window_years, CASE c_custkey % 4 WHEN 0 THEN 'latent_flow' WHEN 1 THEN 'coupled_oscillator' WHEN 2 THEN 'pure_noise' ELSE 'reflexive_stochastic' END AS dominant_geometry, (c_custkey % 100) / 100.0::DOUBLE AS geometry_pct, CAST(c_custkey % 40 AS INTEGER) AS n_observations, round((c_acctbal + 1000) / 11000, 4) AS avg_confidence, (c_custkey % 13) / 13.0::DOUBLE AS avg_disagreement, (c_custkey % 9) / 9.0::DOUBLE AS stability, (c_custkey % 5) / 4.0::DOUBLE AS coverage, c_custkey FROM customer)"""
+SCAN = """wn AS (SELECT CAST(c_nationkey AS VARCHAR) AS indicator_id, c_custkey % 7 + 0.5 AS window_years, CASE c_custkey % 4 WHEN 0 THEN 'latent_flow' WHEN 1 THEN 'coupled_oscillator' WHEN 2 THEN 'pure_noise' ELSE 'reflexive_stochastic' END AS dominant_geometry, (c_custkey % 100) / 100.0::DOUBLE AS geometry_pct, CAST(c_custkey % 40 AS INTEGER) AS n_observations, (c_acctbal + 1000) / 11000 AS avg_confidence, (c_custkey % 13) / 13.0::DOUBLE AS avg_disagreement, (c_custkey % 9) / 9.0::DOUBLE AS stability, (c_custkey % 5) / 4.0::DOUBLE AS coverage, c_custkey FROM customer)"""
 
 
 def _scan(spark, sf_dir):
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     geometry = F.when(k % 4 == 0, "latent_flow").when(k % 4 == 1, "coupled_oscillator").when(k % 4 == 2, "pure_noise").otherwise("reflexive_stochastic")
     return c.select(
-        F.col("c_nationkey").cast("string").alias("indicator_id"), ((k % 7).cast("double") + 0.5).alias("window_years"), geometry.alias("dominant_geometry"), ((k % 100) / 100.0).alias("geometry_pct"), (k % 40).cast("int").alias("n_observations"), F.round((F.col("c_acctbal") + 1000) / 11000, 4).alias("avg_confidence"),
+        F.col("c_nationkey").cast("string").alias("indicator_id"), ((k % 7).cast("double") + 0.5).alias("window_years"), geometry.alias("dominant_geometry"), ((k % 100) / 100.0).alias("geometry_pct"), (k % 40).cast("int").alias("n_observations"), ((F.col("c_acctbal") + 1000) / 11000).alias("avg_confidence"),
         ((k % 13) / 13.0).alias("avg_disagreement"), ((k % 9) / 9.0).alias("stability"), ((k % 5) / 4.0).alias("coverage"), "c_custkey",
     )
 
@@ -220,9 +220,9 @@ def metric_sensitivity(spark, sf_dir):
     return rounded(policy.metric_sensitivity(rows))
 
 
-@query(f"WITH {SC1} SELECT a.indicator_id, a.engine AS engine_1, b.engine AS engine_2, round(a.score, 6) AS x, round(b.score, 6) AS y FROM s1 a JOIN s1 b ON a.indicator_id = b.indicator_id AND (a.engine, b.engine) IN (('BUILDING', 'MACHINERY'), ('HOUSEHOLD', 'FURNITURE')) WHERE a.score > 0.6 AND b.score > 0.6")
+@query(f"WITH {SC1.replace('round(avg(score), 9) AS score', 'round(avg(score) + 0.2, 9) AS score')} SELECT a.indicator_id, a.engine AS engine_1, b.engine AS engine_2, round(a.score, 6) AS x, round(b.score, 6) AS y FROM s1 a JOIN s1 b ON a.indicator_id = b.indicator_id AND (a.engine, b.engine) IN (('BUILDING', 'MACHINERY'), ('HOUSEHOLD', 'FURNITURE')) WHERE a.score > 0.6 AND b.score > 0.6")
 def engine_contradictions(spark, sf_dir):
-    return rounded(policy.contradictions(_scores1(spark, sf_dir), (("BUILDING", "MACHINERY"), ("HOUSEHOLD", "FURNITURE"))))
+    return rounded(policy.contradictions(_scores(spark, sf_dir).groupBy("indicator_id", "engine").agg(F.round(F.avg("score") + 0.2, 9).alias("score")), (("BUILDING", "MACHINERY"), ("HOUSEHOLD", "FURNITURE"))))
 
 
 @query(f"WITH {NATION_MONTHLY}, l AS (SELECT indicator_id, value, lag(value) OVER (PARTITION BY indicator_id ORDER BY date) AS b FROM nation_monthly), g AS (SELECT indicator_id, covar_samp(value, b) / nullif(stddev_samp(CASE WHEN b IS NOT NULL THEN value END) * stddev_samp(b), 0) AS r FROM l GROUP BY 1) SELECT indicator_id, round(r, 6) AS residual_acf1, coalesce(abs(r) > 0.1, false) AS structured FROM g")
@@ -292,13 +292,13 @@ def trajectory_coherence(spark, sf_dir):
     return rounded(vectors.trajectory_coherence(rows, limit=2.0).withColumn("issues", F.array_join("issues", ",")))
 
 
-@query("""WITH r AS (SELECT CAST(s_suppkey AS VARCHAR) AS entity, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE round((s_acctbal + 1000) / 11000, 4) END AS resistance, CAST(s_suppkey % 8 AS INTEGER) AS n_windows, CASE s_nationkey % 3 WHEN 0 THEN 'finance' WHEN 1 THEN 'climate' ELSE 'other' END AS domain FROM supplier),
+@query("""WITH r AS (SELECT CAST(s_suppkey AS VARCHAR) AS entity, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE round((s_acctbal + 1000) / 11000, 8) END AS resistance, CAST(s_suppkey % 8 AS INTEGER) AS n_windows, CASE s_nationkey % 3 WHEN 0 THEN 'finance' WHEN 1 THEN 'climate' ELSE 'other' END AS domain FROM supplier),
 b AS (SELECT *, CASE domain WHEN 'finance' THEN 0.2 WHEN 'climate' THEN 0.6 ELSE 0.1 END AS lo, CASE domain WHEN 'finance' THEN 0.9 WHEN 'climate' THEN 0.95 ELSE 0.95 END AS hi, CASE WHEN n_windows >= 5 THEN 0.9 WHEN n_windows >= 3 THEN 0.6 ELSE 0.3 END AS confidence, CASE WHEN resistance IS NOT NULL AND count(resistance) OVER (PARTITION BY domain) > 5 THEN cume_dist() OVER (PARTITION BY domain, resistance IS NOT NULL ORDER BY resistance) END AS pc FROM r),
 s AS (SELECT *, resistance BETWEEN lo AND hi AS ib, CASE WHEN resistance IS NULL THEN 0 ELSE round(confidence - CASE WHEN NOT (resistance BETWEEN lo AND hi) THEN 0.2 ELSE 0 END, 9) END AS score FROM b)
-SELECT entity, domain, resistance, n_windows, ib AS in_bounds, confidence::DOUBLE AS confidence, round(pc, 6) AS percentile, CASE WHEN pc > 0.9 THEN 'very_rigid' WHEN pc > 0.7 THEN 'rigid' WHEN pc > 0.3 THEN 'moderate' WHEN pc > 0.1 THEN 'fluid' WHEN pc IS NOT NULL THEN 'very_fluid' END AS class, round(score, 6)::DOUBLE AS score, CASE WHEN resistance IS NULL THEN 'invalid' WHEN score >= 0.7 THEN 'valid' WHEN score >= 0.4 THEN 'marginal' ELSE 'invalid' END AS status FROM s""")
+SELECT entity, domain, round(resistance, 6) AS resistance, n_windows, ib AS in_bounds, confidence::DOUBLE AS confidence, round(pc, 6) AS percentile, CASE WHEN pc > 0.9 THEN 'very_rigid' WHEN pc > 0.7 THEN 'rigid' WHEN pc > 0.3 THEN 'moderate' WHEN pc > 0.1 THEN 'fluid' WHEN pc IS NOT NULL THEN 'very_fluid' END AS class, round(score, 6)::DOUBLE AS score, CASE WHEN resistance IS NULL THEN 'invalid' WHEN score >= 0.7 THEN 'valid' WHEN score >= 0.4 THEN 'marginal' ELSE 'invalid' END AS status FROM s""")
 def resistance_calibration(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    rows = s.select(F.col("s_suppkey").cast("string").alias("entity"), F.when(F.col("s_suppkey") % 11 != 0, F.round((F.col("s_acctbal") + 1000) / 11000, 4)).alias("resistance"), (F.col("s_suppkey") % 8).cast("int").alias("n_windows"), F.when(F.col("s_nationkey") % 3 == 0, "finance").when(F.col("s_nationkey") % 3 == 1, "climate").otherwise("other").alias("domain"))
+    rows = s.select(F.col("s_suppkey").cast("string").alias("entity"), F.when(F.col("s_suppkey") % 11 != 0, F.round((F.col("s_acctbal") + 1000) / 11000, 8)).alias("resistance"), (F.col("s_suppkey") % 8).cast("int").alias("n_windows"), F.when(F.col("s_nationkey") % 3 == 0, "finance").when(F.col("s_nationkey") % 3 == 1, "climate").otherwise("other").alias("domain"))
     return rounded(vectors.resistance_calibration(rows).drop("issues"))
 
 
@@ -318,11 +318,11 @@ def stress_regions(spark, sf_dir):
     return rounded(vectors.stress_regions(_moved(spark, sf_dir).withColumn("displacement", F.col("displacement") * 100)), 5)
 
 
-ANOMALIES = "an AS (SELECT CAST(c_custkey AS VARCHAR) AS entity, CAST(c_custkey % 60 AS INTEGER) AS window_id, round(c_acctbal / 2500, 4) AS z FROM customer WHERE c_acctbal > 5500 AND c_custkey % 7 = 0)"
+ANOMALIES = "an AS (SELECT CAST(c_custkey AS VARCHAR) AS entity, CAST(c_custkey % 60 AS INTEGER) AS window_id, c_acctbal / 2500 AS z FROM customer WHERE c_acctbal > 5500 AND c_custkey % 7 = 0)"
 
 
 def _anomalies(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_acctbal > 5500 AND c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("entity"), (F.col("c_custkey") % 60).cast("int").alias("window_id"), F.round(F.col("c_acctbal") / 2500, 4).alias("z"))
+    return table(spark, sf_dir, "customer").where("c_acctbal > 5500 AND c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("entity"), (F.col("c_custkey") % 60).cast("int").alias("window_id"), (F.col("c_acctbal") / 2500).alias("z"))
 
 
 @query(f"""WITH {ANOMALIES}, p AS (SELECT *, count(*) OVER (PARTITION BY window_id) - 1 AS n FROM an), c AS (SELECT entity, window_id, n, 'systematic_factor' AS candidate, least(0.8, 0.3 + 0.1 * n) AS confidence FROM p WHERE n >= 3 UNION ALL SELECT entity, window_id, n, 'idiosyncratic_factor', 0.4 FROM p WHERE n = 0 UNION ALL SELECT entity, window_id, n, 'extreme_event', 0.6 FROM p WHERE z > 3 UNION ALL SELECT entity, window_id, n, 'event: outage', 0.5 FROM p WHERE window_id < 20)
@@ -495,3 +495,33 @@ def relevance_distribution(spark, sf_dir):
 def geometry_stability(spark, sf_dir):
     m = dynamics.vector_motion(_tall(spark, sf_dir)).select(F.col("indicator_id").alias("cohort_id"), "window_id", F.col("distance").alias("a"), (F.col("n_dims") * F.col("distance")).alias("b"))
     return rounded(policy.geometry_stability(m, ["a", "b"]).select("cohort_id", "window_id", "stability", "stable"))
+
+
+@query(f"""WITH {STATES}, z AS (SELECT *, (hidden_mass - avg(hidden_mass) OVER w) / nullif(stddev_pop(hidden_mass) OVER w, 0) AS z, count(*) OVER w AS n FROM px WINDOW w AS (PARTITION BY entity)), h AS (SELECT *, coalesce(z > 1, false) AS hi FROM z), c AS (SELECT *, CASE WHEN hi IS DISTINCT FROM lag(hi) OVER (PARTITION BY entity ORDER BY window_id) THEN 1 ELSE 0 END AS ch FROM h), r AS (SELECT *, sum(ch) OVER (PARTITION BY entity ORDER BY window_id) AS run FROM c)
+SELECT entity, min(window_id) AS first, max(window_id) AS last, count(*) AS duration_frames, round(max(hidden_mass), 6) AS peak, round(max(z), 5) AS z, CASE WHEN max(z) > 3 THEN 'extreme' ELSE 'significant' END AS severity FROM r WHERE hi AND n >= 5 GROUP BY entity, run""")
+def hidden_mass_episodes(spark, sf_dir):
+    return rounded(vectors.hidden_mass_episodes(_states(spark, sf_dir), 1.0), 6, z=5)
+
+
+TENSION = "te AS (SELECT CAST(c_nationkey % 5 AS INTEGER) AS cohort, CAST(c_custkey % 30 AS INTEGER) AS window_id, avg(c_acctbal) / 10000 AS tension FROM customer GROUP BY 1, 2)"
+
+
+@query(f"""WITH {TENSION}, d AS (SELECT *, tension - lag(tension) OVER l AS d FROM te WINDOW l AS (PARTITION BY cohort ORDER BY window_id)), k AS (SELECT *, count(d) OVER (PARTITION BY cohort ORDER BY window_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS k, list(d) OVER (PARTITION BY cohort ORDER BY window_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ds FROM d),
+w AS (SELECT *, list_reverse(list_filter(ds, lambda x: x IS NOT NULL)) AS r FROM k), m AS (SELECT cohort, window_id, tension, k, CASE WHEN k >= 2 THEN list_sum(list_transform(range(0, k), lambda i: exp(-i / (k - 1)) * r[i + 1])) / list_sum(list_transform(range(0, k), lambda i: exp(-i / (k - 1)))) ELSE 0 END AS mo FROM w)
+SELECT cohort, window_id, round(tension, 6) AS tension, round(mo, 6) AS momentum, round(CASE WHEN k >= 2 THEN mo - coalesce(lag(mo) OVER (PARTITION BY cohort ORDER BY window_id), 0) ELSE 0 END, 6) AS acceleration FROM m""")
+def tension_momentum(spark, sf_dir):
+    t = table(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") % 5).cast("int").alias("cohort"), (F.col("c_custkey") % 30).cast("int").alias("window_id")).agg((F.avg("c_acctbal") / 10000).alias("tension"))
+    return rounded(vectors.momentum(t, "tension", ("cohort",)))
+
+
+@query(f"WITH {STATES}, g AS (SELECT window_id, CAST(entity AS INTEGER) % 3 AS cohort_id, avg(hidden_mass) AS t, count(*) AS n FROM px GROUP BY 1, 2) SELECT window_id, CAST(cohort_id AS INTEGER) AS cohort_id, round(t, 6) AS tension, n, t > 0.5 * avg(t) OVER (PARTITION BY window_id) AS critical FROM g")
+def cohort_tension(spark, sf_dir):
+    return rounded(vectors.cohort_tension(_states(spark, sf_dir).withColumn("cohort_id", F.col("entity").cast("int") % 3)))
+
+
+@query(f"""WITH {VECS}, d AS (SELECT entity AS window_id, list_transform(velocity, lambda x: x / greatest(displacement, 1e-10)) AS direction, displacement AS magnitude FROM mv WHERE velocity IS NOT NULL AND window_id <= 3), g AS (SELECT window_id, sum(magnitude) AS total, avg(abs(direction[1]) * magnitude) AS f, avg(direction[1] * magnitude) AS mn FROM d GROUP BY 1), u AS (SELECT window_id, i, avg(direction[i] * magnitude) AS m FROM d, generate_series(1, 7) s(i) GROUP BY 1, 2), p AS (SELECT window_id, sqrt(sum(m * m)) AS nm FROM u GROUP BY 1)
+SELECT window_id, round(total, 6) AS total, round(nm / nullif(total, 0), 6) AS coherence, round(f / nullif(total, 0), 6) AS first_axis, CASE WHEN total < 1e-10 THEN 'minimal' WHEN nm / total > 0.7 THEN CASE WHEN f / total > 0.5 THEN CASE WHEN mn > 0 THEN 'expansion' ELSE 'compression' END ELSE 'shear' END ELSE 'rotation' END AS kind FROM g JOIN p USING (window_id)""")
+def deformation_type(spark, sf_dir):
+    m = _moved(spark, sf_dir).where("velocity IS NOT NULL AND window_id <= 3")
+    d = m.select(F.col("entity").alias("window_id"), F.transform("velocity", lambda x: x / F.greatest(F.col("displacement"), F.lit(1e-10))).alias("direction"), F.col("displacement").alias("magnitude"))
+    return rounded(vectors.deformation_type(d))

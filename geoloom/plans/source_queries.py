@@ -77,9 +77,9 @@ def source_prices_json(spark, sf_dir):
     return R.prices_json(spark, _json(rows, folder(spark, "prices")), "ABC")
 
 
-@query("SELECT DISTINCT date_trunc('second', ts) AS time, user_id::DOUBLE AS latitude, value AS longitude, 10.0::DOUBLE AS depth, round(value / 100, 3) AS mag FROM events WHERE event_type = 'purchase'")
+@query("SELECT DISTINCT date_trunc('second', ts) AS time, user_id::DOUBLE AS latitude, value AS longitude, 10.0::DOUBLE AS depth, round(value / 100, 4) AS mag FROM events WHERE event_type = 'purchase'")
 def source_quakes_csv(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), F.col("user_id").alias("latitude"), F.col("value").alias("longitude"), F.lit(10.0).alias("depth"), F.round(F.col("value") / 100, 3).alias("mag"))
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), F.col("user_id").alias("latitude"), F.col("value").alias("longitude"), F.lit(10.0).alias("depth"), F.round(F.col("value") / 100, 4).alias("mag"))
     a, b = folder(spark, "quakes"), folder(spark, "quakes")
     W.export_csv(e, a)
     W.export_csv(e.where("latitude % 2 = 0"), b)  # pieces that overlap
