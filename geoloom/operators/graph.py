@@ -17,7 +17,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
     """
     spark = nodes.sparkSession
     both, at_edges = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels, at = kept(nodes.select(F.col("node"), F.col("node").alias("component")).distinct(), "labels")
+    beside = both.groupBy("a").agg(F.min("b").alias("m"))
+    start = nodes.select("node").distinct().join(beside, F.col("node") == F.col("a"), "left")
+    labels, at = kept(start.select("node", F.least("node", F.coalesce("m", "node")).alias("component")), "labels")
     for _ in range(most_rounds):
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         near = labels.join(around, labels["node"] == around["a"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("near"))
