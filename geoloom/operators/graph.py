@@ -7,16 +7,49 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from geoloom.sources.scratch import drop, kept
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+#: Edges, by count, that one task may put together; beyond them labels travel in rounds.
+EDGES_IN_TASK = 500_000
+
+
+def _gathered(batches):
+    """(node, root) of the edges of a task; root is the least node reachable."""
+    import pyarrow as pa
+
+    up: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    found = sorted(up)
+    for k in range(0, len(found), 1 << 16):
+        some = found[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([find(x) for x in some], pa.string())], names=["n", "root"])
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200, edges_in_task: int = EDGES_IN_TASK) -> DataFrame:
     """(node) and (a, b) string pairs -> (node, component): the least node reachable.
 
-    Each round is one job: labels take the least label of the neighbours, then
+    Edges are written and counted first; so many as one task can hold are put
+    together there.  Beyond that each round is one job: labels take the least label of the neighbours, then
     the label that this one had, and are written to the shared folder with the
     number of changes observed on the way.  A round's files go once the next
     are there; the last are left to the folder's own clean-up.
     """
     spark = nodes.sparkSession
-    both, at_edges = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    counted = Observation()
+    some = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    once, at_edges = kept(some.observe(counted, F.count(F.lit(1)).alias("n")), "edges")
+    if counted.get["n"] <= edges_in_task:
+        roots = once.coalesce(1).mapInArrow(_gathered, "n string, root string")
+        return nodes.select("node").distinct().join(roots, F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("component"))
+    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     beside = both.groupBy("a").agg(F.min("b").alias("m"))
     start = nodes.select("node").distinct().join(beside, F.col("node") == F.col("a"), "left")
     labels, at = kept(start.select("node", F.least("node", F.coalesce("m", "node")).alias("component")), "labels")

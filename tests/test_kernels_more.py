@@ -215,3 +215,18 @@ def test_home_region_of_all_points(spark):
     assert got["inside"].mean() == pytest.approx(0.8, abs=0.01)
     assert np.allclose(sorted(got["distance"]), sorted(want["distances"])) and got["percentile"].max() == 1.0
     assert cohorts.home_distances(df, 0.8).count() == 500
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    from geoloom.operators.graph import connected_components
+
+    rng = np.random.default_rng(12)
+    names = [f"n{i:03}" for i in range(120)]
+    pairs_ = [(names[i], names[i + 1]) for i in range(40, 70)] + [(names[int(a)], names[int(b)]) for a, b in rng.integers(70, 120, (40, 2))] + [(names[5], names[5])]
+    root = {n: n for n in names}
+    for _ in names:
+        for a, b in pairs_:
+            root[a] = root[b] = min(root[a], root[b])
+    nodes, edges = spark.createDataFrame([(n,) for n in names], "node string"), spark.createDataFrame(pairs_, "a string, b string")
+    for bound in (1000, 0):
+        assert {r["node"]: r["component"] for r in connected_components(nodes, edges, edges_in_task=bound).collect()} == root
