@@ -92,19 +92,14 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from geoloom.llm.setjoin import set_classes, set_keys
-    from geoloom.llm.spotsigs import fingerprint_edits, signature_sets
+    from geoloom.llm.setjoin import set_keys
+    from geoloom.llm.spotsigs import fingerprint_edits
 
-    def digest(column: str, halves):  # of the ascending signatures, without a string of each
-        return F.concat(F.hex(F.size(column)), F.lit("-"), *[F.lower(F.lpad(F.hex(h), 16, "0")) for h in halves])
+    def digest(column: str):  # of the ascending signatures, without a string of each
+        return F.concat(F.hex(F.size(column)), F.lit("-"), *[F.lower(F.lpad(F.hex(h), 16, "0")) for h in set_keys(column)])
 
-    docs = table(spark, sf_dir, "documents")
-    classes = set_classes(signature_sets(docs), 0.8)
-    h1, h2 = set_keys("signatures")
-    found = fingerprint_edits(docs).select(
-        "doc_id", "n_chars", "edited_sha256", digest("signatures", (h1, h2)).alias("fingerprint"), digest("edited_signatures", set_keys("edited_signatures")).alias("edited_fingerprint"), "near_edited", "near_next", h1.alias("h1"), h2.alias("h2")
-    )
-    return found.join(classes, ["h1", "h2"], "left").drop("h1", "h2")
+    found = fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", digest("signatures").alias("fingerprint"), digest("edited_signatures").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 @query
