@@ -117,8 +117,8 @@ def _yearly(spark, sf_dir, missing: str, separator: str):
 @query(f"WITH {NATION_MONTHLY}, {_ONE} SELECT 'ONI' AS indicator_id, date, round(value / 100000, 3) AS value FROM oy")
 def source_year_by_month(spark, sf_dir):
     path = folder(spark, "noaa")
-    _yearly(spark, sf_dir, "-99.9", "  ").write.text(path)
-    return R.year_by_month(spark, path, "ONI")
+    _yearly(spark, sf_dir, "-99.90", "  ").write.text(path)
+    return R.year_by_month(spark, path, "ONI", low=None, high=None, missing="-99.90")  # totals have no bound; no number is written with that last zero
 
 
 @query(f"WITH {NATION_MONTHLY}, {_ONE} SELECT 'GISS' AS indicator_id, date, round(round(value / 100000, 3) * 0.01, 6) AS value FROM oy")

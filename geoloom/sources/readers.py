@@ -122,15 +122,17 @@ def epiweek_json(spark: SparkSession, path: str, field: str = "wili") -> DataFra
     return first.select(F.concat_ws("_", F.lit(field), F.col("e.region")).alias("indicator_id"), epiweek_to_date(F.col("e.epiweek")).alias("date"), F.col(f"e.{field}").alias("value")).where("value IS NOT NULL")
 
 
-def year_by_month(spark: SparkSession, path: str, indicator_id: str, low: float = -99.0, high: float = 999.0, separator: str = r"\s+", missing: str | None = None) -> DataFrame:
-    """Lines of a year and twelve values; values at or beyond the sentinels are missing, other lines are skipped."""
+def year_by_month(spark: SparkSession, path: str, indicator_id: str, low: float | None = -99.0, high: float | None = 999.0, separator: str = r"\s+", missing: str | None = None) -> DataFrame:
+    """Lines of a year and twelve values; values at or beyond the sentinels (None: no sentinel on that side) and those written as ``missing`` are missing, other lines are skipped."""
     parts = spark.read.text(path).select(F.split(F.trim("value"), separator).alias("p")).where((F.size("p") >= 13) & F.get("p", F.lit(0)).rlike(r"^\d{4}$"))
     rows = parts.select(F.get("p", F.lit(0)).cast("int").alias("y"), F.posexplode(F.slice("p", 2, 12)).alias("m", "v"))
     value: Column = F.expr("try_cast(v AS double)")
     if missing:
         value = F.when(F.col("v") != missing, value)
-    out = rows.select(F.lit(indicator_id).alias("indicator_id"), F.make_date("y", F.col("m") + 1, F.lit(1)).alias("date"), value.alias("value"))
-    return out.where((F.col("value") > low) & (F.col("value") < high))
+    out = rows.select(F.lit(indicator_id).alias("indicator_id"), F.make_date("y", F.col("m") + 1, F.lit(1)).alias("date"), value.alias("value")).where("value IS NOT NULL")
+    if low is not None:
+        out = out.where(F.col("value") > low)
+    return out if high is None else out.where(F.col("value") < high)
 
 
 def anomalies_csv(spark: SparkSession, path: str, indicator_id: str, scale: float = 1.0) -> DataFrame:

@@ -230,3 +230,19 @@ def test_components_in_one_task_and_in_rounds(spark):
     nodes, edges = spark.createDataFrame([(n,) for n in names], "node string"), spark.createDataFrame(pairs_, "a string, b string")
     for bound in (1000, 0):
         assert {r["node"]: r["component"] for r in connected_components(nodes, edges, edges_in_task=bound).collect()} == root
+
+
+def test_year_by_month_of_large_and_negative_totals(spark, tmp_path):
+    import duckdb
+    from geoloom.catalog import ORACLES, QUERIES
+
+    prices = [1.0, 99.9e6, 250e6, 7.2e12, -9.99e6, -9.9e6, -3e9, 0.0]
+    tables = {"nation": pd.DataFrame({"n_nationkey": [0], "n_name": ["A"]}), "customer": pd.DataFrame({"c_custkey": [1], "c_nationkey": [0]})}
+    tables["orders"] = pd.DataFrame({"o_custkey": 1, "o_totalprice": prices, "o_orderdate": pd.date_range("2020-09-15", periods=len(prices), freq="31D").astype("datetime64[us]")})
+    con = duckdb.connect()
+    for name, t in tables.items():
+        t.to_parquet(tmp_path / f"{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    want = con.sql(f"SELECT date, value FROM ({ORACLES['source_year_by_month']}) ORDER BY date").fetchall()
+    got = QUERIES["source_year_by_month"](spark, str(tmp_path)).orderBy("date").select("date", "value").collect()
+    assert [tuple(r) for r in got] == want and len(want) == len(prices)
