@@ -197,10 +197,16 @@ def array_motion(vectors: DataFrame, keys, order: str, vector: str = "vector") -
 
 
 def hidden_mass(descriptors: DataFrame, cohort_keys=("cohort_id", "window_id"), z_limit: float = 2.0) -> DataFrame:
-    """Members of a cohort far from its centroid: distance and z among the members."""
+    """Members of a cohort far from its centroid: distance and z among the members.
+
+    Squares are added by size, not as they arrive: two members lie equally far from their centroid, and a last digit
+    that hangs on the order of a shuffle would give them a deviation, hence a z.
+    """
     every = Window.partitionBy(*cohort_keys, "dimension")
     d = descriptors.withColumn("d", F.col("value") - F.avg("value").over(every))
-    far = d.groupBy(*cohort_keys, "indicator_id").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("distance"))
+    squares = d.groupBy(*cohort_keys, "indicator_id").agg(F.array_sort(F.collect_list(F.col("d") * F.col("d"))).alias("s"))
+    total = F.when(F.size("s") > 0, F.aggregate("s", F.lit(0.0), lambda a, x: a + x))
+    far = squares.select(*cohort_keys, "indicator_id", F.sqrt(total).alias("distance"))
     w = Window.partitionBy(*cohort_keys)
     z = div(F.col("distance") - F.avg("distance").over(w), F.nullif(F.stddev_pop("distance").over(w), F.lit(0.0)))
     return far.withColumn("z", z).withColumn("hidden_mass", F.coalesce(F.col("z") > z_limit, F.lit(False)))

@@ -246,3 +246,21 @@ def test_year_by_month_of_large_and_negative_totals(spark, tmp_path):
     want = con.sql(f"SELECT date, value FROM ({ORACLES['source_year_by_month']}) ORDER BY date").fetchall()
     got = QUERIES["source_year_by_month"](spark, str(tmp_path)).orderBy("date").select("date", "value").collect()
     assert [tuple(r) for r in got] == want and len(want) == len(prices)
+
+
+def test_members_equally_far_have_no_z(spark):
+    from geoloom.operators import dynamics
+
+    rng = np.random.default_rng(13)
+    rows = []
+    for w in range(200):  # a vector, the same reversed, and both negated: the centroid is zero
+        v = rng.normal(size=7).astype("float32").astype(float)
+        for member, x in zip("abcd", (v, v[::-1], -v, -v[::-1])):
+            rows += [(w % 3, w, member, k + 1, float(y)) for k, y in enumerate(x)]
+    df = spark.createDataFrame(rows, "cohort_id int, window_id int, indicator_id string, dimension int, value double")
+    got = dynamics.hidden_mass(df.repartition(7)).toPandas()
+    want = df.toPandas().assign(value=lambda t: t["value"] ** 2).groupby(["window_id", "indicator_id"])["value"].sum() ** 0.5
+    assert len(got) == 800 and got["z"].isna().all() and not got["hidden_mass"].any()
+    assert np.allclose(got.set_index(["window_id", "indicator_id"])["distance"].sort_index(), want.sort_index())
+    empty = dynamics.hidden_mass(df.withColumn("value", F.lit(None).cast("double")))
+    assert empty.where("distance IS NULL AND z IS NULL AND NOT hidden_mass").count() == 800
